@@ -58,3 +58,12 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy Python work enough tasks: shuffle only where a scan has fewer tasks than there are cores.
+
+    A large input has many splits already and passes through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(2 * cores)
