@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import splits
+from tallyspark.llm import canonical, lookalike, splits
 from tallyspark.operators import shred
-from tallyspark.session import table
+from tallyspark.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,5 +43,46 @@ def p1_shares(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("pool", "share", F.try_divide("records", "whole").alias("actual_share"), "sources", "records")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_split": p1_split, "p1_shares": p1_shares}
+def _labels(spark: SparkSession, folder: str) -> DataFrame:
+    """(record_id, label, canonical_id) of all audit examples and gold rows; repeated rows may repeat."""
+    examples = table(spark, folder, "audit_examples").select(F.col("example_id").alias("record_id"), "label", "canonical_id")
+    lines = shred.rows(shred.shred_files(table(spark, folder, "gold_files")))
+    gold = lines.select(F.concat_ws("/", "file_id", F.col("statement_pos").cast("string"), F.col("row_pos").cast("string")).alias("record_id"), "label", "canonical_id")
+    return spread(examples).unionByName(gold)
+
+
+def _mapped(spark: SparkSession, folder: str) -> DataFrame:
+    return canonical.map_values(_labels(spark, folder), table(spark, folder, "taxonomy_items"), table(spark, folder, "taxonomy_aliases"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(record_id, item_id): records without a listed id whose label names an item."""
+    return canonical.found_items(_mapped(spark, folder), table(spark, folder, "taxonomy_items"))
+
+
+def p2_mapped(spark: SparkSession, folder: str) -> DataFrame:
+    """(record_id, label, canonical_id, item_id, how, score, typed_item): every record with its item, or none."""
+    return _mapped(spark, folder).distinct()
+
+
+def p2_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """(label, canonical_id, records): values that name no item of the list."""
+    return canonical.unmatched(_mapped(spark, folder))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(record_id, alias_id): labels that look the same as a caption but differ from it in characters."""
+    return lookalike.disguised(lookalike.canonical_form(_labels(spark, folder), table(spark, folder, "taxonomy_aliases")))
+
+
+def p6_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """(record_id, label, form, alias_id, cost): the one form of every label."""
+    return lookalike.canonical_form(_labels(spark, folder), table(spark, folder, "taxonomy_aliases")).distinct()
+
+
+QUERIES: dict[str, Query] = {
+    "p1_found": p1_found, "p1_split": p1_split, "p1_shares": p1_shares,
+    "p2_found": p2_found, "p2_mapped": p2_mapped, "p2_unmatched": p2_unmatched,
+    "p6_found": p6_found, "p6_forms": p6_forms,
+}
 ORACLES: dict[str, str] = {}
