@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import canonical, lookalike, splits
+from tallyspark.llm import canonical, lookalike, overlap, splits
 from tallyspark.operators import shred
 from tallyspark.session import spread, table
 
@@ -80,7 +80,31 @@ def p6_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.canonical_form(_labels(spark, folder), table(spark, folder, "taxonomy_aliases")).distinct()
 
 
+#: Labels of more characters than this are compared across pools.
+LONG_LABEL = 60
+
+
+def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    examples = table(spark, folder, "audit_examples").where(F.length("label") > LONG_LABEL)
+    examples = examples.select(F.col("example_id").alias("record_id"), "source_id", "pool", "label").where("record_id IS NOT NULL").dropDuplicates(["record_id"])
+    files = shred.files(shred.shred_files(table(spark, folder, "gold_files")))
+    labels = overlap.near_pairs(spread(examples)).withColumn("kind", F.lit("example"))
+    return labels.unionByName(overlap.same_files(files, table(spark, folder, "sources")).withColumn("kind", F.lit("file")))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(first_record, second_record): a training and an evaluation record that are the same or almost."""
+    return _overlaps(spark, folder).select(F.least("train_id", "eval_id").alias("first_record"), F.greatest("train_id", "eval_id").alias("second_record")).distinct()
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    """(kind, pool, source_id, records, pairs): overlapping evaluation records by pool and source."""
+    pairs = _overlaps(spark, folder).groupBy("kind", "eval_pool", "eval_source", "eval_id").agg(F.count(F.lit(1)).alias("pairs"))
+    return pairs.groupBy("kind", F.col("eval_pool").alias("pool"), F.col("eval_source").alias("source_id")).agg(F.count(F.lit(1)).alias("records"), F.sum("pairs").alias("pairs"))
+
+
 QUERIES: dict[str, Query] = {
+    "p5_found": p5_found, "p5_report": p5_report,
     "p1_found": p1_found, "p1_split": p1_split, "p1_shares": p1_shares,
     "p2_found": p2_found, "p2_mapped": p2_mapped, "p2_unmatched": p2_unmatched,
     "p6_found": p6_found, "p6_forms": p6_forms,
