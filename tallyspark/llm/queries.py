@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import canonical, lookalike, overlap, splits
+from tallyspark.llm import canonical, lookalike, mixing, overlap, splits, tokens
 from tallyspark.operators import shred
 from tallyspark.session import spread, table
 
@@ -103,7 +103,33 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.groupBy("kind", F.col("eval_pool").alias("pool"), F.col("eval_source").alias("source_id")).agg(F.count(F.lit(1)).alias("records"), F.sum("pairs").alias("pairs"))
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, ids): the token ids of every document."""
+    return tokens.encode(spread(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+def p7_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, documents, empty, tokens, largest): the corpus in tokens."""
+    return tokens.sizes_by_source(spread(table(spark, folder, "documents").select("doc_id", "source", "text")))
+
+
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    sized = tokens.with_tokens(spread(table(spark, folder, "documents").select("doc_id", "source", "text")))
+    return mixing.mix(sized, table(spark, folder, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, source, tokens, times): the documents drawn and how often each is used."""
+    return _mix(spark, folder)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, target_share, actual_share, documents, tokens, budget, max_repeats, short): shares reached."""
+    return _mix(spark, folder)[1]
+
+
 QUERIES: dict[str, Query] = {
+    "p7_ids": p7_ids, "p7_sizes": p7_sizes, "p8_mix": p8_mix, "p8_shares": p8_shares,
     "p5_found": p5_found, "p5_report": p5_report,
     "p1_found": p1_found, "p1_split": p1_split, "p1_shares": p1_shares,
     "p2_found": p2_found, "p2_mapped": p2_mapped, "p2_unmatched": p2_unmatched,
