@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import canonical, lookalike, mixing, overlap, splits, tokens
+from tallyspark.llm import canonical, lookalike, mixing, overlap, splits, subjects, tokens
 from tallyspark.operators import shred
 from tallyspark.session import spread, table
 
@@ -128,7 +128,30 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[1]
 
 
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    return subjects.subject_mixtures(documents, table(spark, folder, "subjects"), table(spark, folder, "subject_labels"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, subject): areas that at least a fifth of the document's sentences are about."""
+    return _subjects(spark, folder).where(F.col("share") >= subjects.SHARE - 1e-9).select("doc_id", "subject")
+
+
+def p9_mixtures(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, sentences, subject, about, share, weight): every area touched by a document."""
+    return _subjects(spark, folder)
+
+
+def p9_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """(subject, documents, sentences): the composition of the corpus by area."""
+    found = _subjects(spark, folder)
+    about = found.groupBy("subject").agg(F.count_if(F.col("share") >= subjects.SHARE - 1e-9).alias("documents"), F.sum("about").alias("sentences"))
+    return table(spark, folder, "subjects").select("subject").join(about, "subject", "left").select("subject", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("sentences", F.lit(0)).alias("sentences"))
+
+
 QUERIES: dict[str, Query] = {
+    "p9_found": p9_found, "p9_mixtures": p9_mixtures, "p9_corpus": p9_corpus,
     "p7_ids": p7_ids, "p7_sizes": p7_sizes, "p8_mix": p8_mix, "p8_shares": p8_shares,
     "p5_found": p5_found, "p5_report": p5_report,
     "p1_found": p1_found, "p1_split": p1_split, "p1_shares": p1_shares,
