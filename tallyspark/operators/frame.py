@@ -47,18 +47,18 @@ def magnitude(item: Column, value: Column) -> Column:
     return F.when(item.isin(*[i for i, s in SIGN.items() if s == "-"]), F.abs(value)).otherwise(value)
 
 
-def facts(rows: DataFrame) -> DataFrame:
-    """(doc_id, end_date, months, facts): by item, how many rows there are, the value, and its flags.
+def facts(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(doc_id, end_date, months, one struct per item): how many rows there are, the value, and its flags.
 
-    One pre-aggregated shuffle for all metrics: afterwards each reads its items from the map.
+    Pre-aggregated by item, then brought side by side, so that afterwards every metric reads columns.
     """
     keys = ["doc_id", "end_date", "months", "canonical_id"]
-    each = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.max(magnitude(F.col("canonical_id"), F.col("value"))).alias("value"), F.max("reported").alias("reported"),
+    each = rows.where(F.col("canonical_id").isin(*names)).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.max(magnitude(F.col("canonical_id"), F.col("value"))).alias("value"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("statement_id", "row_ordinal", "row_id", "cell_flags"))), lambda x: x["cell_flags"])).alias("flags"),
     )
-    packed = F.map_from_entries(F.collect_list(F.struct("canonical_id", F.struct("n", "value", "reported", "flags"))))
-    return each.groupBy("doc_id", "end_date", "months").agg(packed.alias("facts"))
+    fact = F.struct("n", "value", "flags")
+    return each.groupBy("doc_id", "end_date", "months").agg(*[F.max(F.when(F.col("canonical_id") == i, fact)).alias(i) for i in names])
 
 
 def wide_facts(rows: DataFrame, names: list[str]) -> DataFrame:

@@ -55,9 +55,11 @@ class Reader:
 
     def __init__(self, policy: Policy):
         self.policy = policy
+        self.used: set[tuple[str, str]] = set()
 
     def _read(self, facts_column: str, item: str, role: str | None = None) -> Value:
-        fact = F.col(facts_column)[item]
+        fact = F.col(f"{facts_column}_{item}")
+        self.used.add((facts_column, item))
         role, kind = role or item, STATEMENT[item]
         n = F.coalesce(fact["n"], F.lit(0))
         named = F.filter(F.col(f"{kind}_flags"), lambda f: ~f.isin(*NOT_PASSED))
@@ -79,7 +81,8 @@ class Reader:
     def average(self, item: str) -> Value:
         """The mean of opening and closing balance; the closing balance alone, flagged, where there is no opening."""
         closing = self.closing(item)
-        fact = F.col("open")[item]
+        fact = F.col(f"open_{item}")
+        self.used.add(("open", item))
         n = F.coalesce(fact["n"], F.lit(0))
         usable = closing.column.isNotNull() & F.col("months").isNotNull()
         flags = [*closing.flags, _flag(closing.column.isNotNull() & F.col("months").isNull(), "period_not_a_duration"), _flag(usable & (n > 1), f"duplicate_input:{item}@opening"), _flag(usable & (n == 0), "average_fallback_to_closing"), F.when(usable & (n > 0), fact["flags"])]
@@ -163,6 +166,12 @@ MARGINS = (("gross_margin", "gross_profit"), ("operating_margin", "operating_inc
 METRIC_IDS = (*(m for m, _ in MARGINS), *(m.id for m in REGISTRY))
 
 
+def _unit_flags(kind: str) -> Column:
+    """The unit flags that a statement has, each with its id."""
+    held = F.array_intersect(F.array(*[F.lit(f) for f in UNIT_FLAGS]), F.col(f"{kind}_flags"))
+    return F.transform(held, lambda f: F.concat(f, F.lit(":"), F.col(f"{kind}_id")))
+
+
 def _heads(statements: DataFrame, unmapped: DataFrame) -> DataFrame:
     """One row per document: currency, scale, flags and unmapped rows of its two primary statements."""
     both = statements.join(unmapped, "statement_id", "left")
@@ -174,56 +183,59 @@ def _heads(statements: DataFrame, unmapped: DataFrame) -> DataFrame:
     return both.groupBy("doc_id").agg(*out)
 
 
-def compute(rows: DataFrame, statements: DataFrame, periods: DataFrame, line_items: DataFrame, policy: Policy | None = None) -> DataFrame:
+def compute(rows: DataFrame, statements: DataFrame, periods: DataFrame, line_items: DataFrame, policy: Policy | None = None, only: tuple[str, ...] = METRIC_IDS) -> DataFrame:
     """(doc_id, metric_id, end_date, months, unit, value, flags) for every period of the anchor statement.
 
-    ``rows`` are the frame rows of primary statements, ``statements`` those statements.
+    ``rows`` are the frame rows of primary statements, ``statements`` those statements. Only the items
+    that the wanted metrics read are aggregated and joined.
     """
     policy = policy or Policy()
     reader = Reader(policy)
-    known = facts(rows)
+    wanted = [(m, m.formula(reader)) for m in REGISTRY if m.id in only]
+    found = margins(rows, statements, periods, policy).where(F.col("metric_id").isin(*only)) if any(m in only for m, _ in MARGINS) else None
+    if not wanted:
+        return found
     heads = _heads(statements, line_items.groupBy("statement_id").agg(F.count_if(F.col("mapping_flag").isNotNull()).alias("unmapped")))
     anchor = statements.select("doc_id", "statement_id", F.col("type").alias("anchor")).join(periods.select("statement_id", "end_date", "months"), "statement_id").select("doc_id", "anchor", "end_date", "months").distinct()
     at = anchor.withColumns({"opened": months_before(F.col("end_date"), F.col("months")), "year_before": months_before(F.col("end_date"), 12)})
-
-    def facts_as(name: str, end: str, length: Column | None) -> DataFrame:
-        nonlocal at
-        side = known.select(F.col("doc_id").alias("_doc"), F.col("end_date").alias("_end"), F.col("months").alias("_len"), F.col("facts").alias(name))
-        on = (F.col("doc_id") == F.col("_doc")) & (F.col(end) == F.col("_end")) & (F.col("_len").isNull() if length is None else F.col("_len").eqNullSafe(length))
-        at = at.join(side, on, "left").drop("_doc", "_end", "_len")
-        return at
-
-    facts_as("now", "end_date", F.col("months"))
-    facts_as("close", "end_date", None)
-    facts_as("open", "opened", None)
-    facts_as("prior", "year_before", F.col("months"))
+    known = facts(rows, sorted({i for _, i in reader.used}))
+    for name, end, length in (("now", "end_date", "months"), ("close", "end_date", None), ("open", "opened", None), ("prior", "year_before", "months")):
+        own = sorted(i for n, i in reader.used if n == name)
+        if own:
+            side = known.select(F.col("doc_id").alias("_doc"), F.col("end_date").alias("_end"), F.col("months").alias("_len"), *[F.col(i).alias(f"{name}_{i}") for i in own])
+            side = side if length else side.where("_len IS NULL")
+            on = (F.col("doc_id") == F.col("_doc")) & (F.col(end) == F.col("_end"))
+            at = at.join(side, on & F.col(length).eqNullSafe(F.col("_len")) if length else on, "left").drop("_doc", "_end", "_len")
     at = at.join(heads, "doc_id")
-    results = []
-    for metric in REGISTRY:
-        value = metric.formula(reader)
-        read = {kind: reduce(lambda a, b: a | b, [c for k, c in value.read if k == kind], F.lit(False)) for kind in ("income", "balance")}
-        both = read["income"] & read["balance"]
-        amount = metric.unit == "currency"
-        currencies = both & ~F.col("income_currency").eqNullSafe(F.col("balance_currency"))
-        scales = both & (F.col("income_scale") != F.col("balance_scale"))
-        blocked = currencies | (scales if amount else F.lit(False))
-        notes = [_flag(currencies, "currency_mismatch"), _flag(scales, "scale_mismatch")]
-        order = F.array_sort(F.array(F.struct(F.col("income_id").alias("id"), F.lit("income").alias("kind")), F.struct(F.col("balance_id").alias("id"), F.lit("balance").alias("kind"))))
-        for place in (0, 1):
-            for kind in ("income", "balance"):
-                mine = (order[place]["kind"] == kind) & read[kind] & (F.lit(True) if amount else both) & ~blocked
-                held = F.filter(F.array(*[F.lit(f) for f in UNIT_FLAGS]), lambda f, kind=kind: F.array_contains(F.col(f"{kind}_flags"), f))
-                notes.append(F.when(mine, F.transform(held, lambda f, kind=kind: F.concat(f, F.lit(":"), F.col(f"{kind}_id")))))
-        flags = F.array_distinct(F.flatten(F.array_compact(F.array(*value.flags, *notes))))
-        column = F.when(~blocked, value.column.cast("double"))
-        if metric.annual_only:
-            year = F.coalesce(F.col("months") == 12, F.lit(False))
-            why = F.when(F.col("months").isNull(), "period_not_a_duration").when(F.col("months") > 12, "period_longer_than_year").otherwise("interim_not_annualized")
-            column, flags = F.when(year, column), F.when(year, flags).otherwise(F.array(why))
-        here = F.col("anchor") == metric.anchor
-        results.append(F.when(here, F.struct(F.lit(metric.id).alias("metric_id"), F.lit(metric.unit).alias("unit"), column.alias("value"), flags.alias("flags"))))
+    results = [_result(metric, value) for metric, value in wanted]
     long = at.select("doc_id", "end_date", "months", F.explode(F.array_compact(F.array(*results))).alias("m"))
-    return long.select("doc_id", "m.metric_id", "end_date", "months", "m.unit", "m.value", "m.flags").unionByName(margins(rows, statements, periods, policy))
+    long = long.select("doc_id", "m.metric_id", "end_date", "months", "m.unit", "m.value", "m.flags")
+    return long if found is None else long.unionByName(found)
+
+
+def _result(metric: Metric, value: Value) -> Column:
+    """The struct of one metric, null for periods of another statement: value and flags after the notes on units."""
+    read = {kind: reduce(lambda a, b: a | b, [c for k, c in value.read if k == kind], F.lit(False)) for kind in ("income", "balance")}
+    kinds = {k for k, _ in value.read}
+    both = read["income"] & read["balance"] if len(kinds) > 1 else F.lit(False)
+    amount = metric.unit == "currency"
+    currencies = both & ~F.col("income_currency").eqNullSafe(F.col("balance_currency"))
+    scales = both & (F.col("income_scale") != F.col("balance_scale"))
+    blocked = currencies | scales if amount else currencies
+    notes = [_flag(currencies, "currency_mismatch"), _flag(scales, "scale_mismatch")]
+    for place, kind in [(p, k) for p in (0, 1) for k in sorted(kinds)]:
+        if amount or len(kinds) > 1:
+            other = "balance" if kind == "income" else "income"
+            first = F.col(f"{kind}_id") < F.coalesce(f"{other}_id", F.lit("\uffff"))
+            mine = (first if place == 0 else ~first) & read[kind] & (F.lit(True) if amount else both) & ~blocked
+            notes.append(F.when(mine, _unit_flags(kind)))
+    flags = F.array_distinct(F.flatten(F.array_compact(F.array(*value.flags, *notes))))
+    column = F.when(~blocked, value.column.cast("double"))
+    if metric.annual_only:
+        year = F.coalesce(F.col("months") == 12, F.lit(False))
+        why = F.when(F.col("months").isNull(), "period_not_a_duration").when(F.col("months") > 12, "period_longer_than_year").otherwise("interim_not_annualized")
+        column, flags = F.when(year, column), F.when(year, flags).otherwise(F.array(why))
+    return F.when(F.col("anchor") == metric.anchor, F.struct(F.lit(metric.id).alias("metric_id"), F.lit(metric.unit).alias("unit"), column.alias("value"), flags.alias("flags")))
 
 
 def margins(rows: DataFrame, statements: DataFrame, periods: DataFrame, policy: Policy | None = None) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import pipeline
+from tallyspark.plans import pipeline, statements
 
-QUERIES = {**pipeline.QUERIES}
-ORACLES = {**pipeline.ORACLES}
+QUERIES = {**statements.QUERIES, **pipeline.QUERIES}
+ORACLES = {**statements.ORACLES, **pipeline.ORACLES}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    """The query that ``entry`` runs."""
-    return QUERIES["p3_found"](spark, folder)
+    """The query that ``entry`` runs: all metrics of all statements."""
+    return QUERIES["metrics_full"](spark, folder)
