@@ -70,15 +70,25 @@ def _alike(word: str, entry: str) -> float:
     """Similarity of a typed word and a word of the list: 1 equal, 0 unrelated."""
     if word == entry:
         return 1.0
-    n = len(entry)
-    allowed = 0 if n <= 3 else 1 if n <= 5 else 2 if n <= 9 else 3
+    n, allowed = len(entry), _slips(entry)
     if allowed and (d := distance(word, entry, allowed)) <= allowed:
         return 1 - d / n
     return 0.8 if _abbreviates(word, entry) else 0.0
 
 
-def _drops(word: str) -> set[str]:
-    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+def _drops(word: str, times: int) -> set[str]:
+    """The word and what is left of it without up to so many of its letters."""
+    out = last = {word}
+    for _ in range(times):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+def _slips(word: str) -> int:
+    """Slips of typing that may be in a word of this length."""
+    n = len(word)
+    return 0 if n <= 3 else 1 if n <= 5 else 2 if n <= 9 else 3
 
 
 class Mapper:
@@ -94,22 +104,26 @@ class Mapper:
         self.words = {k: k.split() for k in self.names}
         self.most_words = max(map(len, self.words.values()), default=0)
         self.machine = ahocorasick.Automaton()
-        for k in self.names:
-            self.machine.add_word(f" {k} ", k)
-        self.index: dict[str, set[str]] = defaultdict(set)
+        self.content: dict[str, frozenset[str]] = {}
+        self.having: dict[str, set[str]] = defaultdict(set)
+        self.near: dict[str, set[str]] = defaultdict(set)
         self.starts: dict[str, set[str]] = defaultdict(set)
         self.packed: dict[str, set[str]] = defaultdict(set)
         for k, words in self.words.items():
+            self.machine.add_word(f" {k} ", k)
+            self.content[k] = frozenset(w for w in words if len(w) > 3)
             for w in words:
-                if len(w) > 3:
-                    for x in _drops(w):
-                        self.index[x].add(k)
-                    self.starts[w[0]].add(k)
-            for x in _drops("".join(words)):
+                self.having[w].add(k)
+            for x in _drops("".join(words), 1):
                 self.packed[x].add(k)
+        for w in self.having:
+            self.starts[w[0]].add(w)
+            for x in _drops(w, min(2, _slips(w))):
+                self.near[x].add(w)
         if self.names:
             self.machine.make_automaton()
         self.cache: dict[str, tuple[str | None, str | None, float]] = {}
+        self.met: dict[str, dict[str, float]] = {}
 
     def __call__(self, value: str | None) -> tuple[str | None, str | None, float]:
         """(item, how, score) of a value; (None, None, 0) when it names none."""
@@ -146,6 +160,17 @@ class Mapper:
                 return (items.pop(), "mention", 1.0) if len(items) == 1 else (None, None, 0.0)
         return self._similar(words)
 
+    def alike(self, word: str) -> dict[str, float]:
+        """The words of the list that a typed word may stand for, with their similarity."""
+        found = self.met.get(word)
+        if found is None:
+            if len(self.met) >= CACHE:
+                self.met.clear()
+            close = set().union(*(self.near.get(x, ()) for x in _drops(word, 2))) if len(word) > 3 else {word} & self.having.keys()
+            close |= self.starts.get(word[0], set()) if 1 < len(word) else set()
+            found = self.met[word] = {w: s for w in close if (s := _alike(word, w)) > 0}
+        return found
+
     def _similar(self, words: list[str]) -> tuple[str | None, str | None, float]:
         if sum(len(w) > 3 and not _is_decoration(w) for w in words) > self.most_words:
             return None, None, 0.0
@@ -153,16 +178,15 @@ class Mapper:
         best: dict[str, float] = {}
         for form in {tuple(kept), tuple(_strip(kept, _is_decoration)), tuple(words)}:
             packed = "".join(form)
-            near: set[str] = set()
-            for x in _drops(packed):
-                near |= self.packed.get(x, set())
-            for w in form:
-                if len(w) > 3:
-                    for x in _drops(w):
-                        near |= self.index.get(x, set())
-                near |= self.starts.get(w[0], set()) if 1 < len(w) <= 6 else set()
-            for k in near:
-                score = self._score(form, packed, k)
+            sims = [self.alike(w) for w in form]
+            shared: dict[str, set[str]] = defaultdict(set)  # alias -> its words that some typed word stands for
+            for sim in sims:
+                for e in sim:
+                    for k in self.having[e]:
+                        shared[k].add(e)
+            as_one = set().union(*(self.packed.get(x, ()) for x in _drops(packed, 1))) if packed else set()
+            for k in shared.keys() | as_one:
+                score = self._score(form, sims, packed, k, shared.get(k, set()), k in as_one)
                 if score >= LEAST and score > best.get(self.names[k], 0):
                     best[self.names[k]] = score
         if not best:
@@ -172,28 +196,28 @@ class Mapper:
             return None, None, 0.0
         return ranked[0][0], "similar", round(ranked[0][1], 4)
 
-    def _score(self, words: tuple[str, ...], packed: str, key: str) -> float:
+    def _score(self, words: tuple[str, ...], sims: list[dict[str, float]], packed: str, key: str, shared: set[str], run_together: bool) -> float:
         entry = self.words[key]
-        whole = key.replace(" ", "")
-        allowed = max(1, len(whole) // 6)
-        d = distance(packed, whole, allowed)
-        as_one = 1 - d / len(whole) if d <= allowed else 0.0
-        content = sum(len(w) > 3 for w in words)
-        if content > len(entry) or len(words) > 2 * len(entry) + 2:
-            return as_one
-        pairs = sorted(((s, i, j) for i, w in enumerate(words) for j, e in enumerate(entry) if (s := _alike(w, e)) > 0), key=lambda p: (-p[0], abs(p[1] - p[2])))
-        mine: set[int] = set()
-        theirs: set[int] = set()
-        got = 0.0
-        for s, i, j in pairs:
-            if i not in mine and j not in theirs:
-                mine.add(i)
-                theirs.add(j)
-                got += s * len(entry[j])
-        if any(i not in mine and len(w) > 3 for i, w in enumerate(words)) or any(j not in theirs and len(e) > 3 for j, e in enumerate(entry)):
-            return as_one
-        loose = sum(len(w) for i, w in enumerate(words) if i not in mine)
-        return max(as_one, got / (sum(map(len, entry)) + loose))
+        size = len(key) - len(entry) + 1
+        found = 0.0
+        if self.content[key] <= shared and len(words) <= 2 * len(entry) + 2:
+            pairs = sorted(((sim[e], i, j) for i, sim in enumerate(sims) for j, e in enumerate(entry) if e in sim), key=lambda p: (-p[0], abs(p[1] - p[2])))
+            mine: set[int] = set()
+            theirs: set[int] = set()
+            got = 0.0
+            for s, i, j in pairs:
+                if i not in mine and j not in theirs:
+                    mine.add(i)
+                    theirs.add(j)
+                    got += s * len(entry[j])
+            if not any(i not in mine and len(w) > 3 for i, w in enumerate(words)) and not any(j not in theirs and len(e) > 3 for j, e in enumerate(entry)):
+                found = got / (size + sum(len(w) for i, w in enumerate(words) if i not in mine))
+        allowed = max(1, size // 6)
+        if found < 1 - 1 / size and abs(len(packed) - size) <= allowed and (run_together or 2 * sum(map(len, shared)) >= size - 6):
+            d = distance(packed, key.replace(" ", ""), allowed)
+            if d <= allowed:
+                found = max(found, 1 - d / size)
+        return found
 
 
 def entries(items: DataFrame, aliases: DataFrame) -> list[tuple[str, str]]:
