@@ -55,7 +55,7 @@ def dataset_label(texts: pd.Series) -> pd.Series:
 def simple_label(text: Column) -> Column:
     """JVM-side ``normalize_label`` for text without compatibility characters."""
     folded = F.translate(F.lower(text), ARABIC_FROM + ARABIC_MARKS + BIDI, ARABIC_TO)
-    return F.trim(F.regexp_replace(F.regexp_replace(folded, r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(folded, r"(?U)[^\w\s]|[\u200c\u200d]", " "), r"(?U)\s+", " "))
 
 
 def squash(label: Column) -> Column:
