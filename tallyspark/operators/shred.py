@@ -175,7 +175,8 @@ def _common(node: tuple, value: Any) -> Any:
         return {"extra": _text(value)} if "extra" in node[1] else None
     out = {k: _common(child, value.get(k)) for k, child in node[1].items() if k != "extra"}
     if "extra" in node[1]:
-        rest = {k: v for k, v in value.items() if k not in node[1]}
+        known = node[2] if len(node) > 2 else node[1].keys()
+        rest = {k: v for k, v in value.items() if k not in known}
         out["extra"] = json.dumps(rest, ensure_ascii=False, sort_keys=True) if rest else None
     return out
 
@@ -207,41 +208,45 @@ def _unpacked(levels: list[tuple[str, dict]]) -> dict:
     return {p: (c["reps"], c["defs"], c["vals"]) for p, c in levels}
 
 
-def shred_files(deliveries: DataFrame) -> DataFrame:
-    """(file_id, delivery_id, received_at, levels) for every file of every whole delivery, the latest of each file id.
+def prune(spec: tuple, keep: tuple[str, ...], path: str = "") -> tuple | None:
+    """The record type with only the leaves whose path is in ``keep`` or begins with one of it; levels do not change."""
+    kind = spec[0]
+    if kind == LEAF:
+        return spec if any(path == k or path.startswith(f"{k}.") for k in keep) else None
+    if kind == OBJ:
+        kept = {n: c for n, child in spec[1].items() if (c := prune(child, keep, f"{path}.{n}" if path else n))}
+        return (OBJ, kept, frozenset(spec[1])) if kept else None
+    inner = prune(spec[1], keep, f"{path}.value" if kind == MAP else f"{path}.item")
+    return (kind, inner) if inner else None
 
-    The bodies are read once, in Arrow batches; what is shuffled to find the latest delivery is ids
-    only, so a file that is delivered a million times moves a million ids and one shredded file.
-    """
 
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = b.to_pylist()
-            out = [(x["delivery_id"], x["received_at"], k, f["id"]) for x in rows for k, f in enumerate(parse_body(x["body"]) or [])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.timestamp("us", tz="UTC")), pa.array([x[2] for x in out], pa.int32()), pa.array([_text(x[3]) for x in out], pa.string())],
-                names=["delivery_id", "received_at", "place", "file_id"],
-            )
+def shred_files(deliveries: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """(file_id, delivery_id, received_at, levels) for every file of every whole delivery, the latest of each file id.
 
-    slim = deliveries.select("delivery_id", "received_at", "body")
-    seen = slim.mapInArrow(ids, "delivery_id BIGINT, received_at TIMESTAMP, place INT, file_id STRING")
-    latest = seen.groupBy("file_id").agg(F.max(F.struct("received_at", "delivery_id", "place")).alias("at")).select("file_id", "at.*")
-    wanted = latest.groupBy("delivery_id").agg(F.collect_set("place").alias("places"))
+    ``keep`` names the leaf paths that are wanted; others are never shredded. The bodies are parsed
+    once. Which delivery is the latest is settled by a pre-aggregated maximum, so a file that is
+    delivered a million times moves one shredded copy a task.
+    """
+    spec = prune(FILE_SPEC, keep) if keep else FILE_SPEC
+    if spec is None:
+        raise ValueError(f"no leaf below {keep}")
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for x in b.to_pylist():
-                keep = set(x["places"])
-                for k, f in enumerate(parse_body(x["body"]) or []):
-                    if k in keep:
-                        out.append((_text(f["id"]), x["delivery_id"], x["received_at"], _packed(shred(_common(FILE_SPEC, f), FILE_SPEC))))
+            ids, at, bodies = b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()
+            out, row = [], []
+            for i, body in enumerate(bodies):
+                for k, f in enumerate(parse_body(body) or []):
+                    out.append((_text(f["id"]), ids[i], k, _packed(shred(_common(spec, f), spec))))
+                    row.append(i)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.timestamp("us", tz="UTC")), pa.array([x[3] for x in out], pa.map_(pa.string(), _ARROW_COLUMN))],
-                names=["file_id", "delivery_id", "received_at", "levels"],
+                [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), at.take(pa.array(row, pa.int64())), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.map_(pa.string(), _ARROW_COLUMN))],
+                names=["file_id", "delivery_id", "received_at", "place", "levels"],
             )
 
-    return slim.join(wanted, "delivery_id").mapInArrow(columns, f"file_id STRING, delivery_id BIGINT, received_at TIMESTAMP, levels MAP<STRING, {_COLUMN}>")
+    all_ = deliveries.select("delivery_id", "received_at", "body").mapInArrow(columns, f"file_id STRING, delivery_id BIGINT, received_at TIMESTAMP, place INT, levels MAP<STRING, {_COLUMN}>")
+    order = F.struct("received_at", "delivery_id", "place")
+    return all_.groupBy("file_id").agg(F.max(F.struct("received_at", "delivery_id")).alias("at"), F.max_by("levels", order).alias("levels")).select("file_id", "at.delivery_id", "at.received_at", "levels")
 
 
 def rejects(deliveries: DataFrame) -> DataFrame:
@@ -381,7 +386,7 @@ def rebuild_roles(shredded: DataFrame, fields: tuple[str, ...], spec: tuple) ->
 
 def found_leaves(deliveries: DataFrame, metric_values: DataFrame) -> DataFrame:
     """(record_id, branch, position, leaf): every printed row value and every MetricInput, each once."""
-    printed = values(shred_files(deliveries)).where("value IS NOT NULL AND value <> ''")
+    printed = values(shred_files(deliveries, ("statements.item.rows.item.values",))).where("value IS NOT NULL AND value <> ''")
     printed = printed.select(F.col("file_id").alias("record_id"), F.col("statement_pos").cast("string").alias("branch"), F.col("row_pos").alias("position"), F.col("period_key").alias("leaf")).distinct()
     used = inputs(shred_inputs(metric_values, ("input_id",)), ("input_id",))
     used = used.select(F.col("metric_value_id").alias("record_id"), F.col("role").alias("branch"), "position", F.col("input_id").cast("string").alias("leaf"))

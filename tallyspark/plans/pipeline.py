@@ -28,9 +28,9 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return shred.found_leaves(table(spark, folder, "gold_files"), table(spark, folder, "metric_values"))
 
 
-def _gold(view: Callable[[DataFrame], DataFrame]) -> Query:
+def _gold(view: Callable[[DataFrame], DataFrame], *keep: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return view(shred.shred_files(table(spark, folder, "gold_files")))
+        return view(shred.shred_files(table(spark, folder, "gold_files"), keep))
 
     return query
 
@@ -47,8 +47,8 @@ def p4_inputs(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p3_found": p3_found, "p3_units": p3_units,
-    "p4_found": p4_found, "p4_files": _gold(shred.files), "p4_statements": _gold(shred.statements), "p4_periods": _gold(shred.periods),
-    "p4_rows": _gold(shred.rows), "p4_values": _gold(shred.values), "p4_unconfirmed": _gold(shred.unconfirmed), "p4_pages": _gold(shred.pages),
+    "p4_found": p4_found, "p4_files": _gold(shred.files, "sha256", "status", "note", "extra"), "p4_statements": _gold(shred.statements, *[f"statements.item.{k}" for k in ("type", "page_mode", "scale", "currency", "extra")]), "p4_periods": _gold(shred.periods, "statements.item.periods"),
+    "p4_rows": _gold(shred.rows, *[f"statements.item.rows.item.{k}" for k in ("label", "canonical_id", "extra")]), "p4_values": _gold(shred.values, "statements.item.rows.item.values"), "p4_unconfirmed": _gold(shred.unconfirmed, "statements.item.rows.item.unconfirmed"), "p4_pages": _gold(shred.pages, "statements.item.pages"),
     "p4_inputs": p4_inputs, "p4_rejects": p4_rejects,
 }
 
