@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.textnorm import look, visual
+from tallyspark.llm.textnorm import LOOKS, visual
 
 MOST_CAPTIONS = 200_000
 CACHE = 200_000
@@ -48,7 +48,7 @@ class Trie:
     @staticmethod
     def plain(text: str) -> str:
         """What the text looks like, accents apart and in canonical order."""
-        return unicodedata.normalize("NFD", "".join(map(look, text)))
+        return unicodedata.normalize("NFD", text.translate(LOOKS))
 
     def walk(self, text: str, most: int = 0) -> tuple[int, int] | None:
         """(id, cost) of the caption that the text spells at a cost of at most ``most``; None if there is none.

@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def _record_counts(spark: SparkSession, folder: str) -> DataFrame:
     """(source_id, records): distinct examples, gold files and documents of each source."""
     examples = table(spark, folder, "audit_examples").select("source_id", "example_id").distinct().groupBy("source_id").count()
-    files = shred.shred_files(table(spark, folder, "gold_files")).groupBy(F.col("file_id").alias("source_id")).count()
+    files = shred.shred_files(table(spark, folder, "gold_files"), ("status",)).groupBy(F.col("file_id").alias("source_id")).count()
     texts = table(spark, folder, "documents").select("source_id", "doc_id").distinct().groupBy("source_id").count()
     return examples.unionByName(files).unionByName(texts).where("source_id IS NOT NULL").groupBy("source_id").agg(F.sum("count").cast("double").alias("records"))
 
@@ -46,7 +46,8 @@ def p1_shares(spark: SparkSession, folder: str) -> DataFrame:
 def _labels(spark: SparkSession, folder: str) -> DataFrame:
     """(record_id, label, canonical_id) of all audit examples and gold rows; repeated rows may repeat."""
     examples = table(spark, folder, "audit_examples").select(F.col("example_id").alias("record_id"), "label", "canonical_id")
-    lines = shred.rows(shred.shred_files(table(spark, folder, "gold_files")))
+    rows = "statements.item.rows.item."
+    lines = shred.rows(shred.shred_files(table(spark, folder, "gold_files"), (f"{rows}label", f"{rows}canonical_id", f"{rows}extra")))
     gold = lines.select(F.concat_ws("/", "file_id", F.col("statement_pos").cast("string"), F.col("row_pos").cast("string")).alias("record_id"), "label", "canonical_id")
     return spread(examples).unionByName(gold)
 
@@ -87,7 +88,7 @@ LONG_LABEL = 60
 def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
     examples = table(spark, folder, "audit_examples").where(F.length("label") > LONG_LABEL)
     examples = examples.select(F.col("example_id").alias("record_id"), "source_id", "pool", "label").where("record_id IS NOT NULL").dropDuplicates(["record_id"])
-    files = shred.files(shred.shred_files(table(spark, folder, "gold_files")))
+    files = shred.files(shred.shred_files(table(spark, folder, "gold_files"), ("sha256", "status", "note", "extra")))
     labels = overlap.near_pairs(spread(examples)).withColumn("kind", F.lit("example"))
     return labels.unionByName(overlap.same_files(files, table(spark, folder, "sources")).withColumn("kind", F.lit("file")))
 

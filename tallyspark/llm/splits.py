@@ -30,7 +30,7 @@ BUCKETS = 1024
 
 def name_key(name: str | None) -> str | None:
     """A name without its look, case, marks, article and legal form; None if nothing is left."""
-    words = (fold(name, glue=".'") or "").split()
+    words = (fold(name, glue=".'\u2019") or "").split()
     if len(words) > 1 and words[0] == "the":
         words = words[1:]
     while len(words) > 1 and words[-1] in LEGAL_FORMS:

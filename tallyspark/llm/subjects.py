@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.textnorm import fold
+from tallyspark.llm.textnorm import folds
 from tallyspark.session import cut
 
 MOST_LABELLED = 10_000
@@ -42,14 +42,15 @@ ROUNDS = 3
 INNER = 8
 
 _END = re.compile(r"(?<=[.!?؟。])\s+|[\n\r]+")
+_WORD = re.compile(r"[^\W_]{2,}")
 _ARTICLE = re.compile(r"^(?:وال|بال|كال|فال|ال|لل)(?=..)")
 
 
 def sentences(text: str | None) -> list[list[str]]:
     """The sentences of a text as lists of distinct words; lines of fewer than three words are none."""
     out = []
-    for part in _END.split(text) if text else ():
-        words = [w for w in fold(part).split() if len(w) > 1 and not any(map(str.isdigit, w))]
+    for part in _END.split(text.translate(folds())) if text else ():
+        words = [w for w in _WORD.findall(part) if w.isalpha()]
         if len(words) >= 3:
             out.append(list(dict.fromkeys(_ARTICLE.sub("", w) if "؀" <= w[0] <= "ۿ" else w for w in words)))
     return out

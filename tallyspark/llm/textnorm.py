@@ -53,32 +53,55 @@ def look(char: str) -> str:
     return parts if parts == char else "".join(look(c) for c in parts)
 
 
+class _Looks(dict):
+    """Code point -> what it looks like; filled as characters are met."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = look(chr(code))
+        return out
+
+
+class _Folds(dict):
+    """Code point -> what it says: look-alikes, case, accents and Arabic variants taken out in one step."""
+
+    def __init__(self, glue: str):
+        super().__init__({ord(c): "" for c in glue} | {ord("&"): " and "})
+
+    def __missing__(self, code: int) -> str:
+        plain = unicodedata.normalize("NFKD", look(chr(code))).casefold()
+        self[code] = out = "".join(c for c in plain if not unicodedata.combining(c)).translate(_ARABIC)
+        return out
+
+
+LOOKS = _Looks()
+_FOLDS: dict[str, _Folds] = {}
+
+
 def visual(text: str | None) -> str | None:
     """The text as it looks, in composed form."""
     if text is None or text.isascii():
         return text
-    return unicodedata.normalize("NFC", "".join(map(look, text)))
+    return unicodedata.normalize("NFC", text.translate(LOOKS))
 
 
 _GAPS = re.compile(r"[\W_]+")
 
 
-def fold(text: str | None, glue: str = "'") -> str | None:
+def folds(glue: str = "'\u2019") -> _Folds:
+    """The translation table of ``fold``: for texts whose marks and line breaks are still needed."""
+    if glue not in _FOLDS:
+        _FOLDS[glue] = _Folds(glue)
+    return _FOLDS[glue]
+
+
+def fold(text: str | None, glue: str = "'\u2019") -> str | None:
     """Words of the text in lower case without accents and marks, one space between them.
 
     Characters in ``glue`` vanish without parting a word. "&" reads "and".
     """
     if text is None:
         return None
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", "".join(map(look, text)))
-        text = "".join(c for c in text.casefold() if not unicodedata.combining(c)).translate(_ARABIC)
-    else:
-        text = text.lower()
-    text = text.replace("&", " and ").replace("’", "'")
-    for c in glue:
-        text = text.replace(c, "")
-    return _GAPS.sub(" ", text).strip()
+    return _GAPS.sub(" ", text.translate(folds(glue))).strip()
 
 
 _DIGIT_AS = str.maketrans("0135", "oles")
