@@ -87,7 +87,7 @@ LONG_LABEL = 60
 
 def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
     examples = table(spark, folder, "audit_examples").where(F.length("label") > LONG_LABEL)
-    examples = examples.select(F.col("example_id").alias("record_id"), "source_id", "pool", "label").where("record_id IS NOT NULL").dropDuplicates(["record_id"])
+    examples = examples.select(F.col("example_id").alias("record_id"), "source_id", "pool", "label")
     files = shred.files(shred.shred_files(table(spark, folder, "gold_files"), ("sha256", "status", "note", "extra")))
     labels = overlap.near_pairs(spread(examples)).withColumn("kind", F.lit("example"))
     return labels.unionByName(overlap.same_files(files, table(spark, folder, "sources")).withColumn("kind", F.lit("file")))

@@ -96,7 +96,7 @@ def assign_pools(groups: DataFrame, weights: DataFrame, targets: DataFrame) -> D
     their hash: distributed prefix sums over hash buckets give each its place on the line of records,
     and the pool whose stretch holds the middle of it takes it.
     """
-    sized = groups.join(weights, "source_id", "left").groupBy("component").agg(F.sum(F.coalesce("records", F.lit(0)) + F.lit(1e-6)).alias("size"))
+    sized = groups.select("source_id", "component").join(weights.groupBy("source_id").agg(F.sum("records").alias("records")), "source_id", "left").groupBy("component").agg(F.sum(F.coalesce("records", F.lit(0)) + F.lit(1e-6)).alias("size"))
     sized = cut(sized.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(BUCKETS))))
     total = sized.agg(F.sum("size")).first()[0] or 0.0
     shares = [(r["pool"], float(r["share"])) for r in targets.select("pool", "share").where("pool IS NOT NULL AND share > 0").orderBy("pool").limit(100).collect()]
@@ -128,4 +128,4 @@ def assign_pools(groups: DataFrame, weights: DataFrame, targets: DataFrame) -> D
     for p, end in reversed(ends[:-1]):
         pool = F.when(middle < end, F.lit(p)).otherwise(pool)
     pools = where.select("component", pool.alias("pool")).unionByName(fixed)
-    return groups.join(pools, "component", "left").select("source_id", "component", "pool")
+    return groups.select("source_id", "component").join(pools, "component", "left").select("source_id", "component", "pool")
