@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,16 +60,22 @@ def sentences(text: str | None) -> list[list[str]]:
 class Rows:
     """Sparse rows of the matrix: document, word and count of each entry."""
 
-    def __init__(self, lists: list[list[int]]):
-        self.n = len(lists)
-        doc, word, count = [], [], []
-        for k, words in enumerate(lists):
-            for w, c in Counter(words).items():
-                doc.append(k)
-                word.append(w)
-                count.append(c)
-        self.doc, self.word, self.count = np.array(doc, np.int64), np.array(word, np.int64), np.array(count, np.float64)
-        self.size = np.bincount(self.doc, self.count, self.n) if len(doc) else np.zeros(self.n)
+    def __init__(self, n: int, doc: np.ndarray, word: np.ndarray, count: np.ndarray):
+        self.n, self.doc, self.word, self.count = n, doc, word, count.astype(np.float64)
+        self.size = np.bincount(doc, self.count, n) if len(doc) else np.zeros(n)
+
+    @classmethod
+    def of(cls, lists: list[list[int]]) -> Rows:
+        """Rows from lists of word numbers, a word as often as it counts."""
+        counted = [Counter(words) for words in lists]
+        doc = np.repeat(np.arange(len(lists)), [len(c) for c in counted])
+        return cls(len(lists), doc, np.array([w for c in counted for w in c], np.int64), np.array([x for c in counted for x in c.values()], np.float64))
+
+    @classmethod
+    def read(cls, ids: pa.ListArray, counts: pa.ListArray) -> Rows:
+        """Rows from two columns of a batch, without a step per row."""
+        doc = np.repeat(np.arange(len(ids)), np.asarray(pc.list_value_length(ids)))
+        return cls(len(ids), doc, np.asarray(ids.flatten(), np.int64), np.asarray(counts.flatten(), np.float64))
 
     def parts(self, w: np.ndarray, h: np.ndarray) -> np.ndarray:
         """How each entry's count divides over the components."""
@@ -121,19 +128,23 @@ def seed(rows: Rows, labels: list[set[int]], subjects: int, words: int) -> tuple
     return h / h.sum(1, keepdims=True), held
 
 
-def speaks_for(words: list[list[int]], mixture: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """How many of the sentences (lists of word numbers) are about each subject; a sentence has one."""
+def speak_for(doc: np.ndarray, sentence: np.ndarray, word: np.ndarray, mixtures: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """(document, subject) -> how many sentences are about it. The arrays hold one entry per word of a sentence.
+
+    Each word divides over the components by the document's mixture; the subject with the most words
+    of a sentence has it, if that is more than 0.6 of a word.
+    """
     subjects = h.shape[0] - 1
-    out = np.zeros(subjects, np.int64)
-    mix = mixture / max(mixture.sum(), 1e-12) + 0.005
-    for s in words:
-        if s:
-            part = mix[:, None] * h[:, s]
-            part /= np.maximum(part.sum(0), 1e-30)
-            score = part[:subjects].sum(1)
-            best = int(score.argmax())
-            if score[best] > 0.6:
-                out[best] += 1
+    out = np.zeros((len(mixtures), subjects), np.int64)
+    if len(word):
+        mix = mixtures / np.maximum(mixtures.sum(1, keepdims=True), 1e-12) + 0.005
+        part = mix[doc] * h[:, word].T
+        part /= np.maximum(part.sum(1, keepdims=True), 1e-30)
+        first = np.flatnonzero(np.r_[True, (sentence[1:] != sentence[:-1]) | (doc[1:] != doc[:-1])])
+        score = np.add.reduceat(part[:, :subjects], first, axis=0)
+        best = score.argmax(1)
+        sure = score[np.arange(len(best)), best] > 0.6
+        np.add.at(out, (doc[first][sure], best[sure]), 1)
     return out
 
 
@@ -173,24 +184,34 @@ def subject_mixtures(documents: DataFrame, subjects: DataFrame, labels: DataFram
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [[[number[w] for w in s if w in number] for s in sentences(x.as_py())] for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in found], pa.int32()), pa.array([[s for s in x if s] for x in found], pa.list_(pa.list_(pa.int32())))], names=["doc_id", "sentences", "words"])
+            found = [[number[w] for s in sentences(x.as_py()) for w in s if w in number] for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "words"])
 
     chosen = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject").alias("own")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
     chosen = cut(chosen)  # at most MOST_LABELLED rows
-    schema = "doc_id BIGINT, sentences INT, words ARRAY<ARRAY<INT>>"
-    seeds = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(numbered, schema).join(F.broadcast(chosen), "doc_id").select("words", "own").collect()
-    lists = [[w for s in r["words"] for w in s] for r in seeds] + [[number[w] for s in sentences(g) for w in s if w in number] for g in glosses.values()]
+    seeds = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(numbered, "doc_id BIGINT, words ARRAY<INT>").join(F.broadcast(chosen), "doc_id").select("words", "own").collect()
+    lists = [r["words"] for r in seeds] + [[number[w] for s in sentences(g) for w in s if w in number] for g in glosses.values()]
     owns = [{place[s] for s in r["own"] if s in place} for r in seeds] + [{place[s]} for s in glosses if s in place]
-    h, held = seed(Rows(lists), owns, len(names), len(number))
+    h, held = seed(Rows.of(lists), owns, len(names), len(number))
 
     def topical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free = {w: k for w, k in number.items() if not held[k]}
         for b in batches:
-            found = [[[free[w] for w in s if w in free] for s in sentences(x.as_py())] for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in found], pa.int32()), pa.array([[s for s in x if s] for x in found], pa.list_(pa.list_(pa.int32())))], names=["doc_id", "sentences", "words"])
-
-    matrix = cut(texts.mapInArrow(topical, schema).where("size(words) > 0"))
+            sizes, words, places, ids, counts = [], [], [], [], []
+            for x in b.column(1):
+                found = sentences(x.as_py())
+                mine = [(free[w], k) for k, s in enumerate(found) for w in s if w in free]
+                total = Counter(w for w, _ in mine)
+                sizes.append(len(found))
+                words.append([w for w, _ in mine])
+                places.append([k for _, k in mine])
+                ids.append(list(total))
+                counts.append(list(total.values()))
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(words, ints), pa.array(places, ints), pa.array(ids, ints), pa.array(counts, ints)], names=["doc_id", "sentences", "words", "places", "ids", "counts"])
+
+    lists_of = "words ARRAY<INT>, places ARRAY<INT>, ids ARRAY<INT>, counts ARRAY<INT>"
+    matrix = cut(texts.mapInArrow(topical, f"doc_id BIGINT, sentences INT, {lists_of}").where("size(words) > 0"))
     for k in range(ROUNDS):
         h = _update(matrix, h, hold=k < ROUNDS - 1)
     last = spark.sparkContext.broadcast(h.astype(np.float32))  # subjects x vocabulary, both bounded
@@ -198,14 +219,15 @@ def subject_mixtures(documents: DataFrame, subjects: DataFrame, labels: DataFram
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = last.value.astype(np.float64)
         for b in batches:
-            ids, sizes, words = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-            mixed = Rows([[w for s in x for w in s] for x in words]).mixtures(weights, None, 3 * INNER)
-            out: list[tuple] = []
-            for i, n, x, m in zip(ids, sizes, words, mixed, strict=True):
-                about, part = speaks_for(x, m, weights), m / max(m.sum(), 1e-12)
-                out.extend((i, n, names[k], int(about[k]), float(about[k]) / n, float(part[k])) for k in np.flatnonzero(about))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "sentences", "subject", "about", "share", "weight"])
+            words, places = b.column(2), b.column(3)
+            mixed = Rows.read(b.column(4), b.column(5)).mixtures(weights, None, 3 * INNER)
+            doc = np.repeat(np.arange(len(words)), np.asarray(pc.list_value_length(words)))
+            about = speak_for(doc, np.asarray(places.flatten()), np.asarray(words.flatten(), np.int64), mixed, weights)
+            row, subject = np.nonzero(about)
+            n = np.asarray(b.column(1))[row]
+            part = (mixed / np.maximum(mixed.sum(1, keepdims=True), 1e-12))[row, subject]
+            took = about[row, subject]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(n, pa.int32()), pa.array([names[k] for k in subject], pa.string()), pa.array(took, pa.int32()), pa.array(took / n, pa.float64()), pa.array(part, pa.float64())], names=["doc_id", "sentences", "subject", "about", "share", "weight"])
 
     found = matrix.mapInArrow(decode, "doc_id BIGINT, sentences INT, subject STRING, about INT, share DOUBLE, weight DOUBLE")
     return found.dropDuplicates(["doc_id", "subject"])
@@ -224,13 +246,13 @@ def _update(matrix: DataFrame, h: np.ndarray, hold: bool) -> np.ndarray:
         weights = shared.value.astype(np.float64)
         total = np.zeros((k, words))
         for b in batches:
-            rows = Rows([[w for s in x for w in s] for x in b.column(2).to_pylist()])
+            rows = Rows.read(b.column(0), b.column(1))
             if len(rows.doc):
                 total += rows.by_word(rows.parts(rows.mixtures(weights, None, INNER), weights), words)
         at = np.flatnonzero(total.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(list(total[:, at].T), pa.list_(pa.float64()))], names=["word", "part"])
 
-    parts = matrix.mapInArrow(sums, "word INT, part ARRAY<DOUBLE>")
+    parts = matrix.select("ids", "counts").mapInArrow(sums, "word INT, part ARRAY<DOUBLE>")
     each = parts.groupBy("word").agg(*[F.sum(F.col("part")[j]).alias(f"p{j}") for j in range(k)]).collect()
     new = np.zeros_like(h)
     for r in each:
