@@ -52,4 +52,78 @@ QUERIES: dict[str, Query] = {
     "p4_inputs": p4_inputs, "p4_rejects": p4_rejects,
 }
 
-ORACLES: dict[str, str] = {}
+# --- the same in SQL -------------------------------------------------------------------------------
+
+_P4 = """WITH d AS (SELECT delivery_id, received_at, body FROM gold_files WHERE json_valid(body)),
+u AS (SELECT delivery_id, received_at, CASE WHEN json_type(body) = 'VARCHAR' THEN json_extract_string(body, '$') ELSE body END AS b FROM d),
+f AS (SELECT delivery_id, received_at, unnest(CASE WHEN json_type(b, '$.readings') = 'ARRAY' THEN CAST(json_extract(b, '$.readings') AS JSON[]) ELSE [CAST(b AS JSON)] END) AS f FROM u),
+l AS (SELECT json_extract_string(f, '$.id') AS file_id, arg_max(f, struct_pack(a := received_at, b := delivery_id)) AS f FROM f WHERE json_extract_string(f, '$.id') IS NOT NULL GROUP BY 1),
+s0 AS (SELECT file_id, CASE WHEN json_type(f, '$.statements') = 'ARRAY' THEN CAST(json_extract(f, '$.statements') AS JSON[]) WHEN json_type(f, '$.statements') = 'OBJECT' THEN [json_extract(f, '$.statements')] ELSE CAST([] AS JSON[]) END AS a FROM l),
+s AS (SELECT file_id, unnest(range(len(a))) AS sp, unnest(a) AS s FROM s0),
+r0 AS (SELECT file_id, sp, CASE WHEN json_type(s, '$.rows') = 'ARRAY' THEN CAST(json_extract(s, '$.rows') AS JSON[]) ELSE CAST([] AS JSON[]) END AS a FROM s),
+r AS (SELECT file_id, sp, unnest(range(len(a))) AS rp, unnest(a) AS r FROM r0),
+vo AS (SELECT file_id, sp, rp, unnest(json_keys(r, '$.values')) AS k, r FROM r WHERE json_type(r, '$.values') = 'OBJECT'),
+va AS (SELECT file_id, sp, rp, unnest(CAST(json_extract(r, '$.values') AS JSON[])) AS p FROM r WHERE json_type(r, '$.values') = 'ARRAY'),
+v AS (SELECT file_id, sp, rp, k, json_extract_string(json_extract(r, '$.values'), '$."' || k || '"') AS x FROM vo UNION ALL SELECT file_id, sp, rp, json_extract_string(p, '$.period'), json_extract_string(p, '$.value') FROM va),
+m AS (SELECT DISTINCT ON (metric_value_id) metric_value_id, inputs FROM metric_values WHERE inputs IS NOT NULL ORDER BY metric_value_id),
+mr AS (SELECT metric_value_id, unnest(map_keys(inputs)) AS role, unnest(map_values(inputs)) AS u FROM m),
+mi AS (SELECT metric_value_id, role, unnest(range(len(u))) AS pos, unnest(u) AS i FROM mr WHERE len(u) > 0)"""
+
+
+def _arabic(word: str) -> bool:
+    return "؀" <= word[0] <= "ۿ"
+
+
+def _sql_list(words: list[str]) -> str:
+    """Words as an alternation of a DuckDB pattern, for a SQL literal."""
+    quoted = ("".join("\\" + c if c in ".+*?^$|()[]{}\\" else c for c in w) for w in sorted(words, key=lambda w: (-len(w), w)))
+    return "|".join(quoted).replace("'", "''")
+
+
+def _sql_unit(text: str, printed: bool) -> tuple[str, str]:
+    """(scale, currency) of a caption or printed figure, as CASE chains over lists of words."""
+    clean = f"lower(replace(replace(replace({text}, chr(160), ' '), chr(8239), ' '), '’', ''''))"
+    if printed:
+        clean = f"regexp_replace({clean}, '[0-9٠-٩][0-9٠-٩,.٬٫ ]*', ' ', 'g')"
+    else:
+        clean = f"regexp_replace({clean}, '\\([^)]*[0-9][^)]*to[^)]*\\)', '', 'g')"
+
+    def has(words: list[str]) -> str:
+        latin, arabic = [w for w in words if not _arabic(w)], [w for w in words if _arabic(w)]
+        ways = []
+        if latin:
+            ways.append(f"(^|[^\\p{{L}}\\p{{N}}.,])({_sql_list(latin)})($|[^\\p{{L}}\\p{{N}}])")
+        if arabic:
+            ways.append(f"(^|[^\\p{{L}}])([وبلك]|ال|بال|وال|لل)?({_sql_list(arabic)})($|[^\\p{{L}}])")
+        return f"regexp_matches({clean}, '{'|'.join(ways)}')"
+
+    subs: dict[tuple[str, str], list[str]] = {}
+    for w, unit in units.SUBUNIT_WORDS.items():
+        subs.setdefault(unit, []).append(w)
+    scales: dict[str, list[str]] = {}
+    for w, factor in units.SCALE_WORDS.items():
+        scales.setdefault(factor, []).append(w)
+    codes: dict[str, list[str]] = {}
+    for w, code in units.CURRENCY_WORDS.items():
+        codes.setdefault(code, []).append(w)
+    sub_scale = " ".join(f"WHEN {has(ws)} THEN {factor}" for (factor, _), ws in subs.items())
+    sub_code = " ".join(f"WHEN {has(ws)} THEN '{code}'" for (_, code), ws in subs.items())
+    scale = " ".join(f"WHEN {has(scales[f])} THEN {f}" for f in ("1000000000", "1000000", "1000", "1"))  # a caption has one
+    code = " ".join(f"WHEN {has(codes[c])} THEN '{c}'" for c in ("AED", "MAD", "SAR", "EGP", "KWD", "EUR", "USD"))
+    return f"CASE {sub_scale} {scale} END", f"CASE {sub_code} {code} END"
+
+
+_CAPTION, _PRINTED, _GIVEN = _sql_unit("unit_text", False), _sql_unit("raw_text", True), _sql_unit("s.unit_text", False)
+_FIGURE = r"""COALESCE(reported, CASE WHEN raw_text IS NOT NULL THEN TRY_CAST(replace(regexp_replace(regexp_extract(t, '([0-9][0-9,.\s]*)', 1), '\s', '', 'g'), ',', '') AS DECIMAL(38,6)) * (CASE WHEN regexp_matches(t, '\([^()]*[0-9][^()]*\)|-\s*[^0-9\s]{0,4}\s*[0-9]|[0-9]\s*-\s*[^0-9]*$') THEN -1 ELSE 1 END) END)"""
+_P3 = f"""WITH i AS (SELECT DISTINCT ON (input_id) * FROM (SELECT unnest(u, recursive := true) FROM (SELECT unnest(map_values(inputs)) AS u FROM (SELECT inputs FROM metric_values WHERE inputs IS NOT NULL)) WHERE len(u) > 0)),
+j AS (SELECT *, replace(replace(translate(raw_text, '٠١٢٣٤٥٦٧٨٩٬٫−', '0123456789,.-'), chr(160), ' '), chr(8239), ' ') AS t FROM i WHERE canonical_id IS NULL OR canonical_id NOT IN ('per_share_basic', 'per_share_diluted')),
+k AS (SELECT input_id, statement_id, {_FIGURE} AS figure, COALESCE(CAST(scale AS DECIMAL(13,3)), {_CAPTION[0]}, {_PRINTED[0]}) AS sc, COALESCE(currency, {_CAPTION[1]}, {_PRINTED[1]}) AS cu FROM j),
+st AS (SELECT statement_id, COALESCE(CAST(scale AS DECIMAL(13,3)), {_GIVEN[0]}) AS gs, COALESCE(currency, {_GIVEN[1]}) AS gc FROM statements s)
+SELECT input_id, CAST(round(CAST(figure AS DECIMAL(24,6)) * COALESCE(sc, gs, 1), 0) AS BIGINT) AS amount, COALESCE(cu, gc) AS currency FROM k LEFT JOIN st USING (statement_id) WHERE figure IS NOT NULL AND COALESCE(cu, gc) IS NOT NULL"""
+
+ORACLES: dict[str, str] = {
+    "p3_found": _P3,
+    "p4_found": _P4 + " SELECT DISTINCT file_id AS record_id, CAST(sp AS VARCHAR) AS branch, rp AS position, k AS leaf FROM v WHERE x IS NOT NULL AND x <> '' UNION ALL SELECT metric_value_id, role, pos, CAST(i.input_id AS VARCHAR) FROM mi",
+    "p4_inputs": _P4 + " SELECT metric_value_id, role, pos AS position, i.* FROM mi",
+    "p4_rejects": "SELECT delivery_id, received_at, CAST(length(body) AS BIGINT) AS n_chars FROM gold_files WHERE NOT json_valid(body)",
+}
