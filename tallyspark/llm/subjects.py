@@ -35,6 +35,7 @@ MOST_LABELLED = 10_000
 RARITY = 2000
 LEAST_DOCUMENTS = 5
 LEAST_COUNT = 20
+REMEMBERED = 500_000
 #: A document is about a subject if at least this share of its sentences is.
 SHARE = 0.2
 #: Words spread over the equivalent of so many subjects belong to none.
@@ -42,19 +43,67 @@ FRAME = 3.0
 ROUNDS = 3
 INNER = 8
 
-_END = re.compile(r"(?<=[.!?؟。])\s+|[\n\r]+")
 _WORD = re.compile(r"[^\W_]{2,}")
+_TOKEN = re.compile(r"[^\W_]{2,}|[.!?؟。](?=\s)|[\n\r]")
 _ARTICLE = re.compile(r"^(?:وال|بال|كال|فال|ال|لل)(?=..)")
 
 
-def sentences(text: str | None) -> list[list[str]]:
-    """The sentences of a text as lists of distinct words; lines of fewer than three words are none."""
-    out = []
-    for part in _END.split(text.translate(folds())) if text else ():
-        words = [w for w in _WORD.findall(part) if w.isalpha()]
-        if len(words) >= 3:
-            out.append(list(dict.fromkeys(_ARTICLE.sub("", w) if "؀" <= w[0] <= "ۿ" else w for w in words)))
-    return out
+def plain_word(token: str) -> str | None:
+    """A token as a word: letters only, Arabic without its article; None for anything else."""
+    if not token.isalpha():
+        return None
+    return _ARTICLE.sub("", token) if "؀" <= token[0] <= "ۿ" else token
+
+
+def words_of(text: str | None) -> set[str]:
+    """The different words of a text."""
+    return {w for t in set(_WORD.findall(text.translate(folds()))) if (w := plain_word(t))} if text else set()
+
+
+class SentenceReader:
+    """Reads a text into sentences of word numbers; what each token stands for is remembered."""
+
+    END, OTHER, UNKNOWN = -3, -2, -1
+
+    def __init__(self, number: dict[str, int]):
+        self.number = number
+        self.met: dict[str, int] = {}
+
+    def _code(self, token: str) -> int:
+        if not (token[0].isalnum()):
+            code = self.END
+        elif (word := plain_word(token)) is None:
+            code = self.OTHER
+        else:
+            code = self.number.get(word, self.UNKNOWN)
+        if len(self.met) >= REMEMBERED:
+            self.met.clear()
+        self.met[token] = code
+        return code
+
+    def __call__(self, text: str | None) -> tuple[int, list[int], list[int]]:
+        """(sentences, word numbers, the sentence of each): a word once a sentence; lines of fewer than three words are none."""
+        words, places, n = [], [], 0
+        here: dict[int, None] = {}
+        count = 0
+        met = self.met
+        for token in [*_TOKEN.findall(text.translate(folds())), "."] if text else ():
+            code = met.get(token)
+            if code is None:
+                code = self._code(token)
+            if code >= 0:
+                here[code] = None
+                count += 1
+            elif code == -1:
+                count += 1
+            elif code == -3 and count:
+                if count >= 3:
+                    words.extend(here)
+                    places.extend([n] * len(here))
+                    n += 1
+                here = {}
+                count = 0
+        return n, words, places
 
 
 class Rows:
@@ -156,7 +205,7 @@ def _vocabulary(documents: DataFrame) -> dict[str, int]:
         read = 0
         for b in batches:
             for text in b.column(1):
-                total.update({w for s in sentences(text.as_py()) for w in s})
+                total.update(words_of(text.as_py()))
                 read += 1
             if len(total) > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
@@ -183,30 +232,25 @@ def subject_mixtures(documents: DataFrame, subjects: DataFrame, labels: DataFram
     number = _vocabulary(texts)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = SentenceReader(number)
         for b in batches:
-            found = [[number[w] for s in sentences(x.as_py()) for w in s if w in number] for x in b.column(1)]
+            found = [read(x.as_py())[1] for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "words"])
 
     chosen = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject").alias("own")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
     chosen = cut(chosen)  # at most MOST_LABELLED rows
     seeds = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(numbered, "doc_id BIGINT, words ARRAY<INT>").join(F.broadcast(chosen), "doc_id").select("words", "own").collect()
-    lists = [r["words"] for r in seeds] + [[number[w] for s in sentences(g) for w in s if w in number] for g in glosses.values()]
+    lists = [r["words"] for r in seeds] + [[number[w] for w in words_of(g) if w in number] for g in glosses.values()]
     owns = [{place[s] for s in r["own"] if s in place} for r in seeds] + [{place[s]} for s in glosses if s in place]
     h, held = seed(Rows.of(lists), owns, len(names), len(number))
 
     def topical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free = {w: k for w, k in number.items() if not held[k]}
+        read = SentenceReader({w: k for w, k in number.items() if not held[k]})
         for b in batches:
-            sizes, words, places, ids, counts = [], [], [], [], []
-            for x in b.column(1):
-                found = sentences(x.as_py())
-                mine = [(free[w], k) for k, s in enumerate(found) for w in s if w in free]
-                total = Counter(w for w, _ in mine)
-                sizes.append(len(found))
-                words.append([w for w, _ in mine])
-                places.append([k for _, k in mine])
-                ids.append(list(total))
-                counts.append(list(total.values()))
+            found = [read(x.as_py()) for x in b.column(1)]
+            totals = [Counter(w) for _, w, _ in found]
+            sizes, words, places = [x[0] for x in found], [x[1] for x in found], [x[2] for x in found]
+            ids, counts = [list(t) for t in totals], [list(t.values()) for t in totals]
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(words, ints), pa.array(places, ints), pa.array(ids, ints), pa.array(counts, ints)], names=["doc_id", "sentences", "words", "places", "ids", "counts"])
 
