@@ -124,6 +124,13 @@ SELECT input_id, CAST(round(CAST(figure AS DECIMAL(24,6)) * COALESCE(sc, gs, 1),
 ORACLES: dict[str, str] = {
     "p3_found": _P3,
     "p4_found": _P4 + " SELECT DISTINCT file_id AS record_id, CAST(sp AS VARCHAR) AS branch, rp AS position, k AS leaf FROM v WHERE x IS NOT NULL AND x <> '' UNION ALL SELECT metric_value_id, role, pos, CAST(i.input_id AS VARCHAR) FROM mi",
+    "p4_files": _P4 + " SELECT file_id, json_extract_string(f, '$.sha256') AS sha256, json_extract_string(f, '$.status') AS status, json_extract_string(f, '$.note') AS note, CAST(NULL AS VARCHAR) AS extra FROM l",
+    "p4_statements": _P4 + " SELECT file_id, sp AS statement_pos, json_extract_string(s, '$.type') AS type, json_extract_string(s, '$.page_mode') AS page_mode, CAST(json_extract_string(s, '$.scale') AS BIGINT) AS scale, json_extract_string(s, '$.currency') AS currency, CAST(NULL AS VARCHAR) AS extra FROM s",
+    "p4_rows": _P4 + " SELECT file_id, sp AS statement_pos, rp AS row_pos, json_extract_string(r, '$.label') AS label, json_extract_string(r, '$.canonical_id') AS canonical_id, CAST(NULL AS VARCHAR) AS extra FROM r",
+    "p4_values": _P4 + ", o AS (SELECT file_id, sp, rp, unnest(range(len(json_keys(r, '$.values')))) AS p, unnest(json_keys(r, '$.values')) AS k, r FROM r WHERE json_type(r, '$.values') = 'OBJECT'), a AS (SELECT file_id, sp, rp, unnest(range(len(CAST(json_extract(r, '$.values') AS JSON[])))) AS p, unnest(CAST(json_extract(r, '$.values') AS JSON[])) AS e FROM r WHERE json_type(r, '$.values') = 'ARRAY') SELECT file_id, sp AS statement_pos, rp AS row_pos, p AS value_pos, k AS period_key, json_extract_string(json_extract(r, '$.values'), '$.\"' || k || '\"') AS value FROM o UNION ALL SELECT file_id, sp, rp, p, json_extract_string(e, '$.period'), json_extract_string(e, '$.value') FROM a",
+    "p4_periods": _P4 + ", pe AS (SELECT file_id, sp, unnest(range(len(CAST(json_extract(s, '$.periods') AS JSON[])))) AS p, unnest(CAST(json_extract(s, '$.periods') AS JSON[])) AS e FROM s WHERE json_type(s, '$.periods') = 'ARRAY') SELECT file_id, sp AS statement_pos, p AS period_pos, json_extract_string(e, '$.key') AS period_key, CAST(json_extract_string(e, '$.end_date') AS DATE) AS end_date, json_extract_string(e, '$.kind') AS kind, CAST(json_extract_string(e, '$.months') AS INTEGER) AS months, CAST(json_extract_string(e, '$.restated') AS BOOLEAN) AS restated, CAST(json_extract_string(e, '$.audited') AS BOOLEAN) AS audited FROM pe",
+    "p4_unconfirmed": _P4 + " SELECT file_id, sp AS statement_pos, rp AS row_pos, p AS unconfirmed_pos, json_extract_string(e, '$') AS period_key FROM (SELECT file_id, sp, rp, unnest(range(len(CAST(json_extract(r, '$.unconfirmed') AS JSON[])))) AS p, unnest(CAST(json_extract(r, '$.unconfirmed') AS JSON[])) AS e FROM r WHERE json_type(r, '$.unconfirmed') = 'ARRAY')",
+    "p4_pages": _P4 + " SELECT file_id, sp AS statement_pos, p AS page_pos, CAST(json_extract_string(e, '$') AS INTEGER) AS page FROM (SELECT file_id, sp, unnest(range(len(CAST(json_extract(s, '$.pages') AS JSON[])))) AS p, unnest(CAST(json_extract(s, '$.pages') AS JSON[])) AS e FROM s WHERE json_type(s, '$.pages') = 'ARRAY')",
     "p4_inputs": _P4 + " SELECT metric_value_id, role, pos AS position, i.* FROM mi",
     "p4_rejects": "SELECT delivery_id, received_at, CAST(length(body) AS BIGINT) AS n_chars FROM gold_files WHERE NOT json_valid(body)",
 }
