@@ -67,3 +67,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, where it is not on their path already."""
+    import shutil
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="tallyspark-")) / "tallyspark"), "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
