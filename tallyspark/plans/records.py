@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import hashing, labels, numbers, periods, stats, units
-from tallyspark.operators import dataset, evaluate, locate, mapping, shred, split, sums
+from tallyspark.operators import dataset, documents, evaluate, locate, mapping, shred, split, sums, tables
 from tallyspark.session import table
 from tallyspark.streaming import events as streams
 
@@ -363,6 +363,56 @@ def latest_tags(spark: SparkSession, folder: str) -> DataFrame:
     return mapping.latest_version(v).select("tag", "definition")
 
 
+# --- documents and tables ----------------------------------------------------------------------------
+
+
+def document_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of the texts of each source, by its letters."""
+    d = table(spark, folder, "documents").where("source_id IS NOT NULL")
+    count = lambda c: F.length(F.regexp_replace("text", f"[^{c}]", ""))
+    return documents.document_language(d.select(F.col("source_id").alias("doc_id"), count("ء-ي").alias("arabic_chars"), count("A-Za-z").alias("latin_chars")))
+
+
+def document_currency(spark: SparkSession, folder: str) -> DataFrame:
+    s = table(spark, folder, "statements").select("doc_id", "currency", "statement_id")
+    return documents.most_common_first(s.withColumn("place", F.expr("CAST(substring(statement_id, 4) AS BIGINT)")), "doc_id", "currency", "place")
+
+
+#: Currencies of domiciles.
+DOMICILES = (("SA", "SAR"), ("AE", "AED"), ("EG", "EGP"), ("KW", "KWD"), ("MA", "MAD"), ("US", "USD"), ("FR", "EUR"))
+
+
+def statement_currency(spark: SparkSession, folder: str) -> DataFrame:
+    """Currency of each statement with where it comes from: column, caption, domicile."""
+    s = table(spark, folder, "statements").select("statement_id", "doc_id", F.col("currency").alias("header_currency"), units.detect_currency(F.col("unit_text")).alias("caption_currency"))
+    homes = spark.createDataFrame(list(DOMICILES), "country STRING, domicile_currency STRING")
+    d = _sources(spark, folder).select(F.col("source_id").alias("doc_id"), "country").join(F.broadcast(homes), "country", "left").withColumn("document_currency", F.lit(None).cast("string"))
+    return documents.metadata(s, d).select("statement_id", "currency", "source", F.array_join("flags", ";").alias("flags"))
+
+
+def alias_pools(spark: SparkSession, folder: str) -> DataFrame:
+    """Names and numbers of sources linked into groups, with the pool they share."""
+    s = _sources(spark, folder).where("pool IS NOT NULL")
+    keys = s.select(F.concat(F.lit("name:"), F.nullif(labels.issuer_key(F.col("issuer")), F.lit(""))).alias("name_key"), labels.cik_key(F.nullif(F.regexp_extract("cik", "(\\d+)", 1), F.lit(""))).alias("cik_key"), "pool")
+    return documents.alias_pools(keys)
+
+
+def merged_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """The one currency that all statements of a document give, null where they differ."""
+    return documents.merge_evidence(table(spark, folder, "statements").where("currency IS NOT NULL"), ["doc_id", "type"], "currency")
+
+
+def latest_events(spark: SparkSession, folder: str) -> DataFrame:
+    return documents.latest_unique(table(spark, folder, "events"), ["user_id", "event_type"], "ts").select("user_id", "event_type", "event_id")
+
+
+def table_types(spark: SparkSession, folder: str) -> DataFrame:
+    """The labels of each source as a table, scored for the two statement types."""
+    l = _label_ids(spark, folder).join(_examples(spark, folder).select(F.col("example_id").alias("label_id"), F.col("source_id").alias("table_id")), "label_id").select("table_id", "squashed")
+    titles = _sources(spark, folder).where("period = 'annual'").select(F.col("source_id").alias("table_id"), F.lit("income").alias("type"), F.lit("cue").alias("how"))
+    return tables.table_scores(l, _alias_forms(spark, folder), titles)
+
+
 # --- streams -----------------------------------------------------------------------------------------
 
 
@@ -401,6 +451,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     hash_split, pool_assign, part_counts, moved_parts, impure_sources, dedupe_lowest, target_conflicts, issuer_cap, sampled_rows, route_counts, coverage_curve, consistency_removals, exclusions, contradictory_labels,
     multiset_match, multiset_diff, near_issuers, snapshot_changes, confusion, class_scores, macro_f1, score_strata, wilson, error_bounds, p90_strata, gate_cube, bootstrap, unmatched_rows,
     page_scores, numeric_tokens, find_ranges, merge_intervals, conversion_plan, industry_verdict, label_match, prefix_match, longest_heading, carried_forward, latest_tags,
+    document_language, document_currency, statement_currency, alias_pools, merged_evidence, latest_events, table_types,
     event_windows, event_sliding, event_sessions, event_state, event_sequence,
 )}
 
@@ -512,6 +563,16 @@ SELECT o_orderkey, CASE WHEN m = 0 OR m = 3 THEN strftime(x, '%Y-%m-%d') WHEN m
     "longest_heading": _EX + ", h AS (SELECT DISTINCT heading FROM (SELECT unnest([string_split(lower(alias), ' ')[1], array_to_string(string_split(lower(alias), ' ')[1:2], ' ')]) AS heading FROM taxonomy_aliases) WHERE length(heading) >= 3), m AS (SELECT example_id AS label_id, lower(label) AS label, heading, row_number() OVER (PARTITION BY example_id ORDER BY length(heading) DESC, heading DESC) AS k FROM ex JOIN h ON starts_with(lower(label), heading || ' ')) SELECT label_id, heading, substring(label, length(heading) + 2) AS rest FROM m WHERE k = 1",
     "carried_forward": "SELECT event_id AS ordinal, last_value(CASE WHEN event_type IN ('purchase', 'login') THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS event_type_carried FROM events",
     "latest_tags": _EX + " SELECT string_split(tag, ':')[-1] AS tag, arg_max(statement, extracted_at) AS definition FROM ex WHERE tag IS NOT NULL GROUP BY 1",
+    "document_language": "SELECT source_id AS doc_id, CASE WHEN COALESCE(SUM(a), 0) + COALESCE(SUM(l), 0) = 0 THEN NULL WHEN SUM(a) > SUM(l) THEN 'ar' ELSE 'en' END AS language FROM (SELECT source_id, length(regexp_replace(text, '[^ء-ي]', '', 'g')) AS a, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS l FROM documents WHERE source_id IS NOT NULL) GROUP BY 1",
+    "document_currency": "SELECT doc_id, currency, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS k FROM (SELECT doc_id, currency, COUNT(*) AS n, MIN(CAST(substring(statement_id, 4) AS BIGINT)) AS f FROM statements WHERE currency IS NOT NULL GROUP BY 1, 2)) WHERE k = 1",
+    "statement_currency": _EX + f", dm(country, dc) AS (VALUES {', '.join(str(d) for d in DOMICILES)}), s AS (SELECT statement_id, currency AS h, CASE WHEN unit_text IS NOT NULL THEN {_CURRENCY} END AS c, dc AS d FROM statements LEFT JOIN so ON source_id = doc_id LEFT JOIN dm USING (country)) SELECT statement_id, COALESCE(h, c, d, 'XXX') AS currency, CASE WHEN h IS NOT NULL THEN 'header' WHEN c IS NOT NULL THEN 'caption' WHEN d IS NOT NULL THEN 'domicile' END AS source, concat_ws(';', CASE WHEN h <> c THEN 'currency_conflict' END, CASE WHEN h IS NULL AND c IS NULL AND d IS NOT NULL THEN 'currency_from_domicile' END, CASE WHEN COALESCE(h, c, d) IS NULL THEN 'currency_missing' END) AS flags FROM s",
+    "alias_pools": _EX.replace("WITH", "WITH RECURSIVE") + f""", k AS (SELECT 'name:' || NULLIF({_key('issuer')}, '') AS n, 'cik:' || TRY_CAST(NULLIF(regexp_extract(cik, '(\\d+)', 1), '') AS BIGINT) AS c, pool FROM so WHERE pool IS NOT NULL),
+e AS (SELECT n AS u, c AS v FROM k WHERE n IS NOT NULL AND c IS NOT NULL UNION SELECT c, n FROM k WHERE n IS NOT NULL AND c IS NOT NULL), ky AS (SELECT n AS key FROM k WHERE n IS NOT NULL UNION SELECT c FROM k WHERE c IS NOT NULL),
+r(key, reach) AS (SELECT key, key FROM ky UNION SELECT r.key, e.v FROM r JOIN e ON e.u = r.reach), g AS (SELECT key, MIN(reach) AS "group" FROM r GROUP BY 1),
+p AS (SELECT "group", MIN(pool) AS a, MAX(pool) AS b, COUNT(DISTINCT c) AS m FROM k JOIN g ON g.key = COALESCE(n, c) GROUP BY 1) SELECT key, "group", CASE WHEN a = b AND m <= 1 THEN a END AS pool, a <> b OR m > 1 AS conflict FROM g JOIN p USING ("group")""",
+    "merged_evidence": "SELECT doc_id, type, CASE WHEN COUNT(DISTINCT currency) = 1 THEN MIN(currency) END AS currency, COUNT(*) AS observations, COUNT(DISTINCT currency) > 1 AS conflict FROM statements WHERE currency IS NOT NULL GROUP BY 1, 2",
+    "latest_events": "SELECT user_id, event_type, MIN(event_id) AS event_id FROM (SELECT *, rank() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) AS r FROM events) WHERE r = 1 GROUP BY 1, 2 HAVING COUNT(*) = 1",
+    "table_types": _EX + f", l AS (SELECT DISTINCT source_id AS table_id, replace({_simple('label')}, ' ', '') AS s FROM ex WHERE label IS NOT NULL), a AS (SELECT DISTINCT statement AS type, replace({_simple('alias')}, ' ', '') AS s FROM taxonomy_aliases JOIN taxonomy_items USING (item_id)), h AS (SELECT table_id, type, COUNT(*) AS hits FROM l JOIN a USING (s) GROUP BY 1, 2), e AS (SELECT * FROM (SELECT DISTINCT table_id FROM l WHERE s <> ''), (SELECT DISTINCT type FROM a)), c AS (SELECT table_id, type, COALESCE(hits, 0) AS hits, CASE WHEN type = 'income' AND period = 'annual' THEN 0.15 ELSE 0 END AS b FROM e LEFT JOIN h USING (table_id, type) LEFT JOIN so ON source_id = table_id), d AS (SELECT *, round(CAST(0.6 * least(hits, 6) / 6 + 0.1 + b AS DOUBLE), 3) AS score FROM c), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY table_id ORDER BY score DESC, b DESC, type) AS INTEGER) AS place FROM d) SELECT table_id, type, hits, score, place, place = 1 AND score >= 0.5 AS settled FROM k",
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, COUNT(*) AS n, round(SUM(value), 6) AS total FROM events GROUP BY 1, 2",
     "event_sliding": "SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, COUNT(*) AS n, round(SUM(value), 6) AS total FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS s, value FROM events) GROUP BY 1",
     "event_sessions": "SELECT user_id, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS start, COUNT(*) AS n FROM (SELECT *, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, g",
