@@ -157,6 +157,17 @@ def route_counts(spark: SparkSession, folder: str) -> DataFrame:
     return dataset.route_counts(dataset.route(s, rules))
 
 
+def row_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Every example by what becomes of it, and by statement: a cascade of rules, counted in one pass."""
+    ids = table(spark, folder, "taxonomy_items").select(F.col("item_id").alias("canonical_id"), F.lit(True).alias("listed"))
+    e = _examples(spark, folder).select("statement", "label", "tag", "canonical_id").join(F.broadcast(ids), "canonical_id", "left")
+    rules = [
+        ("unsupported_statement_code", ~F.col("statement").isin("income", "balance")), ("empty_label", F.col("label").isNull() | (F.trim("label") == "")), ("custom_extension", F.col("tag").isNull() | F.col("tag").startswith("custom:")),
+        ("unsupported_namespace", ~F.substring_index("tag", ":", 1).isin("us-gaap", "ifrs-full")), ("null_entry", F.col("canonical_id").isNull()), ("outside_crosswalk", F.col("listed").isNull()),
+    ]
+    return dataset.route(e, rules).withColumn("kind", F.coalesce("drop_reason", F.lit("mapped"))).rollup("kind", "statement").agg(F.count(F.lit(1)).alias("n"))
+
+
 def coverage_curve(spark: SparkSession, folder: str) -> DataFrame:
     counts = _examples(spark, folder).where("label IS NOT NULL").groupBy(F.lower("label").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     return dataset.coverage_curve(counts, [10, 25, 50, 75, 90, 95, 99, 100])
@@ -448,7 +459,7 @@ def event_sequence(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     plain_numbers, parse_numbers, captions, period_headers, month_arithmetic, label_forms, issuer_keys, content_digests, garbled_texts, formatted_amounts, digit_places,
-    hash_split, pool_assign, part_counts, moved_parts, impure_sources, dedupe_lowest, target_conflicts, issuer_cap, sampled_rows, route_counts, coverage_curve, consistency_removals, exclusions, contradictory_labels,
+    hash_split, pool_assign, part_counts, moved_parts, impure_sources, dedupe_lowest, target_conflicts, issuer_cap, sampled_rows, route_counts, row_kinds, coverage_curve, consistency_removals, exclusions, contradictory_labels,
     multiset_match, multiset_diff, near_issuers, snapshot_changes, confusion, class_scores, macro_f1, score_strata, wilson, error_bounds, p90_strata, gate_cube, bootstrap, unmatched_rows,
     page_scores, numeric_tokens, find_ranges, merge_intervals, conversion_plan, industry_verdict, label_match, prefix_match, longest_heading, carried_forward, latest_tags,
     document_language, document_currency, statement_currency, alias_pools, merged_evidence, latest_events, table_types,
@@ -538,6 +549,7 @@ SELECT o_orderkey, CASE WHEN m = 0 OR m = 3 THEN strftime(x, '%Y-%m-%d') WHEN m
     "issuer_cap": _EX + " SELECT example_id, source_id FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY example_id) AS k FROM ex) WHERE k <= 40",
     "sampled_rows": _EX + " SELECT example_id, statement FROM ex ORDER BY sha256('seed-7:' || example_id), example_id LIMIT 500",
     "route_counts": _EX + " SELECT CASE WHEN issuer IS NULL THEN 'missing_issuer' WHEN NOT verified THEN 'unverified' WHEN cik IS NULL THEN 'missing_cik' WHEN pool = 'test' THEN 'pool_test' WHEN period = 'interim' THEN 'interim' END AS drop_reason, COUNT(*) AS n FROM so GROUP BY 1",
+    "row_kinds": _EX + " SELECT kind, statement, COUNT(*) AS n FROM (SELECT statement, CASE WHEN statement NOT IN ('income', 'balance') THEN 'unsupported_statement_code' WHEN label IS NULL OR trim(label) = '' THEN 'empty_label' WHEN tag IS NULL OR starts_with(tag, 'custom:') THEN 'custom_extension' WHEN string_split(tag, ':')[1] NOT IN ('us-gaap', 'ifrs-full') THEN 'unsupported_namespace' WHEN canonical_id IS NULL THEN 'null_entry' WHEN item_id IS NULL THEN 'outside_crosswalk' ELSE 'mapped' END AS kind FROM ex LEFT JOIN taxonomy_items ON item_id = canonical_id) GROUP BY ROLLUP (kind, statement)",
     "coverage_curve": _EX + ", k AS (SELECT lower(label) AS key, COUNT(*) AS n FROM ex WHERE label IS NOT NULL GROUP BY 1), c AS (SELECT n, row_number() OVER (ORDER BY n DESC, key) AS r, SUM(n) OVER (ORDER BY n DESC, key ROWS UNBOUNDED PRECEDING) AS run, SUM(n) OVER () AS total FROM k) SELECT CAST(p AS INTEGER) AS percent, COALESCE((SELECT MIN(r) FROM c WHERE run * 100 >= p * total), 0) AS needed FROM (SELECT unnest([10, 25, 50, 75, 90, 95, 99, 100]) AS p)",
     "consistency_removals": _REMOVED + " SELECT * FROM rm WHERE reason IS NOT NULL",
     "exclusions": _REMOVED + " SELECT g.statement, COUNT(*) AS n FROM gr g WHERE NOT EXISTS (SELECT 1 FROM rm WHERE reason IS NOT NULL AND rm.statement = g.statement AND rm.label = g.label AND rm.canonical_id IS NOT DISTINCT FROM g.canonical_id) GROUP BY 1",
