@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.hashing import seeded_order
+from tallyspark.operators.ranged import numbered
 
 
 def dedupe_lowest(rows: DataFrame, group: list[str], target: str, ident: str) -> DataFrame:
@@ -106,9 +107,9 @@ def contradictory_keys(rows: DataFrame, key: str, target: str, one: str, other:
 
 
 def multiset_match(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str) -> DataFrame:
-    """(left_id, right_id): copies paired off one to one within equal keys, in the order of their ids."""
-    a = left.withColumn("_n", F.row_number().over(Window.partitionBy(*on).orderBy(left_id))).select(*on, "_n", left_id)
-    b = right.withColumn("_n", F.row_number().over(Window.partitionBy(*on).orderBy(right_id))).select(*on, "_n", right_id)
+    """(left_id, right_id): copies paired off one to one within equal keys, in the order of their ids; a key may hold any number."""
+    a = numbered(left.select(*on, left_id), on, [left_id], "_n")
+    b = numbered(right.select(*on, right_id), on, [right_id], "_n")
     return a.join(b, [*on, "_n"]).select(left_id, right_id)
 
 
@@ -121,14 +122,24 @@ def multiset_difference(left: DataFrame, right: DataFrame, columns: list[str]) -
 
 
 def near_matches(queries: DataFrame, names: DataFrame, top: int, least: float = 0.5) -> DataFrame:
-    """(query, name, similarity, rank): names that share words with a query, by Jaccard overlap of words.
+    """(query, name, similarity, rank): names whose words overlap a query's by at least ``least`` (Jaccard).
 
-    ``queries`` is (query, words), ``names`` (name, words). Only pairs with a word in common are formed.
+    ``queries`` is (query, words), ``names`` (name, words). Two sets that overlap so much share one of
+    the rarest words of each, as many as may be missing and one; only those meet, so that a word that
+    many names have forms no pairs, and none is lost.
     """
-    a = queries.select("query", F.array_distinct("words").alias("q")).withColumn("word", F.explode("q"))
-    b = names.select("name", F.array_distinct("words").alias("m")).withColumn("word", F.explode("m"))
-    common = a.join(b, "word").groupBy("query", "name").agg(F.count(F.lit(1)).alias("shared"), F.first(F.size("q")).alias("x"), F.first(F.size("m")).alias("y"))
-    scored = common.withColumn("similarity", F.col("shared") / (F.col("x") + F.col("y") - F.col("shared"))).where(F.col("similarity") >= least)
+    a = queries.select("query", F.array_distinct("words").alias("q")).where("size(q) > 0")
+    b = names.select("name", F.array_distinct("words").alias("m")).where("size(m) > 0")
+    count = a.select(F.explode("q").alias("word")).unionByName(b.select(F.explode("m").alias("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+    def rarest(df: DataFrame, who: str, words: str) -> DataFrame:
+        ranked = df.select(who, words, F.explode(words).alias("word")).join(count, "word").groupBy(who, words).agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("r"))
+        keep = F.size(words) - F.ceil(F.size(words) * least - 1e-9).cast("int") + 1
+        return ranked.select(who, words, F.explode(F.slice("r", 1, keep)).alias("x")).select(who, words, F.col("x.word").alias("word"))
+
+    met = rarest(a, "query", "q").join(rarest(b, "name", "m"), "word").select("query", "q", "name", "m").distinct()
+    shared = F.size(F.array_intersect("q", "m"))
+    scored = met.withColumn("similarity", shared / (F.size("q") + F.size("m") - shared)).where(F.col("similarity") >= least)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "name"))).where(F.col("rank") <= top).select("query", "name", "similarity", "rank")
 
 
@@ -144,3 +155,18 @@ def cell_map(snapshots: dict[str, DataFrame], key: list[str], value: str) -> Dat
         side = df.select(*key, F.col(value).alias(name))
         out = side if out is None else out.join(side, key, "full")
     return out
+
+
+def owner_sample(rows: DataFrame, ident: str, critical: str, n: int, seed: str) -> DataFrame:
+    """All critical rows and a seeded draw of so many others."""
+    rest = select_rows(rows.where(~F.coalesce(F.col(critical), F.lit(False))), ident, n, seed)
+    return rows.where(F.col(critical)).unionByName(rest)
+
+
+def top_k(rows: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
+    """(by..., value, n, rank): the k most frequent values of each group, ties by the value; counts before anything is ranked."""
+    n = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*by).orderBy(F.desc("n"), value) if by else Window.orderBy(F.desc("n"), value)
+    if not by:
+        n = n.orderBy(F.desc("n"), value).limit(k)  # a partial sort in each task, then at most k rows
+    return n.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.session import cut
@@ -83,10 +83,14 @@ def alias_pools(records: DataFrame) -> DataFrame:
 
 
 def latest_unique(rows: DataFrame, key: list[str], at: str) -> DataFrame:
-    """Rows of the latest time of each key, where only one row has it."""
-    n = rows.withColumn("_r", F.rank().over(Window.partitionBy(*key).orderBy(F.desc(at))))
-    top = n.where("_r = 1").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key)))
-    return top.where("_n = 1").drop("_r", "_n")
+    """Rows of the latest time of each key, where only one row has it. Keys of any size: counts go ahead of the rows."""
+    each = rows.groupBy(*key, at).agg(F.count(F.lit(1)).alias("_n"))
+    last = each.groupBy(*key).agg(F.max_by(F.struct(F.col(at).alias("_at"), "_n"), at).alias("_last")).where("_last._n = 1")
+    side = last.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_last._at").alias("_at"))
+    on = F.col(at) == F.col("_at")
+    for i, k in enumerate(key):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(side, on, "left_semi")
 
 
 def status(analyses: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import random
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,21 +81,39 @@ def compare_reports(before: DataFrame, after: DataFrame, key: list[str], value:
 def paired_bootstrap(pairs: DataFrame, stratum: str, issuer: str, before: str, after: str, resamples: int = 1000, seed: int = 7) -> DataFrame:
     """(stratum, difference, low, high): difference of two accuracies, issuers resampled whole within their stratum.
 
-    Counts are aggregated to one row per issuer first; the bounds are order statistics at q (n - 1).
+    Counts are aggregated to one row per issuer. Each issuer then draws how often it is taken in every
+    resample (Poisson with mean one, seeded by its name), so that the resamples are sums which every
+    task prepares for its own issuers; a stratum of any size is one vector a task. The bounds are order
+    statistics at q (n - 1).
     """
     sums = pairs.groupBy(stratum, issuer).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(before).cast("int")).alias("a"), F.sum(F.col(after).cast("int")).alias("b"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values(issuer)[["n", "a", "b"]].itertuples(index=False, name=None))
-        draw = random.Random(seed)
-        found = []
-        for _ in range(resamples):
-            picked = draw.choices(rows, k=len(rows))
-            n = sum(x[0] for x in picked)
-            found.append((sum(x[2] for x in picked) - sum(x[1] for x in picked)) / n)
-        found.sort()
-        n = sum(x[0] for x in rows)
-        last = len(found) - 1
-        return pd.DataFrame([(pdf[stratum].iloc[0], (sum(x[2] for x in rows) - sum(x[1] for x in rows)) / n, found[int(0.025 * last)], found[int(0.975 * last)])], columns=[stratum, "difference", "low", "high"])
-
-    return sums.groupBy(stratum).applyInPandas(one, f"{stratum} STRING, difference DOUBLE, low DOUBLE, high DOUBLE")
+    drawn = sums.select(stratum, F.xxhash64(F.lit(seed), issuer).alias("draw"), "n", "a", "b")
+
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for pdf in batches:
+            for key, draw, n, a, b in pdf.itertuples(index=False, name=None):
+                taken = np.random.Generator(np.random.Philox(draw % 2**64)).poisson(1.0, resamples)
+                held = total.setdefault(key, np.zeros((3, resamples + 1)))
+                held += np.outer((n, a, b), np.concatenate((taken, [1])))  # the last is the sample itself
+        rows = [(key, k, *held[:, k]) for key, held in total.items() for k in range(resamples + 1)]
+        yield pd.DataFrame(rows, columns=[stratum, "k", "n", "a", "b"])
+
+    parts = drawn.mapInPandas(vectors, f"`{stratum}` STRING, k INT, n DOUBLE, a DOUBLE, b DOUBLE")
+    each = parts.groupBy(stratum, "k").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("d", F.try_divide(F.col("b") - F.col("a"), "n"))
+    found = F.array_sort(F.collect_list(F.when(F.col("k") < resamples, F.col("d"))))  # resamples numbers a stratum
+    out = each.groupBy(stratum).agg(F.max(F.when(F.col("k") == resamples, F.col("d"))).alias("difference"), found.alias("found"))
+    at = lambda q: F.element_at("found", F.floor(F.lit(q) * (F.size("found") - 1)).cast("int") + 1)
+    return out.select(stratum, "difference", at(0.025).alias("low"), at(0.975).alias("high"))
+
+
+def breakdown(rows: DataFrame, by: list[str], right: str, seconds: str) -> DataFrame:
+    """(by..., cells, right, accuracy, low, high, mean_seconds): accuracy with its interval; the mean time only where all are timed."""
+    n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col(right)).alias("right"), F.when(F.count(seconds) == F.count(F.lit(1)), F.avg(seconds)).alias("mean_seconds"))
+    return wilson(n, "right", "cells").withColumn("accuracy", F.try_divide(F.col("right").cast("double"), "cells"))
+
+
+def agreement(runs: DataFrame, key: list[str], run: str, value: str) -> DataFrame:
+    """(key..., runs, values, agreed): whether all runs give one value; a missing value is one too."""
+    marked = F.coalesce(F.concat(F.lit("="), F.col(value).cast("string")), F.lit("\u2205"))
+    return runs.groupBy(*key).agg(F.countDistinct(run).alias("runs"), F.countDistinct(marked).alias("values")).withColumn("agreed", F.col("values") == 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators.ranged import merged
+
 # Weights of a page's score and the thresholds it is held against.
 TITLE, CUE, NUMERIC, STRUCTURE, NEGATIVE = 3.0, 1.5, 2.0, 1.0, 4.0
 NUMERIC_FULL = 30
@@ -43,11 +45,8 @@ def find_ranges(scores: DataFrame) -> DataFrame:
 
 
 def merge_intervals(spans: DataFrame, key: str, first: str, last: str, gap: int = 1) -> DataFrame:
-    """(key, first, last): spans merged where they overlap or lie at most ``gap`` apart."""
-    order = Window.partitionBy(key).orderBy(first, last)
-    reach = spans.withColumn("_reach", F.max(last).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    group = F.sum(F.when(F.col("_reach").isNull() | (F.col(first) > F.col("_reach") + gap), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return reach.withColumn("_group", group).groupBy(key, "_group").agg(F.min(first).alias(first), F.max(last).alias(last)).drop("_group")
+    """(key, first, last): spans merged where they overlap or lie at most ``gap`` apart; a key may hold any number of them."""
+    return merged(spans, key, first, last, gap)
 
 
 def plan_conversion(ranges: DataFrame, page_counts: DataFrame, enabled: list[str], pad: int) -> DataFrame:

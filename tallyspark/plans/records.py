@@ -188,8 +188,8 @@ def exclusions(spark: SparkSession, folder: str) -> DataFrame:
     return kept.groupBy("statement").agg(F.count(F.lit(1)).alias("n"))
 
 
-def contradictory_labels(spark: SparkSession, folder: str) -> DataFrame:
-    return dataset.contradictory_keys(_grouped(spark, folder), "label", "canonical_id", "trade_debtors", "tbd")
+def contradictory_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return dataset.contradictory_keys(_grouped(spark, folder), "source_id", "canonical_id", "tbd", "other")
 
 
 def _line(spark: SparkSession, folder: str, number: int) -> DataFrame:
@@ -459,7 +459,7 @@ def event_sequence(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     plain_numbers, parse_numbers, captions, period_headers, month_arithmetic, label_forms, issuer_keys, content_digests, garbled_texts, formatted_amounts, digit_places,
-    hash_split, pool_assign, part_counts, moved_parts, impure_sources, dedupe_lowest, target_conflicts, issuer_cap, sampled_rows, route_counts, row_kinds, coverage_curve, consistency_removals, exclusions, contradictory_labels,
+    hash_split, pool_assign, part_counts, moved_parts, impure_sources, dedupe_lowest, target_conflicts, issuer_cap, sampled_rows, route_counts, row_kinds, coverage_curve, consistency_removals, exclusions, contradictory_sources,
     multiset_match, multiset_diff, near_issuers, snapshot_changes, confusion, class_scores, macro_f1, score_strata, wilson, error_bounds, p90_strata, gate_cube, bootstrap, unmatched_rows,
     page_scores, numeric_tokens, find_ranges, merge_intervals, conversion_plan, industry_verdict, label_match, prefix_match, longest_heading, carried_forward, latest_tags,
     document_language, document_currency, statement_currency, alias_pools, merged_evidence, latest_events, table_types,
@@ -553,7 +553,7 @@ SELECT o_orderkey, CASE WHEN m = 0 OR m = 3 THEN strftime(x, '%Y-%m-%d') WHEN m
     "coverage_curve": _EX + ", k AS (SELECT lower(label) AS key, COUNT(*) AS n FROM ex WHERE label IS NOT NULL GROUP BY 1), c AS (SELECT n, row_number() OVER (ORDER BY n DESC, key) AS r, SUM(n) OVER (ORDER BY n DESC, key ROWS UNBOUNDED PRECEDING) AS run, SUM(n) OVER () AS total FROM k) SELECT CAST(p AS INTEGER) AS percent, COALESCE((SELECT MIN(r) FROM c WHERE run * 100 >= p * total), 0) AS needed FROM (SELECT unnest([10, 25, 50, 75, 90, 95, 99, 100]) AS p)",
     "consistency_removals": _REMOVED + " SELECT * FROM rm WHERE reason IS NOT NULL",
     "exclusions": _REMOVED + " SELECT g.statement, COUNT(*) AS n FROM gr g WHERE NOT EXISTS (SELECT 1 FROM rm WHERE reason IS NOT NULL AND rm.statement = g.statement AND rm.label = g.label AND rm.canonical_id IS NOT DISTINCT FROM g.canonical_id) GROUP BY 1",
-    "contradictory_labels": _GROUPED + " SELECT label FROM gr GROUP BY 1 HAVING bool_or(canonical_id = 'trade_debtors') AND bool_or(canonical_id = 'tbd')",
+    "contradictory_sources": _GROUPED + " SELECT source_id FROM gr GROUP BY 1 HAVING bool_or(canonical_id = 'tbd') AND bool_or(canonical_id = 'other')",
     "multiset_match": f"SELECT a.l_orderkey, b.l_orderkey AS other_key FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus, quantity ORDER BY l_orderkey) AS k FROM {_LINE.format(1)}) a JOIN (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus, quantity ORDER BY l_orderkey) AS k FROM {_LINE.format(2)}) b USING (l_returnflag, l_linestatus, quantity, k)",
     "multiset_diff": f"SELECT l_returnflag, l_linestatus, quantity, CAST(greatest(d, 0) AS BIGINT) AS missing, CAST(greatest(-d, 0) AS BIGINT) AS extra FROM (SELECT l_returnflag, l_linestatus, quantity, SUM(s) AS d FROM (SELECT *, 1 AS s FROM {_LINE.format(1)} UNION ALL SELECT *, -1 AS s FROM {_LINE.format(2)}) GROUP BY 1, 2, 3) WHERE d <> 0",
     "near_issuers": _EX + f", k AS (SELECT DISTINCT {_key('issuer')} AS k, pool FROM so WHERE issuer IS NOT NULL), q AS (SELECT DISTINCT k AS query, list_distinct(string_split(k, ' ')) AS a FROM k WHERE pool = 'test' AND k <> ''), m AS (SELECT DISTINCT k AS name, list_distinct(string_split(k, ' ')) AS b FROM k WHERE pool = 'train' AND k <> ''), s AS (SELECT query, name, len(list_intersect(a, b)) / CAST(len(a) + len(b) - len(list_intersect(a, b)) AS DOUBLE) AS sim FROM q, m WHERE len(list_intersect(a, b)) > 0) SELECT query, name, round(sim, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, name) AS rank FROM s WHERE sim >= 0.6) WHERE rank <= 3",

@@ -128,12 +128,14 @@ def inferred_sums(spark: SparkSession, folder: str) -> DataFrame:
     return sums.statement_sums(lines)
 
 
+YEARS = tuple(range(1995, 2002))
+
+
 def statement_view(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows by periods, the newest periods of the fixture side by side."""
-    _, _, li, c, _ = _parts(spark, folder)
-    keys = ["FY2000", "FY1999", "FY1998"]
-    out = c.where(F.col("period_key").isin(*keys)).groupBy("statement_id", "row_id").pivot("period_key", keys).agg(F.max(F.col("reported").cast("double")))
-    return out.join(li.select("statement_id", "row_id", "ordinal"), ["statement_id", "row_id"]).select("statement_id", "row_id", "ordinal", *keys)
+    """Rows by years, side by side."""
+    _, p, li, c, _ = _parts(spark, folder)
+    out = c.join(p, ["statement_id", "period_key"]).withColumn("year", F.year("end_date")).groupBy("statement_id", "row_id").pivot("year", list(YEARS)).agg(F.max(F.col("reported").cast("double")))
+    return out.join(li.select("statement_id", "row_id", "ordinal"), ["statement_id", "row_id"]).select("statement_id", "row_id", "ordinal", *[F.col(str(y)).alias(f"y{y}") for y in YEARS])
 
 
 def latest_facts(spark: SparkSession, folder: str) -> DataFrame:
@@ -317,7 +319,7 @@ r AS (SELECT f.statement_id, COALESCE(cells, 0) AS numeric_cells, COALESCE(seen,
 SELECT statement_id, CASE WHEN len(l) = 0 THEN 'passed' ELSE 'needs_review' END AS status, array_to_string(l, ';') AS reasons, numeric_cells, checked_cells, CAST(flagged_cells AS BIGINT) AS flagged_cells FROM r""",
     "unit_caveats": STAR_SQL + """, md AS (SELECT statement_id, COUNT(*) AS n, median(CAST(abs(v) AS DOUBLE)) AS middle FROM figures WHERE v <> 0 GROUP BY 1)
 SELECT f.statement_id, COALESCE(n, 0) AS n, round(middle, 4) AS middle, array_to_string(list_filter([CASE WHEN list_contains(flags, 'scale_missing') THEN 'scale_assumed_units' END, CASE WHEN list_contains(flags, 'scale_missing') AND n >= 5 AND middle < 10000 THEN 'scale_implausible' END], lambda x: x IS NOT NULL), ';') AS caveats FROM firsts f LEFT JOIN md USING (statement_id)""",
-    "statement_view": STAR_SQL + ' SELECT statement_id, row_id, MIN(ordinal) AS ordinal, MAX(CASE WHEN period_key = \'FY2000\' THEN CAST(v AS DOUBLE) END) AS "FY2000", MAX(CASE WHEN period_key = \'FY1999\' THEN CAST(v AS DOUBLE) END) AS "FY1999", MAX(CASE WHEN period_key = \'FY1998\' THEN CAST(v AS DOUBLE) END) AS "FY1998" FROM figures WHERE period_key IN (\'FY2000\', \'FY1999\', \'FY1998\') GROUP BY 1, 2',
+    "statement_view": STAR_SQL + " SELECT statement_id, row_id, MIN(ordinal) AS ordinal, " + ", ".join(f"MAX(CASE WHEN year(end_date) = {y} THEN CAST(v AS DOUBLE) END) AS y{y}" for y in YEARS) + " FROM figures GROUP BY 1, 2",
     "latest_facts": STAR_SQL + " SELECT statement_id, canonical_id, MAX(period_key) AS period_key, MAX(CAST(value AS DOUBLE)) AS value FROM (SELECT *, MAX(end_date) OVER (PARTITION BY statement_id, canonical_id) AS last FROM frame) WHERE end_date = last GROUP BY 1, 2 HAVING COUNT(*) = 1",
     "settle_duplicates": STAR_SQL + """, cl AS (SELECT statement_id, row_id, row_ordinal, canonical_id AS item_id, string_agg(period_key || '=' || reported, ',' ORDER BY period_key) AS s FROM frame GROUP BY 1, 2, 3, 4),
 g AS (SELECT *, COUNT(*) OVER w AS n, MIN(s) OVER w = MAX(s) OVER w AS same, row_number() OVER (PARTITION BY statement_id, item_id ORDER BY row_ordinal, row_id) AS k FROM cl WINDOW w AS (PARTITION BY statement_id, item_id))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.operators.ranged import numbered
+
 EVENTS = T.StructType([T.StructField(n, t) for n, t in (("event_id", T.LongType()), ("ts", T.TimestampType()), ("user_id", T.LongType()), ("event_type", T.StringType()), ("value", T.DoubleType()), ("props", T.StringType()))])
 LATE = "10 minutes"
 
@@ -91,7 +93,5 @@ def job_states(events: DataFrame) -> DataFrame:
 
 
 def sequence(events: DataFrame) -> DataFrame:
-    """Events numbered within their key in the order of time."""
-    from pyspark.sql import Window
-
-    return events.withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    """Events numbered within their user in the order of time, users of any size; on batches."""
+    return numbered(events, ["user_id"], ["ts", "event_id"], "seq")

@@ -268,3 +268,51 @@ def test_boxes_and_columns(spark):
     assert [tuple(r) for r in locate.nearest_column(v, c, 5.0).collect()] == [("t", "v1", "c2")]
     boxes = spark.createDataFrame([(1, "in", 2.0, 2.0, 3.0, 3.0), (1, "out", 0.0, 0.0, 9.0, 9.0)], "page INT, id STRING, left DOUBLE, top DOUBLE, right DOUBLE, bottom DOUBLE")
     assert [tuple(r) for r in locate.contained(boxes, boxes).collect()] == [(1, "in", "out")]
+
+
+# --- groups of any size ------------------------------------------------------------------------------
+
+
+def test_numbered_over_parts(spark):
+    from tallyspark.operators.ranged import numbered
+
+    rng = random.Random(12)
+    rows = [("hot", i) for i in range(3000)] + [(f"k{rng.randrange(40)}", i) for i in range(400)] + [(None, i) for i in range(30)]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = numbered(spark.createDataFrame(rows, "k STRING, v LONG"), ["k"], ["v"], "n").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = {}
+    for k, v in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        want.setdefault(k, []).append(v)
+    assert len(got) == len(rows) and all(want[r.k][r.n - 1] == r.v for r in got)
+
+
+def test_near_matches_lose_nothing(spark):
+    rng = random.Random(13)
+    words = [f"w{int(rng.paretovariate(0.7)) % 40}" for _ in range(4000)]
+    sets = [sorted(set(rng.sample(words, rng.randrange(1, 7)))) for _ in range(160)]
+    a, b = [(f"q{i}", s) for i, s in enumerate(sets[:60])] + [("none", [])], [(f"n{i}", s) for i, s in enumerate(sets[60:])]
+    for least in (0.34, 0.5, 0.8):
+        want = {(q, n) for q, x in a for n, y in b if x and len(set(x) & set(y)) / len(set(x) | set(y)) >= least - 1e-12}
+        got = {(r["query"], r["name"]) for r in dataset.near_matches(spark.createDataFrame(a, "query STRING, words ARRAY<STRING>"), spark.createDataFrame(b, "name STRING, words ARRAY<STRING>"), 1000, least).collect()}
+        assert got == want
+
+
+def test_merge_over_parts(spark):
+    rng = random.Random(14)
+    spans = [("hot", a, a + rng.randrange(4)) for a in (rng.randrange(4000) for _ in range(1500))] + [("hot", 10, 3000), (None, 1, 2), ("x", None, 3), ("y", 5, 5)]
+    merged = []
+    for a, b in sorted((a, b) for k, a, b in spans if k == "hot"):
+        if merged and a <= merged[-1][1] + 1:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = {tuple(r) for r in locate.merge_intervals(spark.createDataFrame(spans, "k STRING, a LONG, b LONG"), "k", "a", "b").select("k", "a", "b").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {("hot", a, b) for a, b in merged} | {(None, 1, 2), ("y", 5, 5)}
