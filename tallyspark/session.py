@@ -77,3 +77,14 @@ def ship(spark: SparkSession) -> None:
     package = Path(__file__).resolve().parent
     archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="tallyspark-")) / "tallyspark"), "zip", package.parent, package.name)
     spark.sparkContext.addPyFile(archive)
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where it lies, however the driver was started."""
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
