@@ -35,12 +35,14 @@ MOST_LABELLED = 10_000
 RARITY = 2000
 LEAST_DOCUMENTS = 5
 LEAST_COUNT = 20
+#: A word that labelled documents tell so often of is a word of the subjects.
+ANCHORED = 2
 REMEMBERED = 500_000
 #: A document is about a subject if at least this share of its sentences is.
 SHARE = 0.2
 #: Words spread over the equivalent of so many subjects belong to none.
 FRAME = 3.0
-ROUNDS = 3
+ROUNDS = 2
 INNER = 8
 
 _WORD = re.compile(r"[^\W_]{2,}")
@@ -173,7 +175,8 @@ def seed(rows: Rows, labels: list[set[int]], subjects: int, words: int) -> tuple
     q = p / p.sum(0, keepdims=True)
     held = ((spread_of(told) >= FRAME) & (told.sum(0) >= 3)) | ((plain > 0) & ((plain + 1e-3) / (plain + 1e-3).sum() > 0.3 * p.max(0)))
     even = (seen + 0.1) / (seen + 0.1).sum()
-    h = np.vstack([np.where(held, 0, p * q**2 + 1e-8 + 1e-4 * even), np.where(held, even, 0.1 * even)])
+    anchored = ~held & (told.sum(0) >= ANCHORED)  # what labels tell of a word, the ground shall not take
+    h = np.vstack([np.where(held, 0, p * q**2 + 1e-8 + 1e-4 * even), np.where(held, even, np.where(anchored, 0, 0.1 * even))])
     return h / h.sum(1, keepdims=True), held
 
 
