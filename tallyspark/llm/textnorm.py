@@ -65,11 +65,13 @@ class _Folds(dict):
     """Code point -> what it says: look-alikes, case, accents and Arabic variants taken out in one step."""
 
     def __init__(self, glue: str):
-        super().__init__({ord(c): "" for c in glue} | {ord("&"): " and "})
+        super().__init__()
+        self.marks = {ord(c): "" for c in glue} | {ord("&"): " and "}
 
     def __missing__(self, code: int) -> str:
         plain = unicodedata.normalize("NFKD", look(chr(code))).casefold()
-        self[code] = out = "".join(c for c in plain if not unicodedata.combining(c)).translate(_ARABIC)
+        bare = "".join(c for c in plain if not unicodedata.combining(c)).translate(_ARABIC)
+        self[code] = out = bare.translate(self.marks)  # of any width
         return out
 
 

@@ -21,6 +21,7 @@ def test_visual_and_fold():
     assert textnorm.visual("A  b") == "A  b" and textnorm.visual("Trade") != textnorm.visual("trade")
     assert textnorm.fold("Écart d’ACQUISITION_& more") == "ecart dacquisition and more"
     assert textnorm.fold("إجمالي الأرباحـ") == "اجمالي الارباح" and textnorm.fold(None) is None and textnorm.fold(" .. ") == ""
+    assert textnorm.fold("Ｓ．Ａ．＆ co", glue=".") == "sa and co" and textnorm.fold("owner＇s") == "owners"
     assert textnorm.read_digits("m0ney") == "money" and textnorm.read_digits("2024") == "2024" and textnorm.read_digits("h1") == "h1"
 
 
