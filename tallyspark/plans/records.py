@@ -43,6 +43,12 @@ def parse_numbers(spark: SparkSession, folder: str) -> DataFrame:
     return parsed.select("input_id", F.col("p.value").cast("double").alias("value"), F.col("p.unit").alias("unit"))
 
 
+def parse_all_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """The full parser over all printed figures; what it cannot read has a null value and its flags. SQL has no twin of it."""
+    parsed = _raw_texts(spark, folder).withColumn("p", numbers.parse_number("raw_text"))
+    return parsed.select("input_id", F.col("p.value").cast("double").alias("value"), F.col("p.unit").alias("unit"), F.col("p.flags").alias("flags"))
+
+
 def captions(spark: SparkSession, folder: str) -> DataFrame:
     """Scale and currency by wording in statement captions."""
     s = table(spark, folder, "statements").where("unit_text IS NOT NULL")
@@ -458,7 +464,7 @@ def event_sequence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    plain_numbers, parse_numbers, captions, period_headers, month_arithmetic, label_forms, issuer_keys, content_digests, garbled_texts, formatted_amounts, digit_places,
+    plain_numbers, parse_numbers, parse_all_numbers, captions, period_headers, month_arithmetic, label_forms, issuer_keys, content_digests, garbled_texts, formatted_amounts, digit_places,
     hash_split, pool_assign, part_counts, moved_parts, impure_sources, dedupe_lowest, target_conflicts, issuer_cap, sampled_rows, route_counts, row_kinds, coverage_curve, consistency_removals, exclusions, contradictory_sources,
     multiset_match, multiset_diff, near_issuers, snapshot_changes, confusion, class_scores, macro_f1, score_strata, wilson, error_bounds, p90_strata, gate_cube, bootstrap, unmatched_rows,
     page_scores, numeric_tokens, find_ranges, merge_intervals, conversion_plan, industry_verdict, label_match, prefix_match, longest_heading, carried_forward, latest_tags,
