@@ -2,7 +2,7 @@
 
 A nested record becomes, for every leaf path, a column of values with a repetition level (which
 repeated ancestor starts anew) and a definition level (how far down the path is present). The
-tables of files, statements, periods, rows, values and inputs are read back from those sequences
+tables of files, checkers, statements, periods, rows, values and inputs are read back from those sequences
 alone; each row keeps the positions of all its repeated ancestors, so children join to parents.
 
 Defined results: a null record or an absent branch gives no rows below it; an empty array gives
@@ -305,8 +305,8 @@ def statements(shredded: DataFrame) -> DataFrame:
 
 
 def periods(shredded: DataFrame) -> DataFrame:
-    """One row per period of a statement."""
-    names = ("key", "end_date", "kind", "months", "restated", "audited")
+    """One row per period of a statement, with ``extra`` last."""
+    names = ("key", "end_date", "kind", "months", "restated", "audited", "extra")
     out = rebuild(shredded, "file_id", "statements.item.periods.item", {("period_key" if n == "key" else n): n for n in names}, ("statement_pos", "period_pos"))
     return out.withColumns({"end_date": F.expr("try_cast(end_date AS DATE)"), "months": F.expr("try_cast(months AS INT)"), "restated": F.expr("try_cast(restated AS BOOLEAN)"), "audited": F.expr("try_cast(audited AS BOOLEAN)")})
 
@@ -331,6 +331,11 @@ def pages(shredded: DataFrame) -> DataFrame:
     return rebuild(shredded, "file_id", "statements.item.pages.item", {"page": ""}, ("statement_pos", "page_pos")).withColumn("page", F.expr("try_cast(page AS INT)"))
 
 
+def checked_by(shredded: DataFrame) -> DataFrame:
+    """One row per reader who checked a file."""
+    return rebuild(shredded, "file_id", "checked_by.item", {"checked_by": ""}, ("checked_by_pos",))
+
+
 def shred_inputs(metric_values: DataFrame, fields: tuple[str, ...] = INPUT_FIELDS) -> DataFrame:
     """(metric_value_id, levels) of MetricValue.inputs, one row per distinct value; unnamed fields are not read on.
 

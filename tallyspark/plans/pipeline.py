@@ -47,7 +47,8 @@ def p4_inputs(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p3_found": p3_found, "p3_units": p3_units,
-    "p4_found": p4_found, "p4_files": _gold(shred.files, "sha256", "status", "note", "extra"), "p4_statements": _gold(shred.statements, *[f"statements.item.{k}" for k in ("type", "page_mode", "scale", "currency", "extra")]), "p4_periods": _gold(shred.periods, "statements.item.periods"),
+    "p4_found": p4_found, "p4_files": _gold(shred.files, "sha256", "status", "note", "extra"), "p4_statements": _gold(shred.statements, *[f"statements.item.{k}" for k in ("type", "page_mode", "scale", "currency", "extra")]), "p4_periods": _gold(lambda s: shred.periods(s).drop("extra"), "statements.item.periods"),
+    "p4_periods_full": _gold(shred.periods, "statements.item.periods"), "p4_checked_by": _gold(shred.checked_by, "checked_by"),
     "p4_rows": _gold(shred.rows, *[f"statements.item.rows.item.{k}" for k in ("label", "canonical_id", "extra")]), "p4_values": _gold(shred.values, "statements.item.rows.item.values"), "p4_unconfirmed": _gold(shred.unconfirmed, "statements.item.rows.item.unconfirmed"), "p4_pages": _gold(shred.pages, "statements.item.pages"),
     "p4_inputs": p4_inputs, "p4_rejects": p4_rejects,
 }
@@ -131,6 +132,8 @@ ORACLES: dict[str, str] = {
     "p4_periods": _P4 + ", pe AS (SELECT file_id, sp, unnest(range(len(CAST(json_extract(s, '$.periods') AS JSON[])))) AS p, unnest(CAST(json_extract(s, '$.periods') AS JSON[])) AS e FROM s WHERE json_type(s, '$.periods') = 'ARRAY') SELECT file_id, sp AS statement_pos, p AS period_pos, json_extract_string(e, '$.key') AS period_key, CAST(json_extract_string(e, '$.end_date') AS DATE) AS end_date, json_extract_string(e, '$.kind') AS kind, CAST(json_extract_string(e, '$.months') AS INTEGER) AS months, CAST(json_extract_string(e, '$.restated') AS BOOLEAN) AS restated, CAST(json_extract_string(e, '$.audited') AS BOOLEAN) AS audited FROM pe",
     "p4_unconfirmed": _P4 + " SELECT file_id, sp AS statement_pos, rp AS row_pos, p AS unconfirmed_pos, json_extract_string(e, '$') AS period_key FROM (SELECT file_id, sp, rp, unnest(range(len(CAST(json_extract(r, '$.unconfirmed') AS JSON[])))) AS p, unnest(CAST(json_extract(r, '$.unconfirmed') AS JSON[])) AS e FROM r WHERE json_type(r, '$.unconfirmed') = 'ARRAY')",
     "p4_pages": _P4 + " SELECT file_id, sp AS statement_pos, p AS page_pos, CAST(json_extract_string(e, '$') AS INTEGER) AS page FROM (SELECT file_id, sp, unnest(range(len(CAST(json_extract(s, '$.pages') AS JSON[])))) AS p, unnest(CAST(json_extract(s, '$.pages') AS JSON[])) AS e FROM s WHERE json_type(s, '$.pages') = 'ARRAY')",
+    "p4_checked_by": _P4 + " SELECT file_id, p AS checked_by_pos, json_extract_string(e, '$') AS checked_by FROM (SELECT file_id, unnest(range(len(CAST(json_extract(f, '$.checked_by') AS JSON[])))) AS p, unnest(CAST(json_extract(f, '$.checked_by') AS JSON[])) AS e FROM l WHERE json_type(f, '$.checked_by') = 'ARRAY')",
     "p4_inputs": _P4 + " SELECT metric_value_id, role, pos AS position, i.* FROM mi",
     "p4_rejects": "SELECT delivery_id, received_at, CAST(length(body) AS BIGINT) AS n_chars FROM gold_files WHERE NOT json_valid(body)",
 }
+ORACLES["p4_periods_full"] = f"SELECT *, CAST(NULL AS VARCHAR) AS extra FROM ({ORACLES['p4_periods']})"

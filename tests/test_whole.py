@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from datetime import datetime
+
 from tallyspark.functions import numbers
+from tallyspark.operators import shred
 from tallyspark.plans import catalogue
 
 
@@ -29,3 +33,25 @@ def test_figures_with_raw_text_only(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/metric_values.parquet")
     got = {r.input_id: (r.value, list(r.flags)) for r in catalogue.QUERIES["parse_all_numbers"](spark, str(tmp_path)).collect()}
     assert got == {k: (v, f) for k, (_, v, f) in enumerate(cases)}
+
+
+def test_no_field_of_a_gold_file_is_lost(spark, tmp_path):
+    """Readers who checked a file, and unknown fields of a period, come out of the tables."""
+    files = [{"id": "a", "checked_by": ["A", None, "B"], "statements": [{"periods": [{"key": "FY2024", "note": "x"}, {"key": "FY2023"}]}]}, {"id": "b", "checked_by": []}, {"id": "c"}, {"id": "d", "checked_by": "C"}]
+    df = spark.createDataFrame([(k, datetime(2025, 1, 1), json.dumps(f)) for k, f in enumerate(files)], "delivery_id LONG, received_at TIMESTAMP, body STRING")
+    df.write.parquet(f"{tmp_path}/gold_files.parquet")
+    run = lambda name: {tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).select(*want[name][0]).collect()}
+    want = {
+        "p4_checked_by": (("file_id", "checked_by_pos", "checked_by"), {("a", 0, "A"), ("a", 1, None), ("a", 2, "B"), ("d", 0, "C")}),
+        "p4_periods_full": (("file_id", "statement_pos", "period_pos", "period_key", "extra"), {("a", 0, 0, "FY2024", '{"note": "x"}'), ("a", 0, 1, "FY2023", None)}),
+    }
+    assert {name: run(name) for name in want} == {name: rows for name, (_, rows) in want.items()}
+
+
+def test_checked_by_of_all_files(spark, data):
+    """By a plain walk of the latest bodies."""
+    bodies = sorted((r.received_at, r.delivery_id, r.body) for r in spark.read.parquet(f"{data}/gold_files.parquet").collect())
+    latest = {f["id"]: f for _, _, body in bodies for f in shred.parse_body(body) or []}
+    want = {(k, p, x) for k, f in latest.items() for p, x in enumerate(f.get("checked_by") or [])}
+    got = [tuple(r) for r in catalogue.QUERIES["p4_checked_by"](spark, data).select("file_id", "checked_by_pos", "checked_by").collect()]
+    assert want and set(got) == want and len(got) == len(want)
