@@ -8,7 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.session import cut
+
 MOST_ALIASES = 100_000
+#: Levels of a hierarchy that are climbed before the lineage is cut.
+CUT_EVERY = 6
 
 
 def small(df: DataFrame, most: int = MOST_ALIASES) -> DataFrame:
@@ -70,18 +74,27 @@ def required_parts(children: DataFrame, rules: DataFrame) -> DataFrame:
     return have.crossJoin(small(rules.select("item_id", "needs"), 1000)).where(F.size(F.array_except("needs", "have")) == 0).select("parent", "item_id")
 
 
-def ancestors(rows: DataFrame, depth: int = 12) -> DataFrame:
-    """(statement_id, row_id, ancestor, distance): each row with all rows above it, up to ``depth`` levels.
+def _loops(step: DataFrame) -> bool | None:
+    """Whether a row is its own ancestor; None where there are no rows."""
+    return step.agg(F.max(F.col("row_id").eqNullSafe(F.col("ancestor")))).first()[0]
+
+
+def ancestors(rows: DataFrame) -> DataFrame:
+    """(statement_id, row_id, ancestor, distance): each row with all rows above it, however deep.
 
-    ``rows`` is (statement_id, row_id, parent_id); depth is that of a printed statement, a few levels.
+    ``rows`` is (statement_id, row_id, parent_id) with one parent a row. A row above itself is an error.
     """
     step = rows.where("parent_id IS NOT NULL").select("statement_id", "row_id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance"))
     out, edge = step, rows.where("parent_id IS NOT NULL").select("statement_id", F.col("row_id").alias("ancestor"), F.col("parent_id").alias("_up"))
-    for level in range(2, depth + 1):
+    level, loops = 1, _loops(step)
+    while loops is not None:
+        if loops:  # climbing that never ends has entered a cycle, and the rows of a cycle meet themselves
+            raise ValueError("a row lies above itself")
+        level += 1
         step = step.join(edge, ["statement_id", "ancestor"]).select("statement_id", "row_id", F.col("_up").alias("ancestor"), F.lit(level).alias("distance"))
-        if step.isEmpty():
-            break
-        out = out.unionByName(step)
+        step = cut(step) if level % CUT_EVERY == 0 else step
+        loops = _loops(step)
+        out = out if loops is None else out.unionByName(step)
     return out
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
+import pytest
+
 from tallyspark.functions import numbers
-from tallyspark.operators import shred
+from tallyspark.operators import mapping, shred
 from tallyspark.plans import catalogue
 
 
@@ -55,3 +57,12 @@ def test_checked_by_of_all_files(spark, data):
     want = {(k, p, x) for k, f in latest.items() for p, x in enumerate(f.get("checked_by") or [])}
     got = [tuple(r) for r in catalogue.QUERIES["p4_checked_by"](spark, data).select("file_id", "checked_by_pos", "checked_by").collect()]
     assert want and set(got) == want and len(got) == len(want)
+
+
+def test_ancestors_of_a_deep_hierarchy(spark):
+    schema = "statement_id STRING, row_id STRING, parent_id STRING"
+    chain = spark.createDataFrame([("s", f"r{k}", f"r{k + 1}" if k < 15 else None) for k in range(16)], schema)
+    got = sorted((r.row_id, r.ancestor, r.distance) for r in mapping.ancestors(chain).collect())
+    assert got == sorted((f"r{a}", f"r{b}", b - a) for a in range(16) for b in range(a + 1, 16))
+    with pytest.raises(ValueError, match="above itself"):
+        mapping.ancestors(spark.createDataFrame([("s", "x", "a"), ("s", "a", "b"), ("s", "b", "a")], schema))
