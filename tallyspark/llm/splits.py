@@ -18,13 +18,14 @@ from pyspark.sql import types as T
 
 from tallyspark.llm.components import components
 from tallyspark.llm.textnorm import fold
-from tallyspark.session import cut
+from tallyspark.session import bounded, cut
 
 # Legal forms at the end of a name.
 LEGAL_FORMS = frozenset("ab ag as asa bsc co company corp corporation cpt gmbh inc incorporated kg kscp limited llc llp ltd nv oyj pjsc plc pty qpsc sa sae saog sarl sas se spa".split())
 
 #: Components heavier than this share of all records are placed first, one by one: at most its inverse in number.
 HEAVY = 0.005
+MOST_POOLS = 100
 BUCKETS = 1024
 
 
@@ -99,7 +100,7 @@ def assign_pools(groups: DataFrame, weights: DataFrame, targets: DataFrame) -> D
     sized = groups.select("source_id", "component").join(weights.groupBy("source_id").agg(F.sum("records").alias("records")), "source_id", "left").groupBy("component").agg(F.sum(F.coalesce("records", F.lit(0)) + F.lit(1e-6)).alias("size"))
     sized = cut(sized.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(BUCKETS))))
     total = sized.agg(F.sum("size")).first()[0] or 0.0
-    shares = [(r["pool"], float(r["share"])) for r in targets.select("pool", "share").where("pool IS NOT NULL AND share > 0").orderBy("pool").limit(100).collect()]
+    shares = [(r["pool"], float(r["share"])) for r in bounded(targets.select("pool", "share").where("pool IS NOT NULL AND share > 0").orderBy("pool"), MOST_POOLS, "pools")]
     scale = sum(s for _, s in shares) or 1.0
     room = {p: total * s / scale for p, s in shares}
     spark = groups.sparkSession

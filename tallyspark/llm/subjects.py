@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.textnorm import folds
-from tallyspark.session import cut
+from tallyspark.session import bounded, cut
 
 MOST_LABELLED = 10_000
+MOST_SUBJECTS = 1000
 RARITY = 2000
 LEAST_DOCUMENTS = 5
 LEAST_COUNT = 20
@@ -229,8 +230,8 @@ def subject_mixtures(documents: DataFrame, subjects: DataFrame, labels: DataFram
     """
     spark = documents.sparkSession
     texts = documents.where("doc_id IS NOT NULL").select("doc_id", "text")
-    names = [r[0] for r in subjects.select("subject").where("subject IS NOT NULL").distinct().orderBy("subject").limit(1000).collect()]
-    glosses = {r[0]: r[1] for r in subjects.select("subject", "gloss").limit(1000).collect()}
+    names = [r[0] for r in bounded(subjects.select("subject").where("subject IS NOT NULL").distinct().orderBy("subject"), MOST_SUBJECTS, "subjects")]
+    glosses = {r[0]: r[1] for r in bounded(subjects.select("subject", "gloss"), MOST_SUBJECTS, "glosses")}
     place = {s: k for k, s in enumerate(names)}
     number = _vocabulary(texts)
 

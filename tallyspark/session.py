@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 
 def get_session(app: str = "tallyspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -60,6 +60,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def bounded(df: DataFrame, most: int, what: str) -> list[Row]:
+    """The rows of a list that has to be small; a longer one is an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what} are listed")
+    return rows
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy Python work enough tasks: shuffle only where a scan has fewer tasks than there are cores.
 

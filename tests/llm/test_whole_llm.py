@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from tallyspark.llm import overlap
+import pytest
+
+from tallyspark.llm import overlap, splits, subjects
 
 
 def test_many_unclear_words_are_read_in_other_ways():
@@ -27,3 +29,19 @@ def test_a_copy_above_the_cap_is_found(spark):
     rows += [("train", "s", "train", " ".join([other[0], *copy[1:]])), ("eval", "t", "test", " ".join(copy))]
     df = spark.createDataFrame(rows, "record_id STRING, source_id STRING, pool STRING, label STRING")
     assert {(r.train_id, r.eval_id) for r in overlap.near_pairs(df).collect()} == {("train", "eval")}
+
+
+def test_longer_lists_are_errors(spark):
+    """One entry above the bound raises; none is left out."""
+    groups = spark.createDataFrame([("a", "a")], "source_id STRING, component STRING")
+    weights = spark.createDataFrame([("a", 1.0)], "source_id STRING, records DOUBLE")
+    targets = spark.createDataFrame([(f"p{k:04}", 0.01) for k in range(splits.MOST_POOLS + 1)], "pool STRING, share DOUBLE")
+    with pytest.raises(ValueError, match="pools"):
+        splits.assign_pools(groups, weights, targets)
+    documents = spark.createDataFrame([(1, "A text.")], "doc_id LONG, text STRING")
+    labels = spark.createDataFrame([(1, "s0000")], "doc_id LONG, subject STRING")
+    names = spark.createDataFrame([(f"s{k:04}", "a gloss") for k in range(subjects.MOST_SUBJECTS + 1)], "subject STRING, gloss STRING")
+    with pytest.raises(ValueError, match="subjects"):
+        subjects.subject_mixtures(documents, names, labels)
+    with pytest.raises(ValueError, match="glosses"):
+        subjects.subject_mixtures(documents, names.withColumn("subject", names.subject.substr(1, 4)), labels)
