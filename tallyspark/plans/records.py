@@ -211,6 +211,21 @@ def multiset_diff(spark: SparkSession, folder: str) -> DataFrame:
     return dataset.multiset_difference(_line(spark, folder, 1), _line(spark, folder, 2), ["l_returnflag", "l_linestatus", "quantity"])
 
 
+def _sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All order lines, those of odd and those of even number."""
+    lines = table(spark, folder, "lineitem").select("l_linenumber", "l_orderkey", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").alias("quantity"))
+    return lines.where("l_linenumber % 2 = 1").drop("l_linenumber"), lines.where("l_linenumber % 2 = 0").drop("l_linenumber")
+
+
+def multiset_match_all(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = _sides(spark, folder)
+    return dataset.multiset_match(a, b.withColumnRenamed("l_orderkey", "other_key"), ["l_returnflag", "l_linestatus", "quantity"], "l_orderkey", "other_key")
+
+
+def multiset_diff_all(spark: SparkSession, folder: str) -> DataFrame:
+    return dataset.multiset_difference(*_sides(spark, folder), ["l_returnflag", "l_linestatus", "quantity"])
+
+
 def near_issuers(spark: SparkSession, folder: str) -> DataFrame:
     s = _sources(spark, folder).where("issuer IS NOT NULL").select(labels.issuer_key(F.col("issuer")).alias("k"), "pool").where("k <> ''")
     a = s.where("pool = 'test'").select(F.col("k").alias("query")).distinct().withColumn("words", F.split("query", " "))
@@ -466,7 +481,7 @@ def event_sequence(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     plain_numbers, parse_numbers, parse_all_numbers, captions, period_headers, month_arithmetic, label_forms, issuer_keys, content_digests, garbled_texts, formatted_amounts, digit_places,
     hash_split, pool_assign, part_counts, moved_parts, impure_sources, dedupe_lowest, target_conflicts, issuer_cap, sampled_rows, route_counts, row_kinds, coverage_curve, consistency_removals, exclusions, contradictory_sources,
-    multiset_match, multiset_diff, near_issuers, snapshot_changes, confusion, class_scores, macro_f1, score_strata, wilson, error_bounds, p90_strata, gate_cube, bootstrap, unmatched_rows,
+    multiset_match, multiset_diff, multiset_match_all, multiset_diff_all, near_issuers, snapshot_changes, confusion, class_scores, macro_f1, score_strata, wilson, error_bounds, p90_strata, gate_cube, bootstrap, unmatched_rows,
     page_scores, numeric_tokens, find_ranges, merge_intervals, conversion_plan, industry_verdict, label_match, prefix_match, longest_heading, carried_forward, latest_tags,
     document_language, document_currency, statement_currency, alias_pools, merged_evidence, latest_events, table_types,
     event_windows, event_sliding, event_sessions, event_state, event_sequence,
@@ -596,3 +611,5 @@ p AS (SELECT "group", MIN(pool) AS a, MAX(pool) AS b, COUNT(DISTINCT c) AS m FRO
     "event_sessions": "SELECT user_id, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS start, COUNT(*) AS n FROM (SELECT *, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, g",
     "event_sequence": "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events",
 }
+for _name in ("multiset_match", "multiset_diff"):  # the same over all order lines
+    ORACLES[f"{_name}_all"] = ORACLES[_name].replace("l_linenumber = 1", "l_linenumber % 2 = 1").replace("l_linenumber = 2", "l_linenumber % 2 = 0")

@@ -79,12 +79,20 @@ def period_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return checks.period_outliers(c.withColumn("reported", F.when((F.col("row_id") == "net_income") & (F.col("period_key") == "FY1996"), F.col("reported") * 5000).otherwise(F.col("reported")).cast("decimal(38,6)")))
 
 
-def column_outliers(spark: SparkSession, folder: str) -> DataFrame:
-    c = star(spark, folder)[3].where("row_id NOT LIKE 'lease%'")
+def _column_outliers(c: DataFrame) -> DataFrame:
     c = c.withColumn("reported", F.when((F.col("row_id") == "inventories") & F.col("period_key").startswith("1998"), F.col("reported") * 100000).otherwise(F.col("reported")).cast("decimal(38,6)"))
     return checks.column_outliers(c).select("statement_id", "period_key", "row_id", F.col("reported").cast("double").alias("reported"))
 
 
+def column_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    return _column_outliers(star(spark, folder)[3].where("row_id NOT LIKE 'lease%'"))
+
+
+def column_outliers_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Lease lines are judged as well."""
+    return _column_outliers(star(spark, folder)[3])
+
+
 def fractions(spark: SparkSession, folder: str) -> DataFrame:
     return checks.fractions(star(spark, folder)[3])
 
@@ -171,7 +179,7 @@ QUERIES: dict[str, Query] = {
     "frame_rows": frame_rows, "primary_statements": primary_statements, "wide_facts": wide_facts, "duplicate_rows": duplicate_rows,
     "margins": _metric_query(*MARGIN_IDS), "liquidity": _metric_query(*LIQUIDITY), "leverage": _metric_query(*LEVERAGE), "returns": _metric_query(*RETURNS), "turnover_days": _metric_query(*DAYS), "growth": _metric_query(*GROWTH),
     "leverage_with_leases": _metric_query("total_debt", "debt_to_equity", policy=metrics.Policy(include_lease_liabilities=True)), "metric_flags": metric_flags, "metrics_full": metrics_full,
-    "identity_checks": identity_checks, "identity_status": identity_status, "period_outliers": period_outliers, "column_outliers": column_outliers, "fractions": fractions,
+    "identity_checks": identity_checks, "identity_status": identity_status, "period_outliers": period_outliers, "column_outliers": column_outliers, "column_outliers_all": column_outliers_all, "fractions": fractions,
     "unchecked_cells": unchecked_cells, "coverage_tally": coverage_tally, "review_reasons": review_reasons, "digit_suspects": digit_suspects, "unit_caveats": unit_caveats, "inferred_sums": inferred_sums,
     "statement_view": statement_view, "latest_facts": latest_facts, "settle_duplicates": settle_duplicates, "item_ancestors": item_ancestors, "model_violations": model_violations,
 }
@@ -327,3 +335,4 @@ SELECT statement_id, row_id, item_id, CASE WHEN n = 1 OR (same AND k = 1) THEN '
     "item_ancestors": "WITH RECURSIVE a(row_id, ancestor, distance) AS (SELECT item_id, within, 1 FROM taxonomy_items WHERE within IS NOT NULL UNION ALL SELECT a.row_id, t.within, a.distance + 1 FROM a JOIN taxonomy_items t ON t.item_id = a.ancestor WHERE t.within IS NOT NULL) SELECT * FROM a",
     "model_violations": "SELECT 'x' AS rule, CAST(1 AS BIGINT) AS n WHERE FALSE",
 }
+ORACLES["column_outliers_all"] = ORACLES["column_outliers"].replace(" WHERE row_id NOT LIKE 'lease%'", "")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections import Counter, defaultdict
 from datetime import datetime
+from statistics import median
 
 import pytest
 
 from tallyspark.functions import numbers
 from tallyspark.operators import mapping, shred
 from tallyspark.plans import catalogue
+from tallyspark.plans.fixtures import star
 
 
 def _figures(spark, data):
@@ -66,3 +69,24 @@ def test_ancestors_of_a_deep_hierarchy(spark):
     assert got == sorted((f"r{a}", f"r{b}", b - a) for a in range(16) for b in range(a + 1, 16))
     with pytest.raises(ValueError, match="above itself"):
         mapping.ancestors(spark.createDataFrame([("s", "x", "a"), ("s", "a", "b"), ("s", "b", "a")], schema))
+
+
+def test_all_order_lines_enter_the_multisets(spark, data):
+    """Odd and even lines, net, by brute force over all of them."""
+    net = Counter()
+    for r in spark.read.parquet(f"{data}/lineitem.parquet").select("l_linenumber", "l_returnflag", "l_linestatus", "l_quantity").collect():
+        net[r.l_returnflag, r.l_linestatus, int(r.l_quantity)] += 1 if r.l_linenumber % 2 else -1
+    got = {(r.l_returnflag, r.l_linestatus, r.quantity): r.missing - r.extra for r in catalogue.QUERIES["multiset_diff_all"](spark, data).collect()}
+    assert got == {k: n for k, n in net.items() if n}
+
+
+def test_lease_lines_are_judged(spark, data):
+    """Columns with their lease lines, by brute force."""
+    cells = [(r.statement_id, r.period_key, r.row_id, r.reported * (100000 if r.row_id == "inventories" and r.period_key.startswith("1998") else 1)) for r in star(spark, data)[3].collect()]
+    columns = defaultdict(list)
+    for s, p, _, x in cells:
+        if x:
+            columns[s, p].append(abs(x))
+    want = {(s, p, k) for s, p, k, x in cells if x and (abs(x) > 10**15 or len(columns[s, p]) >= 5 and abs(x) > 10000 * median(columns[s, p]))}
+    got = {(r.statement_id, r.period_key, r.row_id) for r in catalogue.QUERIES["column_outliers_all"](spark, data).collect()}
+    assert any(k.startswith("lease") for _, _, k, _ in cells) and want and got == want
