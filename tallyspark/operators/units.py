@@ -3,11 +3,12 @@
 Declarative throughout: ``regexp_extract`` takes the number, the scale word and the currency word
 out of captions and printed figures, small alias tables are joined to them, ``coalesce`` picks the
 nearest unit (own column, own caption, printed figure, statement column, statement caption), and
-the factor is applied in DECIMAL.
+factor and offset are applied in DECIMAL.
 
 Defined results: a figure without any scale counts as single units (the source default); a figure
 without any currency gets a null currency; an input with neither ``reported`` nor a readable
-``raw_text`` gets a null amount; an unknown unit word is no unit. Repeated rows give one result.
+``raw_text`` gives no row; an unknown unit word is no unit; an amount that no BIGINT holds is null and not ``exact``, and the other rows
+come out all the same. Repeated rows give one result.
 """
 
 from __future__ import annotations
@@ -51,6 +52,9 @@ SUBUNIT_WORDS: dict[str, tuple[str, str]] = {
 #: Items that are figures per share: never scaled, so not converted here.
 PER_SHARE_ITEMS = ("per_share_basic", "per_share_diluted")
 
+#: Units whose zero lies elsewhere: word -> what is added after the factor. None of the units of money does.
+UNIT_OFFSETS: dict[str, str] = {}
+
 _META = set("\\.^$|?*+()[]{}")
 
 
@@ -75,7 +79,10 @@ def _clean(text: Column) -> Column:
 
 
 def unit_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """(scale_alias, scale) and (currency_alias, currency, subunit): fixed lists of about a hundred rows."""
+    """(scale_alias, factor, offset) and (currency_alias, currency, factor and offset of a subunit): fixed lists of about a hundred rows.
+
+    All units of money begin at zero; a unit that does not (a temperature, an index) has its offset in ``UNIT_OFFSETS``.
+    """
     arabic = lambda w: "؀" <= w[0] <= "ۿ"
     prefixes = ("", "و", "ب", "ل", "ك", "ال", "بال", "وال", "لل")
     spread = lambda w: [p + w for p in prefixes] if arabic(w) else [w]
@@ -87,13 +94,16 @@ def unit_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         currencies |= dict.fromkeys(spread(word), (code, None))
     for word, (factor, code) in SUBUNIT_WORDS.items():
         currencies |= dict.fromkeys(spread(word), (code, factor))
-    scale = spark.createDataFrame(sorted(scales.items()), "scale_alias STRING, scale_text STRING").select("scale_alias", F.col("scale_text").cast("decimal(13,3)").alias("alias_scale"))
-    currency = spark.createDataFrame([(w, c, f) for w, (c, f) in sorted(currencies.items())], "currency_alias STRING, alias_currency STRING, sub STRING").select("currency_alias", "alias_currency", F.col("sub").cast("decimal(13,3)").alias("alias_sub"))
+    offset = lambda word: UNIT_OFFSETS.get(word, "0")
+    scale = spark.createDataFrame([(w, f, offset(w)) for w, f in sorted(scales.items())], "scale_alias STRING, factor STRING, shift STRING")
+    scale = scale.select("scale_alias", F.col("factor").cast("decimal(13,3)").alias("alias_scale"), F.col("shift").cast("decimal(13,6)").alias("alias_offset"))
+    currency = spark.createDataFrame([(w, c, f, offset(w) if f else None) for w, (c, f) in sorted(currencies.items())], "currency_alias STRING, alias_currency STRING, factor STRING, shift STRING")
+    currency = currency.select("currency_alias", "alias_currency", F.col("factor").cast("decimal(13,3)").alias("alias_sub"), F.col("shift").cast("decimal(13,6)").alias("sub_offset"))
     return scale, currency
 
 
 def with_units(df: DataFrame, text: str, out: str, printed: bool = False) -> DataFrame:
-    """Add ``<out>_scale`` and ``<out>_currency``, read from the caption or printed figure in ``text``."""
+    """Add ``<out>_scale``, ``<out>_offset`` and ``<out>_currency``, read from the caption or printed figure in ``text``."""
     scales, currencies = unit_tables(df.sparkSession)
     clean = _clean(F.col(text))
     if printed:  # the figure itself is no unit: "12 000 units"
@@ -103,7 +113,8 @@ def with_units(df: DataFrame, text: str, out: str, printed: bool = False) -> Dat
     words = F.coalesce(_extract(outside, SUBUNIT_WORDS), _extract(outside, CURRENCY_WORDS))
     df = df.withColumns({"_s": _extract(outside, SCALE_WORDS), "_c": words})
     df = df.join(F.broadcast(scales), F.col("_s") == F.col("scale_alias"), "left").join(F.broadcast(currencies), F.col("_c") == F.col("currency_alias"), "left")
-    return df.withColumns({f"{out}_scale": F.coalesce("alias_sub", "alias_scale"), f"{out}_currency": F.col("alias_currency")}).drop("_s", "_c", "scale_alias", "alias_scale", "currency_alias", "alias_currency", "alias_sub")
+    df = df.withColumns({f"{out}_scale": F.coalesce("alias_sub", "alias_scale"), f"{out}_offset": F.coalesce("sub_offset", "alias_offset"), f"{out}_currency": F.col("alias_currency")})
+    return df.drop("_s", "_c", "scale_alias", "alias_scale", "alias_offset", "currency_alias", "alias_currency", "alias_sub", "sub_offset")
 
 
 def printed_number(text: Column) -> Column:
@@ -139,18 +150,22 @@ def whole_units(inputs: DataFrame, statements: DataFrame) -> DataFrame:
     want = with_units(with_units(want, "own_caption", "caption"), "raw_text", "printed", printed=True)
     want = want.select(
         "input_id", "figure",
-        F.coalesce(F.col("own_scale").cast("decimal(13,3)"), "caption_scale", "printed_scale").alias("near_scale"),
+        F.coalesce(F.col("own_scale").try_cast("decimal(13,3)"), "caption_scale", "printed_scale").alias("near_scale"),
+        F.when(F.col("own_scale").isNull(), F.coalesce("caption_offset", "printed_offset")).alias("near_offset"),
         F.coalesce(_iso(F.col("own_currency")), "caption_currency", "printed_currency").alias("near_currency"),
         "statement_id",
     )
     complete = F.col("near_scale").isNotNull() & F.col("near_currency").isNotNull()
     want = want.withColumn("unit_of", F.when(complete | F.col("statement_id").isNull(), F.concat(F.lit("\u0000"), F.col("input_id").cast("string"))).otherwise(F.col("statement_id"))).drop("statement_id")
     given = with_units(statements.select(F.col("statement_id").alias("unit_of"), F.col("scale").alias("given_scale"), F.col("currency").alias("given_currency"), F.col("unit_text").alias("given_caption")), "given_caption", "st")
-    given = given.select("unit_of", F.coalesce(F.col("given_scale").cast("decimal(13,3)"), "st_scale").alias("st_scale"), F.coalesce(_iso(F.col("given_currency")), "st_currency").alias("st_currency"))
+    given = given.select("unit_of", F.coalesce(F.col("given_scale").try_cast("decimal(13,3)"), "st_scale").alias("st_scale"), F.when(F.col("given_scale").isNull(), F.col("st_offset")).alias("st_offset"), F.coalesce(_iso(F.col("given_currency")), "st_currency").alias("st_currency"))
     joined = want.join(given, "unit_of", "left")
     scale = F.coalesce("near_scale", "st_scale", F.lit(1).cast("decimal(13,3)"))
-    product = F.col("figure").cast("decimal(24,6)") * scale
-    out = joined.select("input_id", F.round(product, 0).cast("bigint").alias("amount"), F.coalesce("near_currency", "st_currency").alias("currency"), scale.alias("scale"), (F.round(product, 0) == product).alias("exact"))
+    offset = F.coalesce(F.when(F.col("near_scale").isNotNull(), F.col("near_offset")).otherwise(F.col("st_offset")), F.lit(0).cast("decimal(13,6)"))
+    scaled = F.try_add(F.try_multiply(F.col("figure"), scale), offset).try_cast("decimal(38,6)")
+    amount = F.round(scaled, 0).try_cast("bigint")
+    exact = F.coalesce(amount.isNotNull() & (F.round(scaled, 0) == scaled), F.lit(False))
+    out = joined.select("input_id", amount.alias("amount"), F.coalesce("near_currency", "st_currency").alias("currency"), scale.alias("scale"), exact.alias("exact"))
     return out.dropDuplicates(["input_id"])
 
 
