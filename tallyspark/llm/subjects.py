@@ -1,19 +1,25 @@
 """Subject areas of documents by a seeded non-negative factorisation of the document-term matrix.
 
-Rows are documents, columns are words, and an entry is the number of sentences of the document with
-the word. One component is anchored to each subject: its words start from hand-labelled documents
-(and the glosses), and words that all subjects share are held out of every subject. Alternating
-multiplicative updates then run over all documents: the mixture of each document is updated on the
-spot against the word weights, which are sent to all workers, and the weights are updated from sums
-over the whole corpus. Mixture and weights say which subject each word of a sentence speaks for, and
-a subject counts for a document if at least a fifth of its sentences are about it.
+Rows are documents and columns are words. Every sentence brings one unit, which its words share, so
+that the mixture of a document counts its sentences. One component is anchored to each subject: its
+words start from hand-labelled documents (and the glosses), and words that all subjects share are held
+out of every subject; one more component is the ground. Alternating multiplicative updates run over
+all documents until the components stand still: the mixture of each document is updated on the spot
+against the word weights, which are sent to all workers, and the weights are updated from sums over
+the whole corpus. The mixture then gives the subjects directly: rounded, it is the number of sentences
+about each, and a subject counts for a document if at least a fifth of its sentences are about it.
+
+The texts are read twice: once for the vocabulary and the sums over labelled documents, once for the
+matrix.
 
 What is bounded: the labelled rows used as seed (``MOST_LABELLED`` documents, by hash; a documented
 sample), and the vocabulary (words in at least one document in ``RARITY``: at most RARITY times the
-mean number of words of a document, however large the corpus). All else covers all documents.
+mean number of words of a document, however large the corpus). The bar is a share, so that a corpus
+that grows alike keeps its words. All else covers all documents.
 
-Defined results: null, empty and blank texts have no subject; a repeated ``doc_id`` is read once; a
-label that is not a listed subject counts as "none".
+Defined results: null, empty and blank texts have no subject; a ``doc_id`` that is delivered again
+comes out once, though statistics count each delivery; a label that is not a listed subject counts as
+"none"; no subjects or no documents give no rows.
 """
 
 from __future__ import annotations
@@ -34,17 +40,20 @@ from tallyspark.session import bounded, cut
 MOST_LABELLED = 10_000
 MOST_SUBJECTS = 1000
 RARITY = 2000
-LEAST_DOCUMENTS = 5
-LEAST_COUNT = 20
 #: A word that labelled documents tell so often of is a word of the subjects.
 ANCHORED = 2
 REMEMBERED = 500_000
+#: Sums that a task holds before it passes them on.
+FLUSH = 200_000
 #: A document is about a subject if at least this share of its sentences is.
 SHARE = 0.2
 #: Words spread over the equivalent of so many subjects belong to none.
 FRAME = 3.0
-ROUNDS = 2
-INNER = 8
+#: Rounds end when no component's weights move by more than this (of 2 at most), or after ``MOST_ROUNDS``.
+STILL = 0.2
+MOST_ROUNDS = 8
+#: Updates of the mixtures within a round, and when they are read.
+INNER, LAST = 8, 24
 
 _WORD = re.compile(r"[^\W_]{2,}")
 _TOKEN = re.compile(r"[^\W_]{2,}|[.!?؟。](?=\s)|[\n\r]")
@@ -134,13 +143,11 @@ class Rows:
         share = w[self.doc] * h[:, self.word].T
         return share * (self.count / np.maximum(share.sum(1), 1e-30))[:, None]
 
-    def mixtures(self, h: np.ndarray, allowed: np.ndarray | None, rounds: int) -> np.ndarray:
-        """The mixture of each document against fixed word weights."""
-        k = h.shape[0]
-        mask = np.ones((self.n, k)) if allowed is None else allowed
-        w = mask * np.maximum(self.size, 1e-9)[:, None] / np.maximum(mask.sum(1, keepdims=True), 1)
+    def mixtures(self, h: np.ndarray, rounds: int) -> np.ndarray:
+        """The mixture of each document against fixed word weights; its parts add up to what its words count."""
+        w = np.repeat(np.maximum(self.size, 1e-9)[:, None] / h.shape[0], h.shape[0], 1)
         for _ in range(rounds):
-            w = self._by_doc(self.parts(w, h)) * mask
+            w = self._by_doc(self.parts(w, h))
         return w
 
     def _by_doc(self, parts: np.ndarray) -> np.ndarray:
@@ -157,21 +164,32 @@ def spread_of(counts: np.ndarray) -> np.ndarray:
     return np.exp(-(q * np.log(np.maximum(q, 1e-12))).sum(0))
 
 
-def seed(rows: Rows, labels: list[set[int]], subjects: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word weights, held out) from labelled rows; the last component is the ground that all share.
+class Told:
+    """What labelled texts tell of each word, in sentences: by subject (whole and single), without a subject, and in all."""
+
+    def __init__(self, subjects: int, words: int):
+        self.whole, self.single = np.zeros((subjects, words)), np.zeros((subjects, words))
+        self.plain, self.seen = np.zeros(words), np.zeros(words)
+
+    def add(self, words: np.ndarray, counts: np.ndarray, own: set[int]) -> None:
+        """One text of the subjects ``own``, which share it evenly."""
+        np.add.at(self.seen, words, counts)
+        if not own:
+            np.add.at(self.plain, words, counts)
+        for j in own:
+            np.add.at(self.whole[j], words, counts / len(own))
+            if len(own) == 1:
+                np.add.at(self.single[j], words, counts)
+
+
+def seed(told_of: Told) -> tuple[np.ndarray, np.ndarray]:
+    """(word weights, held out) from labelled texts; the last component is the ground that all share.
 
     A document of several subjects counts a part for each, and little when it is settled which words
     the subjects share: those are held out of them, and so are words of documents without a subject.
     """
-    whole, single, plain = np.zeros((subjects, words)), np.zeros((subjects, words)), np.zeros(words)
-    size = np.array([len(x) for x in labels])
-    for j in range(subjects):
-        own = np.array([1 / len(x) if j in x else 0.0 for x in labels])
-        whole[j] = np.bincount(rows.word, rows.count * own[rows.doc], words)
-        single[j] = np.bincount(rows.word, rows.count * (own == 1)[rows.doc], words)
-    plain = np.bincount(rows.word, rows.count * (size == 0)[rows.doc], words)
-    seen = np.bincount(rows.word, rows.count, words)
-    told = single + 0.15 * (whole - single)
+    whole, plain, seen = told_of.whole, told_of.plain, told_of.seen
+    told = told_of.single + 0.15 * (whole - told_of.single)
     p = (whole + 1e-3) / (whole + 1e-3).sum(1, keepdims=True)
     q = p / p.sum(0, keepdims=True)
     held = ((spread_of(told) >= FRAME) & (told.sum(0) >= 3)) | ((plain > 0) & ((plain + 1e-3) / (plain + 1e-3).sum() > 0.3 * p.max(0)))
@@ -181,101 +199,122 @@ def seed(rows: Rows, labels: list[set[int]], subjects: int, words: int) -> tuple
     return h / h.sum(1, keepdims=True), held
 
 
-def speak_for(doc: np.ndarray, sentence: np.ndarray, word: np.ndarray, mixtures: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """(document, subject) -> how many sentences are about it. The arrays hold one entry per word of a sentence.
+def _first_pass(documents: DataFrame, own: dict[int, set[int]], subjects: int) -> tuple[dict[str, int], Told]:
+    """(word -> number, what labelled documents tell) in one reading of all texts.
 
-    Each word divides over the components by the document's mixture; the subject with the most words
-    of a sentence has it, if that is more than 0.6 of a word.
+    The vocabulary is the words of at least one document in RARITY. ``own`` has the subjects of at most
+    MOST_LABELLED documents. Sums are pre-aggregated by task; what comes back is one row a word of the
+    vocabulary and one a word and subject that it is told of, as Arrow columns.
     """
-    subjects = h.shape[0] - 1
-    out = np.zeros((len(mixtures), subjects), np.int64)
-    if len(word):
-        mix = mixtures / np.maximum(mixtures.sum(1, keepdims=True), 1e-12) + 0.005
-        part = mix[doc] * h[:, word].T
-        part /= np.maximum(part.sum(1, keepdims=True), 1e-30)
-        first = np.flatnonzero(np.r_[True, (sentence[1:] != sentence[:-1]) | (doc[1:] != doc[:-1])])
-        score = np.add.reduceat(part[:, :subjects], first, axis=0)
-        best = score.argmax(1)
-        sure = score[np.arange(len(best)), best] > 0.6
-        np.add.at(out, (doc[first][sure], best[sure]), 1)
-    return out
 
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents_of: Counter = Counter()
+        told: dict[tuple[int, str], list[float]] = {}
+        read = 0
+
+        def tell(j: int, word: str, a: float, b: float) -> None:
+            entry = told.setdefault((j, word), [0.0, 0.0])
+            entry[0] += a
+            entry[1] += b
 
-def _vocabulary(documents: DataFrame) -> dict[str, int]:
-    """Word -> number, for the words of at least one document in RARITY; counted over all documents."""
+        def rows() -> pa.RecordBatch:
+            keys = [*((-1, w) for w in documents_of), *told]
+            parts = [*([float(n), 0.0] for n in documents_of.values()), *told.values()]
+            return pa.RecordBatch.from_arrays([pa.array([j for j, _ in keys], pa.int32()), pa.array([w for _, w in keys], pa.string()), pa.array([x[0] for x in parts], pa.float64()), pa.array([x[1] for x in parts], pa.float64())], names=["of", "word", "a", "b"])
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        read = 0
         for b in batches:
-            for text in b.column(1):
-                total.update(words_of(text.as_py()))
+            for ident, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = words_of(text.as_py())
+                documents_of.update(words)
                 read += 1
-            if len(total) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
-                total = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array([*total, ""], pa.string()), pa.array([*total.values(), read], pa.int64())], names=["word", "n"])
-
-    sums = cut(documents.select("doc_id", "text").mapInArrow(counts, "word STRING, n BIGINT").groupBy("word").agg(F.sum("n").alias("n")))
-    read = sums.where("word = ''").agg(F.sum("n")).first()[0] or 0
-    kept = sums.where("word <> ''").where(F.col("n") >= max(LEAST_DOCUMENTS, read / RARITY)).select("word").collect()
-    return {w: k for k, w in enumerate(sorted(r[0] for r in kept))}
+                mine = own.get(ident)
+                if mine is not None and words:
+                    known = sorted(words)
+                    counts = Counter(SentenceReader({w: k for k, w in enumerate(known)})(text.as_py())[1])
+                    for k, n in counts.items():
+                        tell(subjects, known[k], n if not mine else 0.0, n)
+                        for j in mine:
+                            tell(j, known[k], n / len(mine), n if len(mine) == 1 else 0.0)
+            if len(documents_of) + len(told) > FLUSH:
+                yield rows()
+                documents_of.clear()
+                told.clear()
+        documents_of[""] = read
+        yield rows()
+
+    parts = documents.select("doc_id", "text").mapInArrow(sums, "of INT, word STRING, a DOUBLE, b DOUBLE")
+    total = cut(parts.groupBy("of", "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    read = total.where("of = -1 AND word = ''").agg(F.sum("a")).first()[0] or 0.0
+    listed = total.where("of = -1 AND word <> ''").where(F.col("a") >= read / RARITY).select("word")
+    words = sorted(listed.toArrow().column(0).to_pylist())
+    number = {w: k for k, w in enumerate(words)}
+    out = Told(subjects, len(number))
+    held = total.where("of >= 0").join(listed, "word", "left_semi").select("of", "word", "a", "b").toArrow()
+    at = np.array([number[w] for w in held.column(1).to_pylist()], np.int64)
+    of, a, b = (np.asarray(held.column(k)) for k in (0, 2, 3))
+    for j in range(subjects):
+        here = of == j
+        out.whole[j, at[here]], out.single[j, at[here]] = a[here], b[here]
+    here = of == subjects
+    out.plain[at[here]], out.seen[at[here]] = a[here], b[here]
+    return number, out
+
+
+def unit_counts(words: list[int], places: list[int]) -> dict[int, float]:
+    """Word -> what it counts in a document, when every sentence brings one unit that its words share."""
+    size = Counter(places)
+    out: dict[int, float] = {}
+    for w, p in zip(words, places, strict=True):
+        out[w] = out.get(w, 0.0) + 1.0 / size[p]
+    return out
 
 
 def subject_mixtures(documents: DataFrame, subjects: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, sentences, subject, about, share, weight): every subject with a sentence in a document.
 
-    ``about`` of the ``sentences`` speak for the subject, ``share`` is their part, and ``weight`` is
-    the subject's part in the document's mixture.
+    ``weight`` is the subject's part in the document's mixture, in sentences; ``about`` is that as a
+    whole number of the ``sentences``, and ``share`` their part.
     """
     spark = documents.sparkSession
     texts = documents.where("doc_id IS NOT NULL").select("doc_id", "text")
     names = [r[0] for r in bounded(subjects.select("subject").where("subject IS NOT NULL").distinct().orderBy("subject"), MOST_SUBJECTS, "subjects")]
     glosses = {r[0]: r[1] for r in bounded(subjects.select("subject", "gloss"), MOST_SUBJECTS, "glosses")}
     place = {s: k for k, s in enumerate(names)}
-    number = _vocabulary(texts)
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = SentenceReader(number)
-        for b in batches:
-            found = [read(x.as_py())[1] for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "words"])
-
     chosen = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject").alias("own")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
-    chosen = cut(chosen)  # at most MOST_LABELLED rows
-    seeds = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(numbered, "doc_id BIGINT, words ARRAY<INT>").join(F.broadcast(chosen), "doc_id").select("words", "own").collect()
-    lists = [r["words"] for r in seeds] + [[number[w] for w in words_of(g) if w in number] for g in glosses.values()]
-    owns = [{place[s] for s in r["own"] if s in place} for r in seeds] + [{place[s]} for s in glosses if s in place]
-    h, held = seed(Rows.of(lists), owns, len(names), len(number))
-
-    def topical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = SentenceReader({w: k for w, k in number.items() if not held[k]})
+    own = {r["doc_id"]: {place[s] for s in r["own"] if s in place} for r in chosen.collect()}  # at most MOST_LABELLED rows
+    number, told = _first_pass(texts, own, len(names))
+    for s, gloss in glosses.items():
+        if s in place:
+            known = np.array([number[w] for w in words_of(gloss) if w in number], np.int64)
+            told.add(known, np.ones(len(known)), {place[s]})
+    h, held = seed(told)
+    topical = {w: k for w, k in number.items() if not held[k]}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = SentenceReader(topical)
         for b in batches:
             found = [read(x.as_py()) for x in b.column(1)]
-            totals = [Counter(w) for _, w, _ in found]
-            sizes, words, places = [x[0] for x in found], [x[1] for x in found], [x[2] for x in found]
-            ids, counts = [list(t) for t in totals], [list(t.values()) for t in totals]
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(words, ints), pa.array(places, ints), pa.array(ids, ints), pa.array(counts, ints)], names=["doc_id", "sentences", "words", "places", "ids", "counts"])
-
-    lists_of = "words ARRAY<INT>, places ARRAY<INT>, ids ARRAY<INT>, counts ARRAY<INT>"
-    matrix = cut(texts.mapInArrow(topical, f"doc_id BIGINT, sentences INT, {lists_of}").where("size(words) > 0"))
-    for k in range(ROUNDS):
-        h = _update(matrix, h, hold=k < ROUNDS - 1)
+            counted = [unit_counts(words, places) for _, words, places in found]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([n for n, _, _ in found], pa.int32()), pa.array([list(c) for c in counted], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counted], pa.list_(pa.float32()))],
+                names=["doc_id", "sentences", "ids", "counts"],
+            )
+
+    matrix = cut(texts.mapInArrow(rows, "doc_id BIGINT, sentences INT, ids ARRAY<INT>, counts ARRAY<FLOAT>").where("size(ids) > 0"))
+    for k in range(MOST_ROUNDS):
+        before, h = h, _update(matrix, h, hold=k == 0)
+        if np.abs(h - before).sum(1).max(initial=0.0) <= STILL:
+            break
     last = spark.sparkContext.broadcast(h.astype(np.float32))  # subjects x vocabulary, both bounded
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = last.value.astype(np.float64)
         for b in batches:
-            words, places = b.column(2), b.column(3)
-            mixed = Rows.read(b.column(4), b.column(5)).mixtures(weights, None, 3 * INNER)
-            doc = np.repeat(np.arange(len(words)), np.asarray(pc.list_value_length(words)))
-            about = speak_for(doc, np.asarray(places.flatten()), np.asarray(words.flatten(), np.int64), mixed, weights)
+            mixed = Rows.read(b.column(2), b.column(3)).mixtures(weights, LAST)[:, : len(names)]
+            about = np.floor(mixed + 0.5).astype(np.int64)
             row, subject = np.nonzero(about)
-            n = np.asarray(b.column(1))[row]
-            part = (mixed / np.maximum(mixed.sum(1, keepdims=True), 1e-12))[row, subject]
-            took = about[row, subject]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(n, pa.int32()), pa.array([names[k] for k in subject], pa.string()), pa.array(took, pa.int32()), pa.array(took / n, pa.float64()), pa.array(part, pa.float64())], names=["doc_id", "sentences", "subject", "about", "share", "weight"])
+            n, took = np.asarray(b.column(1))[row], about[row, subject]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(n, pa.int32()), pa.array([names[k] for k in subject], pa.string()), pa.array(took, pa.int32()), pa.array(took / n, pa.float64()), pa.array(mixed[row, subject], pa.float64())], names=["doc_id", "sentences", "subject", "about", "share", "weight"])
 
     found = matrix.mapInArrow(decode, "doc_id BIGINT, sentences INT, subject STRING, about INT, share DOUBLE, weight DOUBLE")
     return found.dropDuplicates(["doc_id", "subject"])
@@ -296,16 +335,18 @@ def _update(matrix: DataFrame, h: np.ndarray, hold: bool) -> np.ndarray:
         for b in batches:
             rows = Rows.read(b.column(0), b.column(1))
             if len(rows.doc):
-                total += rows.by_word(rows.parts(rows.mixtures(weights, None, INNER), weights), words)
+                total += rows.by_word(rows.parts(rows.mixtures(weights, INNER), weights), words)
         at = np.flatnonzero(total.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(list(total[:, at].T), pa.list_(pa.float64()))], names=["word", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(row[at], pa.float64()) for row in total)], names=["word", *(f"p{j}" for j in range(k))])
 
-    parts = matrix.select("ids", "counts").mapInArrow(sums, "word INT, part ARRAY<DOUBLE>")
-    each = parts.groupBy("word").agg(*[F.sum(F.col("part")[j]).alias(f"p{j}") for j in range(k)]).collect()
+    parts = matrix.select("ids", "counts").mapInArrow(sums, "word INT" + "".join(f", p{j} DOUBLE" for j in range(k)))
+    each = parts.groupBy("word").agg(*[F.sum(f"p{j}").alias(f"p{j}") for j in range(k)]).toArrow()  # one row a word of the vocabulary
     new = np.zeros_like(h)
-    for r in each:
-        new[:, r[0]] = r[1:]
+    at = np.asarray(each.column(0), np.int64)
+    for j in range(k):
+        new[j, at] = np.asarray(each.column(1 + j))
     new = np.where(h > 0, np.maximum(new, 1e-9), 0)
     if hold and k > 2:
-        new[:-1, (spread_of(new[:-1]) >= FRAME) & (new[:-1].sum(0) >= LEAST_COUNT)] = 0
+        new[:-1, spread_of(new[:-1]) >= FRAME] = 0
+    shared.destroy()
     return new / np.maximum(new.sum(1, keepdims=True), 1e-30)

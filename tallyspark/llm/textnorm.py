@@ -42,7 +42,7 @@ def look(char: str) -> str:
         return LOOKALIKES[char]
     how = unicodedata.decomposition(char)
     if not how:
-        return char
+        return unicodedata.normalize("NFD", char)  # syllables are composed by rule
     if how.startswith("<"):
         kind, _, rest = how.partition(" ")
         if kind not in _SAME_LOOK:

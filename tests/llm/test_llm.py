@@ -153,7 +153,7 @@ def test_found_items(spark):
 
 def test_trie_walk():
     trie = lookalike.Trie([(1, "Trade debtors"), (2, "Trésorerie"), (3, "Trade debts")])
-    assert trie.exact("Тrade debtors‍") == 1 and trie.exact("Trésorerie") == 2 and trie.exact("trade debtors") is None and trie.exact("Trade  debtors") is None and trie.exact("") is None
+    assert trie.walk("Тrade debtors‍") == (1, 0) and trie.walk("Trésorerie") == (2, 0) and trie.walk("trade debtors") is None and trie.walk("Trade  debtors") is None and trie.walk("") is None
     assert trie.walk("Trade debtor", 1) == (1, 1) and trie.walk("Trade debtss", 1) == (3, 1) and trie.walk("rade debts", 1) == (3, 1) and trie.walk("Trade deb", 1) is None
     rng = random.Random(4)
     words = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 6))) for _ in range(12)]
@@ -278,6 +278,19 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0), targets)[0].count() == 0
 
 
+def test_shards(spark):
+    """A vocabulary in shards gives what it gives in one piece."""
+    names = [(k, f"caption {k} of é{k % 7}") for k in range(60)] + [(60, "Ａbc"), (61, "Abc")]
+    aliases = spark.createDataFrame(names, "alias_id LONG, alias STRING")
+    texts = [(str(k), t) for k, t in enumerate(["caption 5 of e\u03015", "captiоn 13 of é6", "Abc", "Аbc", "caption", "x Abc y", None, "", "caption 5  of é5", "caption 8 of é2"])]
+    df = spark.createDataFrame(texts, "record_id STRING, label STRING")
+    for most in (0, 1):
+        whole, parts = (sorted(map(tuple, lookalike.canonical_form(df, aliases, most, n).select("record_id", "alias_id", "cost").collect())) for n in (1000, 7))
+        assert whole == parts
+    forms = {r.record_id: r.form for r in lookalike.canonical_form(df, aliases, 0, 7).collect()}
+    assert forms["2"] == forms["3"] and forms["6"] is None
+
+
 # --- subjects ----------------------------------------------------------------------------------------
 
 TOPICS = {"farm": "barley herd orchard tractor fodder silo".split(), "court": "judge tribunal lawsuit verdict counsel appeal".split(), "sea": "tanker harbour cargo vessel anchor crane".split()}
@@ -316,5 +329,5 @@ def test_factorisation_never_loses_mass():
     rng = np.random.default_rng(1)
     rows = subjects.Rows.of([list(rng.integers(0, 20, 12)) for _ in range(30)])
     h = rng.random((4, 20))
-    w = rows.mixtures(h / h.sum(1, keepdims=True), None, 5)
+    w = rows.mixtures(h / h.sum(1, keepdims=True), 5)
     assert np.allclose(w.sum(1), rows.size) and (w >= 0).all()
