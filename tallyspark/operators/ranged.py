@@ -32,13 +32,27 @@ def _with_carry(df: DataFrame, each: DataFrame, key: list[str], carry: Column) -
     return df.join(side, on).drop("_p", *[f"_k{i}" for i in range(len(key))])
 
 
+def running(df: DataFrame, key: list[str], order: list[str], what: Column, name: str) -> DataFrame:
+    """Rows with the running total of ``what`` within their key up to and with their own, in the order."""
+    parts = ranged(df.withColumn("_what", what), key, order)
+    each, before = carried(parts, key, F.sum("_what"))
+    rows = _with_carry(parts, each, key, F.coalesce(F.sum("_value").over(before), F.lit(0)))
+    here = F.sum("_what").over(Window.partitionBy(*key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(name, here + F.col("_carry")).drop("_part", "_carry", "_what")
+
+
 def numbered(df: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
     """Rows numbered from 1 within their key, in the order."""
-    parts = ranged(df, key, order)
-    each, before = carried(parts, key, F.count(F.lit(1)))
-    rows = _with_carry(parts, each, key, F.coalesce(F.sum("_value").over(before), F.lit(0)))
-    here = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(*order))
-    return rows.withColumn(name, (here + F.col("_carry")).cast("bigint")).drop("_part", "_carry")
+    return running(df, key, order, F.lit(1), name).withColumn(name, F.col(name).cast("bigint"))
+
+
+def last_seen(df: DataFrame, key: list[str], order: list[str], what: Column, name: str) -> DataFrame:
+    """Rows with the last value of ``what`` that is not null within their key, up to and with their own."""
+    parts = ranged(df.withColumn("_what", what), key, order)
+    each, before = carried(parts, key, F.max_by("_what", F.when(F.col("_what").isNotNull(), F.struct(*order))))
+    rows = _with_carry(parts, each, key, F.last("_value", ignorenulls=True).over(before))
+    here = F.last("_what", ignorenulls=True).over(Window.partitionBy(*key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(name, F.coalesce(here, F.col("_carry"))).drop("_part", "_carry", "_what")
 
 
 def merged(spans: DataFrame, key: str, first: str, last: str, gap: int) -> DataFrame:
