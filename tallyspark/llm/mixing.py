@@ -11,7 +11,9 @@ and reported as short. Shares of sources without any tokens are spread over the
 
 Defined results: documents of sources that are not listed, and those without tokens, are never drawn;
 a repeated ``doc_id`` counts once; a source with a null, zero or negative share gets nothing; the
-document that lies across the cut is left out, so a source ends below its budget by less than it.
+document that lies across the cut is left out, so a source ends below its budget by less than it; of a
+source listed several times the largest share counts. The list of sources may be of any length: budgets
+are computed where the sums are, and only single rows are sent to all workers.
 """
 
 from __future__ import annotations
@@ -21,21 +23,27 @@ from pyspark.sql import functions as F
 
 from tallyspark.session import cut
 
-RANGES = 4096
-MOST_SOURCES = 10_000
+#: Ranges of the key within a source: two to the power of this.
+RANGE_BITS = 12
 
 
-def plan(available: dict[str, int], targets: list[tuple[str, float, int]], least_total: float) -> dict[str, tuple[int, float]]:
-    """source -> (budget in tokens, share of the total aimed at), by the rule above."""
-    listed = {s: (max(0.0, share or 0.0), max(0, repeats or 0)) for s, share, repeats in targets}
-    full = {s: (share, available.get(s, 0) * repeats) for s, (share, repeats) in listed.items() if share > 0 and repeats > 0 and available.get(s, 0) > 0}
-    whole = sum(share for share, _ in full.values())
-    own = sum(available[s] for s in full)
-    if not full:
-        return {s: (0, share) for s, (share, _) in listed.items()}
-    reach = min(most / (share / whole) for share, most in full.values())
-    total = max(min(float(own), reach), least_total * own)
-    return {s: (int(min(total * full[s][0] / whole, full[s][1])) if s in full else 0, share) for s, (share, _) in listed.items()}
+def budgets(available: DataFrame, targets: DataFrame, least_total: float) -> DataFrame:
+    """(source, target_share, max_repeats, budget, rounds, rest) of all listed sources, by the rule above.
+
+    ``available`` is (source, has), in tokens. ``rounds`` is how often the whole source is used and
+    ``rest`` what of the budget is left after that.
+    """
+    listed = targets.where("source IS NOT NULL").groupBy("source").agg(F.max(F.struct(F.coalesce("target_share", F.lit(0.0)).alias("s"), F.coalesce("max_repeats", F.lit(0)).alias("r"), "target_share", "max_repeats")).alias("t"))
+    listed = listed.select("source", "t.target_share", "t.max_repeats", F.greatest("t.s", F.lit(0.0)).alias("share"), F.greatest("t.r", F.lit(0)).alias("repeats"))
+    each = listed.join(available, "source", "left").withColumn("has", F.coalesce("has", F.lit(0)))
+    each = each.withColumn("usable", F.expr("share > 0 AND repeats > 0 AND has > 0")).withColumn("most", F.col("has") * F.col("repeats"))
+    usable = each.where("usable")
+    shares = usable.agg(F.sum("share").alias("whole"), F.sum("has").cast("double").alias("own"), F.min(F.col("most") / F.col("share")).alias("reach"))
+    total = F.greatest(F.least(F.col("own"), F.col("reach") * F.col("whole")), F.col("own") * least_total)
+    budget = F.when(F.col("usable"), F.floor(F.least(total * F.col("share") / F.col("whole"), F.col("most")))).otherwise(0)
+    out = each.crossJoin(F.broadcast(shares)).withColumn("budget", budget.cast("bigint"))
+    rounds = F.when(F.col("has") > 0, F.expr("budget div has")).otherwise(0)
+    return out.withColumn("rounds", rounds).select("source", "target_share", "max_repeats", "budget", "rounds", (F.col("budget") - F.col("rounds") * F.col("has")).alias("rest"))
 
 
 def mix(sized: DataFrame, targets: DataFrame, seed: int = 17, least_total: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -43,36 +51,22 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 17, least_total: float
 
     The report is (source, target_share, actual_share, documents, tokens, budget, max_repeats, short).
     """
-    spark = sized.sparkSession
-    wanted = [(r[0], r[1], r[2]) for r in targets.select("source", "target_share", "max_repeats").where("source IS NOT NULL").orderBy("source").limit(MOST_SOURCES + 1).collect()]
-    if len(wanted) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources are listed")
-    names = spark.createDataFrame([(s,) for s, _, _ in wanted], "source STRING")
-    drawn = sized.where("doc_id IS NOT NULL AND tokens > 0").join(F.broadcast(names), "source", "left_semi")
-    drawn = drawn.groupBy("doc_id").agg(F.max_by("source", "source").alias("source"), F.max("tokens").alias("tokens"))
+    drawn = sized.where("doc_id IS NOT NULL AND tokens > 0").join(targets.select("source").distinct(), "source", "left_semi")
+    drawn = drawn.groupBy("doc_id").agg(F.max("source").alias("source"), F.max("tokens").alias("tokens"))
     key = F.xxhash64(F.lit(seed), "doc_id")
-    drawn = cut(drawn.withColumns({"key": key, "range": F.shiftrightunsigned(key, 52).cast("int")}))  # 2 ** 12 ranges
-    sums = drawn.groupBy("source", "range").agg(F.sum("tokens").alias("in_range"), F.count(F.lit(1)).alias("docs"))  # at most RANGES rows a source
-    sums = cut(sums)
-    available = {r["source"]: r["tokens"] for r in sums.groupBy("source").agg(F.sum("in_range").alias("tokens")).collect()}
-    budgets = plan(available, wanted, least_total)
-    rows = []
-    for s, share, repeats in wanted:
-        has, budget = available.get(s, 0), budgets[s][0]
-        rounds = budget // has if has else 0
-        rows.append((s, share, repeats, budget, rounds, budget - rounds * has))
-    budget = spark.createDataFrame(rows, "source STRING, target_share DOUBLE, max_repeats INT, budget BIGINT, rounds BIGINT, rest BIGINT")
+    drawn = cut(drawn.withColumns({"key": key, "range": F.shiftrightunsigned(key, 64 - RANGE_BITS).cast("int")}))
+    sums = cut(drawn.groupBy("source", "range").agg(F.sum("tokens").alias("in_range")))  # 2 ** RANGE_BITS rows a source at most
+    budget = cut(budgets(sums.groupBy("source").agg(F.sum("in_range").alias("has")), targets, least_total))
     line = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("source", "range", F.coalesce(F.sum("in_range").over(line), F.lit(0)).alias("before"))
+    before = sums.select("source", "range", F.coalesce(F.sum("in_range").over(line), F.lit(0)).alias("before")).join(budget, "source")
     inside = Window.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = drawn.withColumn("within", F.sum("tokens").over(inside)).join(before, ["source", "range"]).join(F.broadcast(budget), "source")
+    placed = drawn.withColumn("within", F.sum("tokens").over(inside)).join(before, ["source", "range"])
     times = F.col("rounds") + F.when(F.col("before") + F.col("within") <= F.col("rest"), 1).otherwise(0)
     picked = placed.withColumn("times", times).where("times > 0").select("doc_id", "source", "tokens", "times")
     used = picked.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("tokens") * F.col("times")).alias("tokens"))
     whole = used.agg(F.sum("tokens").alias("whole"))
-    report = budget.join(used, "source", "left").crossJoin(F.broadcast(whole))
     filled = F.coalesce("tokens", F.lit(0))
-    report = report.select(
+    report = budget.join(used, "source", "left").crossJoin(F.broadcast(whole)).select(
         "source", "target_share", F.round(F.try_divide(filled, "whole"), 6).alias("actual_share"), F.coalesce("documents", F.lit(0)).alias("documents"), filled.alias("tokens"), "budget", "max_repeats",
         (F.coalesce(F.try_divide(filled, "whole"), F.lit(0.0)) < 0.98 * F.col("target_share")).alias("short"),
     )

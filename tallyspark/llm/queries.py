@@ -85,23 +85,37 @@ def p6_forms(spark: SparkSession, folder: str) -> DataFrame:
 LONG_LABEL = 60
 
 
-def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
+def _label_overlap(spark: SparkSession, folder: str) -> overlap.Overlap:
     examples = table(spark, folder, "audit_examples").where(F.length("label") > LONG_LABEL)
-    examples = examples.select(F.col("example_id").alias("record_id"), "source_id", "pool", "label")
+    return overlap.near_classes(spread(examples.select(F.col("example_id").alias("record_id"), "source_id", "pool", "label")))
+
+
+def _file_overlap(spark: SparkSession, folder: str) -> overlap.Overlap:
     files = shred.files(shred.shred_files(table(spark, folder, "gold_files"), ("sha256", "status", "note", "extra")))
-    labels = overlap.near_pairs(spread(examples)).withColumn("kind", F.lit("example"))
-    return labels.unionByName(overlap.same_files(files, table(spark, folder, "sources")).withColumn("kind", F.lit("file")))
+    return overlap.same_files(files, table(spark, folder, "sources"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """(first_record, second_record): a training and an evaluation record that are the same or almost."""
-    return _overlaps(spark, folder).select(F.least("train_id", "eval_id").alias("first_record"), F.greatest("train_id", "eval_id").alias("second_record")).distinct()
+    both = overlap.pairs(_label_overlap(spark, folder)).unionByName(overlap.pairs(_file_overlap(spark, folder)))
+    return both.select(F.least("train_id", "eval_id").alias("first_record"), F.greatest("train_id", "eval_id").alias("second_record"))
 
 
 def p5_report(spark: SparkSession, folder: str) -> DataFrame:
-    """(kind, pool, source_id, records, pairs): overlapping evaluation records by pool and source."""
-    pairs = _overlaps(spark, folder).groupBy("kind", "eval_pool", "eval_source", "eval_id").agg(F.count(F.lit(1)).alias("pairs"))
-    return pairs.groupBy("kind", F.col("eval_pool").alias("pool"), F.col("eval_source").alias("source_id")).agg(F.count(F.lit(1)).alias("records"), F.sum("pairs").alias("pairs"))
+    """(kind, pool, source_id, records, pairs): overlapping evaluation records by pool and source, without forming the pairs."""
+    labels, files = overlap.report(_label_overlap(spark, folder)), overlap.report(_file_overlap(spark, folder))
+    return labels.withColumn("kind", F.lit("example")).unionByName(files.withColumn("kind", F.lit("file"))).select("kind", "pool", "source_id", "records", "pairs")
+
+
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """(record_id, pool, class_id, links): every record with its class of copies and the number of classes it overlaps with."""
+    return overlap.classes(_label_overlap(spark, folder)).unionByName(overlap.classes(_file_overlap(spark, folder)))
+
+
+def p5_links(spark: SparkSession, folder: str) -> DataFrame:
+    """(train_class, eval_class): the classes that overlap; with ``p5_classes`` it says what ``p5_found`` does."""
+    links = [found.links.select(*[F.hex(F.col(c).cast("binary")).alias(c) for c in ("train_class", "eval_class")]) for found in (_label_overlap(spark, folder), _file_overlap(spark, folder))]
+    return links[0].unionByName(links[1])
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,7 +168,7 @@ def p9_corpus(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p9_found": p9_found, "p9_mixtures": p9_mixtures, "p9_corpus": p9_corpus,
     "p7_ids": p7_ids, "p7_sizes": p7_sizes, "p8_mix": p8_mix, "p8_shares": p8_shares,
-    "p5_found": p5_found, "p5_report": p5_report,
+    "p5_found": p5_found, "p5_report": p5_report, "p5_classes": p5_classes, "p5_links": p5_links,
     "p1_found": p1_found, "p1_split": p1_split, "p1_shares": p1_shares,
     "p2_found": p2_found, "p2_mapped": p2_mapped, "p2_unmatched": p2_unmatched,
     "p6_found": p6_found, "p6_forms": p6_forms,

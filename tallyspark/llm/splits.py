@@ -18,15 +18,14 @@ from pyspark.sql import types as T
 
 from tallyspark.llm.components import components
 from tallyspark.llm.textnorm import fold
-from tallyspark.session import bounded, cut
+from tallyspark.operators.ranged import running
+from tallyspark.session import cut
 
 # Legal forms at the end of a name.
 LEGAL_FORMS = frozenset("ab ag as asa bsc co company corp corporation cpt gmbh inc incorporated kg kscp limited llc llp ltd nv oyj pjsc plc pty qpsc sa sae saog sarl sas se spa".split())
 
-#: Components heavier than this share of all records are placed first, one by one: at most its inverse in number.
-HEAVY = 0.005
-MOST_POOLS = 100
-BUCKETS = 1024
+#: Orders of the components that are tried.
+SALTS = 8
 
 
 def name_key(name: str | None) -> str | None:
@@ -92,41 +91,39 @@ def grouped_pairs(groups: DataFrame) -> DataFrame:
 def assign_pools(groups: DataFrame, weights: DataFrame, targets: DataFrame) -> DataFrame:
     """(source_id, component, pool): each component goes whole into one pool, at the target shares.
 
-    ``weights`` is (source_id, records). The few components that hold more than HEAVY of all records
-    are placed first, heaviest first, where most is still wanted. The others follow in the order of
-    their hash: distributed prefix sums over hash buckets give each its place on the line of records,
-    and the pool whose stretch holds the middle of it takes it.
+    ``weights`` is (source_id, records). Components stand in the order of a salted hash; distributed
+    running totals give each its place on the line of records, and the pool whose stretch holds the middle
+    of it takes it. A large component that lies across an end makes its pool too large or too small by up
+    to half of it, so ``SALTS`` orders are laid side by side and the one that comes closest to the targets
+    is taken. Without a target there is no pool.
     """
-    sized = groups.select("source_id", "component").join(weights.groupBy("source_id").agg(F.sum("records").alias("records")), "source_id", "left").groupBy("component").agg(F.sum(F.coalesce("records", F.lit(0)) + F.lit(1e-6)).alias("size"))
-    sized = cut(sized.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(BUCKETS))))
-    total = sized.agg(F.sum("size")).first()[0] or 0.0
-    shares = [(r["pool"], float(r["share"])) for r in bounded(targets.select("pool", "share").where("pool IS NOT NULL AND share > 0").orderBy("pool"), MOST_POOLS, "pools")]
-    scale = sum(s for _, s in shares) or 1.0
-    room = {p: total * s / scale for p, s in shares}
-    spark = groups.sparkSession
-    heavy = sized.where(F.col("size") > HEAVY * total)
-    placed = []
-    for r in heavy.orderBy(F.desc("size"), "component").limit(int(1 / HEAVY) + 1).collect():  # fewer than 1 / HEAVY exist
-        pool = max(room, key=lambda p: (room[p], p)) if room else None
-        if pool is not None:
-            room[pool] -= r["size"]
-        placed.append((r["component"], pool))
-    fixed = spark.createDataFrame(placed, "component STRING, pool STRING")
-    light = sized.join(F.broadcast(fixed.select("component")), "component", "left_anti")
-    left = {p: max(0.0, x) for p, x in room.items()}
-    rest = sum(left.values()) or 1.0
-    ends, at = [], 0.0
-    for p, x in left.items():
-        at += x / rest
-        ends.append((p, at))
-    sums = light.groupBy("bucket").agg(F.sum("size").alias("in_bucket"))
-    line = sums.withColumn("before", F.sum("in_bucket").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))  # at most BUCKETS rows
-    whole = sums.agg(F.sum("in_bucket").alias("whole"))
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("component"), "component").rowsBetween(Window.unboundedPreceding, 0)
-    where = light.withColumn("upto", F.sum("size").over(order)).join(F.broadcast(line), "bucket").crossJoin(F.broadcast(whole))
-    middle = (F.coalesce("before", F.lit(0.0)) + F.col("upto") - F.col("size") / 2) / F.col("whole")
-    pool: Column = F.lit(ends[-1][0] if ends else None).cast("string")
-    for p, end in reversed(ends[:-1]):
-        pool = F.when(middle < end, F.lit(p)).otherwise(pool)
-    pools = where.select("component", pool.alias("pool")).unionByName(fixed)
-    return groups.select("source_id", "component").join(pools, "component", "left").select("source_id", "component", "pool")
+    own = weights.groupBy("source_id").agg(F.sum("records").alias("records"))
+    sized = groups.select("source_id", "component").join(own, "source_id", "left").groupBy("component").agg(F.sum(F.coalesce("records", F.lit(0)) + F.lit(1e-6)).alias("size"))
+    whole = sized.agg(F.sum("size").alias("whole"))
+    salted = sized.select("component", "size", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")).withColumn("key", F.xxhash64("salt", "component"))
+    line = running(salted, ["salt"], ["key", "component"], F.col("size"), "upto")
+    middle = (F.col("upto") - F.col("size") / 2) / F.col("whole")
+    placed = line.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(_ends(targets)))  # two single rows
+    at = F.filter("ends", lambda e: middle < e["end"])
+    pool = F.coalesce(F.get(at, 0)["pool"], F.element_at("ends", -1)["pool"])
+    placed = cut(placed.select("salt", "component", "size", "whole", pool.alias("pool")))
+    reached = placed.groupBy("salt", "pool").agg((F.sum("size") / F.max("whole")).alias("reached"))
+    wanted = _shares(targets)
+    off = placed.select("salt").distinct().crossJoin(F.broadcast(wanted)).join(reached, ["salt", "pool"], "left")  # salts x pools
+    best = off.groupBy("salt").agg(F.max(F.abs(F.col("wanted") - F.coalesce("reached", F.lit(0.0)))).alias("off")).agg(F.min(F.struct("off", "salt"))["salt"].alias("best"))
+    chosen = placed.crossJoin(F.broadcast(best)).where("salt = coalesce(best, 0)").select("component", "pool")
+    return groups.select("source_id", "component").join(chosen, "component", "left").select("source_id", "component", "pool")
+
+
+def _shares(targets: DataFrame) -> DataFrame:
+    """(pool, wanted): the shares, brought to a sum of one; a pool without a share or a name is none."""
+    each = targets.where("pool IS NOT NULL AND share > 0").groupBy("pool").agg(F.sum(F.col("share").cast("double")).alias("share"))
+    total = each.agg(F.sum("share").alias("total"))
+    return each.crossJoin(F.broadcast(total)).select("pool", (F.col("share") / F.col("total")).alias("wanted"))
+
+
+def _ends(targets: DataFrame) -> DataFrame:
+    """One row: where the stretch of each pool ends on a line of length one, in the order of the pools."""
+    order = Window.orderBy("pool").rowsBetween(Window.unboundedPreceding, 0)  # the pools only
+    line = _shares(targets).withColumn("end", F.sum("wanted").over(order))
+    return line.agg(F.array_sort(F.collect_list(F.struct("end", "pool"))).alias("ends"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -87,6 +88,18 @@ def test_components(spark, kind):
     assert all(c in g for c, g in got.items()) and len(rows) == len({r.node for r in rows})
 
 
+def test_hubs_are_split(spark):
+    """A node with many neighbours is split over branches, and its component stays whole."""
+    edges = [("hub", f"n{i}") for i in range(60)] + [("hub", "other")] + [("other", f"m{i}") for i in range(30)] + [("x", "y")]
+    df = spark.createDataFrame(edges, "u STRING, v STRING")
+    both = df.union(df.select("v", "u"))
+    assert max(r["count"] for r in components.split_hubs(both, 8).groupBy("u").count().collect()) < 30
+    got = {}
+    for r in components.components(df, hub=8).collect():
+        got.setdefault(r.component, set()).add(r.node)
+    assert {frozenset(g) for g in got.values()} == _union_find(edges) and all(components.BRANCH not in n for g in got.values() for n in g)
+
+
 def test_components_empty(spark):
     assert components.components(spark.createDataFrame([], "u STRING, v STRING")).count() == 0
 
@@ -212,17 +225,55 @@ def test_near_pairs(spark):
     add("e5", 5, base[5].replace(" ", " ").replace("o", "о"))
     rows += [("x1", "e", "test", base[6].replace("lot", "lot 9")), ("x2", "e", "test", base[9].replace(base[9].split()[4], "Unknownia")), ("x3", "e", None, base[12]), ("x4", "e", "test", None), ("x5", "e", "train", base[15]), ("x6", "e", "test", ""), ("e0", "e", "test", base[0])]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "record_id STRING, source_id STRING, pool STRING, label STRING, canon STRING")
-    got = {(r.train_id, r.eval_id) for r in overlap.near_pairs(df).collect()}
+    got = {(r.train_id, r.eval_id) for r in overlap.pairs(overlap.near_classes(df)).collect()}
     extra = {p for p in got - want if p[1][0] == "x" or {base[int(p[0][1:])]} != {base[int(dict((b, a) for a, b in want)[p[1]][1:])]}}
     assert want <= got and not extra
-    assert overlap.near_pairs(df.limit(0)).count() == 0
+    none = overlap.near_classes(df.limit(0))
+    assert overlap.pairs(none).count() == 0 and overlap.report(none).count() == 0 and overlap.classes(none).count() == 0
+
+
+def _brute(found):
+    """Pairs and report from the members and links, by hand."""
+    members = [(r.record_id, r.source_id, r.pool, bytes(r["class"])) for r in found.members.collect()]
+    links = {(bytes(a), bytes(b)) for a, b in found.links.select("train_class", "eval_class").collect()}
+    pairs = [(a[0], b) for a in members if a[2] == "train" for b in members if b[2] != "train" and (a[3], b[3]) in links]
+    records, counts = {}, Counter()
+    for _, b in pairs:
+        records.setdefault((b[2], b[1]), set()).add(b[0])
+        counts[b[2], b[1]] += 1
+    return {(a, b[0]) for a, b in pairs}, {k: (len(v), counts[k]) for k, v in records.items()}
+
+
+def test_copies_are_counted_not_paired(spark):
+    """Two hundred copies a side make one link, and the report counts all pairs."""
+    line = "cost of relocating the harbour depot to the northern quay before the summer season"
+    other = "gain on the sale of two cranes at the southern terminal after the storm of autumn"
+    rows = [(f"t{k}", f"s{k % 3}", "train", line) for k in range(200)] + [(f"e{k}", f"s{k % 2}", "test" if k % 2 else "validation", line.upper() if k % 5 else line) for k in range(200)] + [("o1", "s9", "train", other), ("o2", "s9", "test", other + " *"), ("t0", "s0", "train", line)]
+    found = overlap.near_classes(spark.createDataFrame(rows, "record_id STRING, source_id STRING, pool STRING, label STRING"))
+    assert found.links.count() == 2 and found.members.count() == 402
+    pairs, report = _brute(found)
+    assert {tuple(r) for r in overlap.pairs(found).collect()} == pairs and len(pairs) == 40_001
+    assert {(r.pool, r.source_id): (r.records, r.pairs) for r in overlap.report(found).collect()} == report
+    assert {(r.record_id, r.links) for r in overlap.classes(found).where("record_id LIKE 'o%'").collect()} == {("o1", 1), ("o2", 1)}
+
+
+def test_a_corpus_twice_the_size_reads_alike(spark):
+    """Texts of the same kind added to a corpus change no link between those that were there."""
+    rng = random.Random(21)
+    lines = [line for _, line in _lines(rng, 600)]
+    rows = [(f"t{k}", "s", "train", line) for k, line in enumerate(lines[:300])]
+    rows += [(f"e{k}", "s", "test", lines[k].replace("customs", "cutsoms").replace("the ", "", k % 2)) for k in range(0, 60, 3)]
+    more = [(f"m{k}", "s", None, line) for k, line in enumerate(lines[300:])]
+    schema = "record_id STRING, source_id STRING, pool STRING, label STRING"
+    one, two = ({tuple(r) for r in overlap.pairs(overlap.near_classes(spark.createDataFrame(x, schema))).collect()} for x in (rows, rows + more))
+    assert one == two and one >= {(f"t{k}", f"e{k}") for k in range(0, 60, 3)}
 
 
 def test_same_files(spark):
     h = "ab" * 32
     files = spark.createDataFrame([("a", h), ("b", h.upper()), ("c", "sha256:" + h), ("d", " " + h[:16]), ("e", h[:16] + "0" * 48), ("f", None), ("g", "abc"), ("h", h)], "file_id STRING, sha256 STRING")
     sources = spark.createDataFrame([("a", "train"), ("b", "test"), ("c", "validation"), ("d", "test"), ("e", "test"), ("f", "test"), ("g", "test"), ("h", None)], "source_id STRING, pool STRING")
-    assert {(r.train_id, r.eval_id) for r in overlap.same_files(files, sources).collect()} == {("a", "b"), ("a", "c"), ("a", "d")}
+    assert {(r.train_id, r.eval_id) for r in overlap.pairs(overlap.same_files(files, sources)).collect()} == {("a", "b"), ("a", "c"), ("a", "d")}
 
 
 # --- tokens and mixing -------------------------------------------------------------------------------
@@ -273,8 +324,9 @@ def test_mixing(spark):
     assert sums["none"].tokens == 0 and sums["none"].short
     again = {r.doc_id for r in mixing.mix(df.repartition(7), targets)[0].collect()}
     assert again == {r.doc_id for r in rows}
-    scarce = mixing.plan({"a": 1000, "b": 10}, [("a", 0.5, 1), ("b", 0.5, 2)], 0.5)
-    assert scarce["b"][0] == 20 and scarce["a"][0] == 252
+    has = spark.createDataFrame([("a", 1000), ("b", 10)], "source STRING, has LONG")
+    scarce = {r.source: (r.budget, r.rounds, r.rest) for r in mixing.budgets(has, spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2), ("c", 0.0, 1), ("d", None, None)], "source STRING, target_share DOUBLE, max_repeats INT"), 0.5).collect()}
+    assert scarce == {"a": (252, 0, 252), "b": (20, 2, 0), "c": (0, 0, 0), "d": (0, 0, 0)}
     assert mixing.mix(df.limit(0), targets)[0].count() == 0
 
 

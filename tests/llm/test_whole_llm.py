@@ -10,9 +10,9 @@ from tallyspark.llm import overlap, splits, subjects
 
 
 def test_many_unclear_words_are_read_in_other_ways():
-    """Copies with one or two slips that are not the likeliest reading, in a text above READINGS."""
+    """Copies with one or two slips that are not the likeliest reading, in a text with many unclear words."""
     wording = {c * 5 + end: 10 - "xy".index(end) for c in "abcdefghijkl" for end in "xy"}
-    sign = overlap.Signer(wording)
+    sign = overlap.Signer(wording, 5)
     assert sign.readings("aaaaaz") == ("aaaaax", "aaaaay")
     copy = [c * 5 + "z" for c in "abcdefghijkl"]
     keys = set(sign(" ".join(copy))[0])
@@ -28,16 +28,20 @@ def test_a_copy_above_the_cap_is_found(spark):
     copy = [c * 5 + "z" for c in "abcdefgh"]
     rows += [("train", "s", "train", " ".join([other[0], *copy[1:]])), ("eval", "t", "test", " ".join(copy))]
     df = spark.createDataFrame(rows, "record_id STRING, source_id STRING, pool STRING, label STRING")
-    assert {(r.train_id, r.eval_id) for r in overlap.near_pairs(df).collect()} == {("train", "eval")}
+    assert {(r.train_id, r.eval_id) for r in overlap.pairs(overlap.near_classes(df)).collect()} == {("train", "eval")}
 
 
-def test_longer_lists_are_errors(spark):
-    """One entry above the bound raises; none is left out."""
-    groups = spark.createDataFrame([("a", "a")], "source_id STRING, component STRING")
-    weights = spark.createDataFrame([("a", 1.0)], "source_id STRING, records DOUBLE")
-    targets = spark.createDataFrame([(f"p{k:04}", 0.01) for k in range(splits.MOST_POOLS + 1)], "pool STRING, share DOUBLE")
-    with pytest.raises(ValueError, match="pools"):
-        splits.assign_pools(groups, weights, targets)
+def test_many_pools(spark):
+    """Targets of any number: every pool gets its share."""
+    groups = spark.createDataFrame([(f"s{i}", f"c{i}") for i in range(3000)], "source_id STRING, component STRING")
+    weights = groups.selectExpr("source_id", "CAST(1 AS DOUBLE) AS records")
+    targets = spark.createDataFrame([(f"p{k:04}", 0.01) for k in range(150)], "pool STRING, share DOUBLE")
+    sizes = [r["count"] for r in splits.assign_pools(groups, weights, targets).groupBy("pool").count().collect()]
+    assert len(sizes) == 150 and max(sizes) - min(sizes) <= 1
+
+
+def test_subjects_are_bounded(spark):
+    """The weights of all subjects are sent to all workers: one subject above the bound raises; none is left out."""
     documents = spark.createDataFrame([(1, "A text.")], "doc_id LONG, text STRING")
     labels = spark.createDataFrame([(1, "s0000")], "doc_id LONG, subject STRING")
     names = spark.createDataFrame([(f"s{k:04}", "a gloss") for k in range(subjects.MOST_SUBJECTS + 1)], "subject STRING, gloss STRING")
