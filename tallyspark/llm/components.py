@@ -4,7 +4,8 @@ The adjacency lists are hash-partitioned by node once and keep their partitionin
 frontier to them. Every node whose hash is smaller than those of all its neighbours is a seed, so each
 component has at least one, and all seeds expand concurrently, one frontier a step. Where two seeds meet,
 their labels become an edge of a small graph of labels, which is solved the same way; it has at most half
-as many nodes. No links or labels reach the driver, and each step is checkpointed, so a lost executor
+as many nodes, and where many seeds meet in one node the one of the smallest hash takes it, so that it is
+the only seed among them next time. No links or labels reach the driver, and each step is checkpointed, so a lost executor
 costs no more than that step.
 
 A node with more than ``HUB`` neighbours is split: its list is spread over branches that hang on it, which
@@ -23,7 +24,7 @@ from tallyspark.session import cut
 
 #: Neighbours of a node from which on its list is split.
 HUB = 10_000
-#: Begins the name of a branch; no node has it.
+#: Begins and ends the first part of a branch's name; no node has it.
 BRANCH = "\u0001"
 
 
@@ -31,25 +32,32 @@ def _rank(node: str | Column) -> Column:
     return F.struct(F.xxhash64(node), node)
 
 
-def split_hubs(edges: DataFrame, hub: int = HUB) -> DataFrame:
-    """Edges (u, v) in both directions, in which the list of a node with more than ``hub`` neighbours hangs on branches of it."""
+def _branch_of(node: str | Column, number: Column, level: int) -> Column:
+    return F.concat(F.lit(f"{BRANCH}{level}."), number.cast("string"), F.lit(BRANCH), F.col(node) if isinstance(node, str) else node)
+
+
+def split_hubs(edges: DataFrame, hub: int = HUB, level: int = 0) -> DataFrame:
+    """Edges (u, v) in both directions, in which the list of a node with more than ``hub`` neighbours hangs on branches of it.
+
+    Branches are named after the node and ``level``, so that those of a graph of labels are new.
+    """
     degrees = edges.groupBy("u").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") > hub)
     hubs = cut(degrees.select(F.col("u").alias("h"), F.ceil(F.col("degree") / hub).cast("int").alias("branches")))
     if hubs.isEmpty():
         return edges
-    branch = lambda of, other, n: F.when(F.col(n).isNotNull(), F.concat(F.lit(BRANCH), F.pmod(F.xxhash64(other), F.col(n)).cast("string"), F.lit(BRANCH), F.col(of))).otherwise(F.col(of))
+    branch = lambda of, other, n: F.when(F.col(n).isNotNull(), _branch_of(of, F.pmod(F.xxhash64(other), F.col(n)), level)).otherwise(F.col(of))
     ends = edges.join(hubs.select(F.col("h").alias("u"), F.col("branches").alias("nu")), "u", "left").join(hubs.select(F.col("h").alias("v"), F.col("branches").alias("nv")), "v", "left")
     moved = ends.select(branch("u", "v", "nu").alias("u"), branch("v", "u", "nv").alias("v"))
-    arms = hubs.select("h", F.explode(F.sequence(F.lit(0), F.col("branches") - 1)).alias("k")).select(F.col("h").alias("u"), F.concat(F.lit(BRANCH), F.col("k").cast("string"), F.lit(BRANCH), F.col("h")).alias("v"))
+    arms = hubs.select("h", F.explode(F.sequence(F.lit(0), F.col("branches") - 1)).alias("k")).select(F.col("h").alias("u"), _branch_of("h", F.col("k"), level).alias("v"))
     return moved.unionByName(arms).unionByName(arms.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
+def components(edges: DataFrame, hub: int = HUB, level: int = 0) -> DataFrame:
     """(node, component) for every node of the edges (u, v)."""
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     once = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     both = cut(once.unionByName(once.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    lists = split_hubs(both, hub)
+    lists = split_hubs(both, hub, level)
     adjacent = cut(lists.repartition(parts, "u"))  # the one exchange of the lists; later joins and aggregates by u find them in place
     if adjacent.isEmpty():
         return adjacent.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -59,19 +67,21 @@ def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     while not frontier.isEmpty():
         reached = adjacent.join(frontier, adjacent["u"] == frontier["node"]).select(F.col("v").alias("node"), "label").distinct()
         step = cut(reached.repartition(parts, "node").join(owned.select("node", F.col("label").alias("owner")), "node", "left"))
-        frontier = cut(step.where("owner IS NULL").groupBy("node").agg(F.min("label").alias("label")))
+        frontier = step.where("owner IS NULL").groupBy("node").agg(F.min(_rank("label"))["label"].alias("label"))
         held = step.where("owner IS NOT NULL AND owner <> label").select(F.col("owner").alias("u"), F.col("label").alias("v"))
         rivals = step.where("owner IS NULL").select("node", F.col("label").alias("v")).join(frontier.select("node", F.col("label").alias("u")), "node").where("u <> v").select("u", "v")
         met = held.unionByName(rivals).distinct()
         meetings = met if meetings is None else meetings.unionByName(met)
         owned = owned.unionByName(frontier)
-    merged = components(meetings, hub)
+    merged = components(meetings, hub, level + 1)
     final = owned.join(merged.select(F.col("node").alias("label"), "component"), "label", "left")
     named = final.select("node", F.coalesce("component", "label").alias("component"))
-    return _without_branches(named)
+    return _without_branches(named, level)
 
 
-def _without_branches(named: DataFrame) -> DataFrame:
+def _without_branches(named: DataFrame, level: int) -> DataFrame:
     """Nodes only; a component that took the name of a branch is called by the node that the branch hangs on."""
-    bare = F.when(F.col("component").startswith(BRANCH), F.substring_index("component", BRANCH, -1)).otherwise(F.col("component"))
-    return named.where(~F.col("node").startswith(BRANCH)).select("node", bare.alias("component"))
+    mine = f"{BRANCH}{level}."
+    hung_on = F.expr("substring(component, locate('\u0001', component, 2) + 1)")
+    bare = F.when(F.col("component").startswith(mine), hung_on).otherwise(F.col("component"))
+    return named.where(~F.col("node").startswith(mine)).select("node", bare.alias("component"))
