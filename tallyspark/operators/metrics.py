@@ -1,7 +1,8 @@
 """Margins, liquidity, leverage, coverage, return, turnover, working-capital days and growth.
 
-Each metric is a Column over the facts of one document and period; four lookups (this period, the
-closing date, the opening date, the same length a year earlier) are joined once for all of them.
+Each metric is an expression over the readings of one document and period; four lookups (this period, the
+closing date, the opening date, the same length a year earlier) are joined once for all of them, and every
+reading with its flags is projected once.
 A missing part makes the result null and is named in ``flags``, in the order in which it is read;
 it is never a zero. Ratios are divided as DOUBLE after exact DECIMAL sums.
 """
@@ -10,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,37 +37,49 @@ class Policy:
     day_count_basis: int = 365
 
 
+NO_FLAGS = "cast(array() AS array<string>)"
+
+
 @dataclass
 class Value:
-    """A figure while a formula is built: its Column, the flags so far, and what it has read."""
+    """A figure while a formula is built, in SQL: its value, the arrays of flags so far, and what it has read."""
 
-    column: Column
-    flags: list[Column]
-    read: list[tuple[str, Column]]
+    sql: str
+    flags: list[str]
+    read: list[tuple[str, str]]
 
 
-def _flag(when: Column, name: str) -> Column:
-    return F.when(when, F.array(F.lit(name)))
+def _flag(when: str, name: str) -> str:
+    return f"if({when}, array('{name}'), {NO_FLAGS})"
+
+
+def _divided(x: str, y: str) -> str:
+    return f"try_divide({x}, {y})"
 
 
 class Reader:
-    """Reads items for one period; every reading brings its flags."""
+    """Reads items for one period; every reading brings its flags.
+
+    A reading is a struct (v, any, flags) that is projected once, in ``readings``, however many formulas use it.
+    """
 
     def __init__(self, policy: Policy):
         self.policy = policy
         self.used: set[tuple[str, str]] = set()
+        self.readings: dict[str, str] = {}
+        self.means: dict[str, str] = {}
 
-    def _read(self, facts_column: str, item: str, role: str | None = None) -> Value:
-        fact = F.col(f"{facts_column}_{item}")
-        self.used.add((facts_column, item))
-        role, kind = role or item, STATEMENT[item]
-        n = F.coalesce(fact["n"], F.lit(0))
-        named = F.filter(F.col(f"{kind}_flags"), lambda f: ~f.isin(*NOT_PASSED))
-        flags = [
-            _flag(n > 1, f"duplicate_input:{role}"), _flag(n == 0, f"missing_input:{role}"), _flag((n == 0) & (F.col(f"{kind}_unmapped") > 0), f"input_may_be_unmapped:{role}"),
-            F.when(n > 0, named), F.when(n > 0, fact["flags"]),
-        ]
-        return Value(F.when(n == 1, fact["value"]), flags, [(kind, n > 0)])
+    def _value(self, name: str, kind: str) -> Value:
+        return Value(f"{name}.v", [f"{name}.flags"], [(kind, f"{name}.any")])
+
+    def _read(self, side: str, item: str, role: str | None = None) -> Value:
+        self.used.add((side, item))
+        name, fact, kind = f"r_{side}_{item}", f"{side}_{item}", STATEMENT[item]
+        role = role or item
+        n = f"coalesce({fact}.n, 0)"
+        flags = [_flag(f"{n} > 1", f"duplicate_input:{role}"), _flag(f"{n} = 0", f"missing_input:{role}"), _flag(f"{n} = 0 AND {kind}_unmapped > 0", f"input_may_be_unmapped:{role}"), f"if({n} > 0, concat({kind}_passed, {fact}.flags), {NO_FLAGS})"]
+        self.readings[name] = f"named_struct('v', if({n} = 1, {fact}.value, NULL), 'any', {n} > 0, 'flags', concat({', '.join(flags)}))"
+        return self._value(name, kind)
 
     def flow(self, item: str) -> Value:
         return self._read("now", item)
@@ -80,38 +92,37 @@ class Reader:
 
     def average(self, item: str) -> Value:
         """The mean of opening and closing balance; the closing balance alone, flagged, where there is no opening."""
-        closing = self.closing(item)
-        fact = F.col(f"open_{item}")
+        closing, name, fact, kind = self.closing(item).sql.removesuffix(".v"), f"a_{item}", f"open_{item}", STATEMENT[item]
         self.used.add(("open", item))
-        n = F.coalesce(fact["n"], F.lit(0))
-        usable = closing.column.isNotNull() & F.col("months").isNotNull()
-        flags = [*closing.flags, _flag(closing.column.isNotNull() & F.col("months").isNull(), "period_not_a_duration"), _flag(usable & (n > 1), f"duplicate_input:{item}@opening"), _flag(usable & (n == 0), "average_fallback_to_closing"), F.when(usable & (n > 0), fact["flags"])]
-        mean = F.when(usable & (n == 0), closing.column.cast("double")).when(usable & (n == 1), (fact["value"] + closing.column).cast("double") / 2)
-        return Value(mean, flags, [*closing.read, (STATEMENT[item], usable & (n > 0))])
+        n, usable = f"coalesce({fact}.n, 0)", f"{closing}.v IS NOT NULL AND months IS NOT NULL"
+        flags = [f"{closing}.flags", _flag(f"{closing}.v IS NOT NULL AND months IS NULL", "period_not_a_duration"), _flag(f"{usable} AND {n} > 1", f"duplicate_input:{item}@opening"), _flag(f"{usable} AND {n} = 0", "average_fallback_to_closing"), f"if({usable} AND {n} > 0, {fact}.flags, {NO_FLAGS})"]
+        mean = f"CASE WHEN {usable} AND {n} = 0 THEN cast({closing}.v AS double) WHEN {usable} AND {n} = 1 THEN cast({fact}.value + {closing}.v AS double) / 2 END"
+        self.means[name] = f"named_struct('v', {mean}, 'any', {closing}.any OR ({usable} AND {n} > 0), 'flags', concat({', '.join(flags)}))"
+        return self._value(name, kind)
 
     def total(self, *values: Value) -> Value:
         """The sum; null if any part is."""
-        return Value(reduce(lambda a, b: a + b, [v.column for v in values]), [f for v in values for f in v.flags], [r for v in values for r in v.read])
+        return Value("(" + " + ".join(v.sql for v in values) + ")", [f for v in values for f in v.flags], [r for v in values for r in v.read])
 
     def minus(self, a: Value, b: Value) -> Value:
-        return Value(a.column - b.column, [*a.flags, *b.flags], [*a.read, *b.read])
+        return Value(f"({a.sql} - {b.sql})", [*a.flags, *b.flags], [*a.read, *b.read])
 
     def ratio(self, a: Value, b: Value) -> Value:
         """Null, with the reason, for a zero or negative denominator; zero is noted even if the numerator is missing."""
-        x, y = a.column.cast("double"), b.column.cast("double")
-        zero, negative = F.coalesce(y == 0, F.lit(False)), F.coalesce(x.isNotNull() & (y < 0), F.lit(False))
-        return Value(F.when(y > 0, F.try_divide(x, y)), [*a.flags, *b.flags, _flag(zero, "undefined_zero_denominator"), _flag(negative, "undefined_negative_denominator")], [*a.read, *b.read])
+        x, y = f"cast({a.sql} AS double)", f"cast({b.sql} AS double)"
+        zero, negative = f"coalesce({y} = 0, false)", f"coalesce({a.sql} IS NOT NULL AND {y} < 0, false)"
+        return Value(f"CASE WHEN {y} > 0 THEN {_divided(x, y)} END", [*a.flags, *b.flags, _flag(zero, "undefined_zero_denominator"), _flag(negative, "undefined_negative_denominator")], [*a.read, *b.read])
 
     def growth(self, current: Value, prior: Value) -> Value:
         """The change as a fraction of the base; the difference is taken exactly before it is divided."""
         share = self.ratio(current, prior)
-        change = F.try_divide((current.column - prior.column).cast("double"), prior.column.cast("double"))
-        return Value(F.when(share.column.isNotNull(), change), share.flags, share.read)
+        change = _divided(f"cast({current.sql} - {prior.sql} AS double)", f"cast({prior.sql} AS double)")
+        return Value(f"CASE WHEN ({share.sql}) IS NOT NULL THEN {change} END", share.flags, share.read)
 
     def days(self) -> Value:
-        opening = months_before(F.col("end_date"), F.col("months"))
-        length = F.when(F.col("months") == 12, F.lit(float(self.policy.day_count_basis))).otherwise(F.datediff(F.col("end_date"), opening).cast("double"))
-        return Value(length, [_flag(F.col("months").isNull(), "period_not_a_duration")], [])
+        """The length of the period in days."""
+        length = f"CASE WHEN months = 12 THEN {float(self.policy.day_count_basis)}D ELSE cast(datediff(end_date, opened) AS double) END"
+        return Value(length, [_flag("months IS NULL", "period_not_a_duration")], [])
 
     def debt(self) -> Value:
         return self.total(*map(self.closing, (*DEBT, *LEASES) if self.policy.include_lease_liabilities else DEBT))
@@ -124,11 +135,11 @@ class Reader:
 
     def turnover_days(self, stock: str, flow: str) -> Value:
         share, days = self.ratio(self.average(stock), self.flow(flow)), self.days()
-        return Value(share.column * days.column, [*share.flags, *days.flags], share.read)
+        return Value(f"(({share.sql}) * ({days.sql}))", [*share.flags, *days.flags], share.read)
 
     def cash_cycle(self) -> Value:
         a, b, c = self.turnover_days("trade_receivables", "revenue"), self.turnover_days("inventories", "cost_of_revenue"), self.turnover_days("trade_payables", "cost_of_revenue")
-        return Value(a.column + b.column - c.column, [*a.flags, *b.flags, *c.flags], [*a.read, *b.read, *c.read])
+        return Value(f"({a.sql} + {b.sql} - {c.sql})", [*a.flags, *b.flags, *c.flags], [*a.read, *b.read, *c.read])
 
 
 @dataclass(frozen=True)
@@ -166,12 +177,6 @@ MARGINS = (("gross_margin", "gross_profit"), ("operating_margin", "operating_inc
 METRIC_IDS = (*(m for m, _ in MARGINS), *(m.id for m in REGISTRY))
 
 
-def _unit_flags(kind: str) -> Column:
-    """The unit flags that a statement has, each with its id."""
-    held = F.array_intersect(F.array(*[F.lit(f) for f in UNIT_FLAGS]), F.col(f"{kind}_flags"))
-    return F.transform(held, lambda f: F.concat(f, F.lit(":"), F.col(f"{kind}_id")))
-
-
 def _heads(statements: DataFrame, unmapped: DataFrame) -> DataFrame:
     """One row per document: currency, scale, flags and unmapped rows of its two primary statements."""
     both = statements.join(unmapped, "statement_id", "left")
@@ -180,7 +185,14 @@ def _heads(statements: DataFrame, unmapped: DataFrame) -> DataFrame:
     for kind in ("income", "balance"):
         out += [pick(kind, "statement_id").alias(f"{kind}_id"), pick(kind, "currency").alias(f"{kind}_currency"), pick(kind, "scale").alias(f"{kind}_scale"), F.coalesce(pick(kind, "unmapped"), F.lit(0)).alias(f"{kind}_unmapped")]
         out.append(F.coalesce(F.flatten(F.collect_list(F.when(F.col("type") == kind, F.col("flags")))), F.array().cast("array<string>")).alias(f"{kind}_flags"))
-    return both.groupBy("doc_id").agg(*out)
+    heads = both.groupBy("doc_id").agg(*out)
+    listed = lambda names: "array(" + ", ".join(f"'{n}'" for n in names) + ")"
+    for kind in ("income", "balance"):  # what a reading passes on, and the unit flags with the id of their statement
+        heads = heads.withColumns({
+            f"{kind}_passed": F.expr(f"filter({kind}_flags, f -> NOT array_contains({listed(NOT_PASSED)}, f))"),
+            f"{kind}_units": F.expr(f"transform(array_intersect({listed(UNIT_FLAGS)}, {kind}_flags), f -> concat(f, ':', {kind}_id))"),
+        })
+    return heads
 
 
 def compute(rows: DataFrame, statements: DataFrame, periods: DataFrame, line_items: DataFrame, policy: Policy | None = None, only: tuple[str, ...] = METRIC_IDS) -> DataFrame:
@@ -207,35 +219,43 @@ def compute(rows: DataFrame, statements: DataFrame, periods: DataFrame, line_ite
             on = (F.col("doc_id") == F.col("_doc")) & (F.col(end) == F.col("_end"))
             at = at.join(side, on & F.col(length).eqNullSafe(F.col("_len")) if length else on, "left").drop("_doc", "_end", "_len")
     at = at.join(heads, "doc_id")
-    results = [_result(metric, value) for metric, value in wanted]
-    long = at.select("doc_id", "end_date", "months", F.explode(F.array_compact(F.array(*results))).alias("m"))
+    base = ["doc_id", "anchor", "end_date", "months", "opened", *[f"{k}_{c}" for k in ("income", "balance") for c in ("id", "currency", "scale", "units")]]
+    opening = sorted({f"open_{i}" for n, i in reader.used if n == "open"})
+    once = at.select(*base, *opening, *[F.expr(x).alias(n) for n, x in reader.readings.items()])
+    once = once.select(*base, *reader.readings, *[F.expr(x).alias(n) for n, x in reader.means.items()])
+    results = ", ".join(_result(metric, value) for metric, value in wanted)
+    long = once.select("doc_id", "end_date", "months", F.expr(f"explode(array_compact(array({results})))").alias("m"))
     long = long.select("doc_id", "m.metric_id", "end_date", "months", "m.unit", "m.value", "m.flags")
     return long if found is None else long.unionByName(found)
 
 
-def _result(metric: Metric, value: Value) -> Column:
+def _result(metric: Metric, value: Value) -> str:
     """The struct of one metric, null for periods of another statement: value and flags after the notes on units."""
-    read = {kind: reduce(lambda a, b: a | b, [c for k, c in value.read if k == kind], F.lit(False)) for kind in ("income", "balance")}
-    kinds = {k for k, _ in value.read}
-    both = read["income"] & read["balance"] if len(kinds) > 1 else F.lit(False)
+    read = {kind: "(" + (" OR ".join(sorted({c for k, c in value.read if k == kind})) or "false") + ")" for kind in ("income", "balance")}
+    kinds = sorted({k for k, _ in value.read})
+    both = f"({read['income']} AND {read['balance']})" if len(kinds) > 1 else "false"
     amount = metric.unit == "currency"
-    currencies = both & ~F.col("income_currency").eqNullSafe(F.col("balance_currency"))
-    scales = both & (F.col("income_scale") != F.col("balance_scale"))
-    blocked = currencies | scales if amount else currencies
+    currencies = f"({both} AND NOT income_currency <=> balance_currency)"
+    scales = f"coalesce({both} AND income_scale != balance_scale, false)"
+    blocked = f"({currencies} OR {scales})" if amount else currencies
     notes = [_flag(currencies, "currency_mismatch"), _flag(scales, "scale_mismatch")]
-    for place, kind in [(p, k) for p in (0, 1) for k in sorted(kinds)]:
+    for place, kind in [(p, k) for p in (0, 1) for k in kinds]:
         if amount or len(kinds) > 1:
             other = "balance" if kind == "income" else "income"
-            first = F.col(f"{kind}_id") < F.coalesce(f"{other}_id", F.lit("\uffff"))
-            mine = (first if place == 0 else ~first) & read[kind] & (F.lit(True) if amount else both) & ~blocked
-            notes.append(F.when(mine, _unit_flags(kind)))
-    flags = F.array_distinct(F.flatten(F.array_compact(F.array(*value.flags, *notes))))
-    column = F.when(~blocked, value.column.cast("double"))
+            first = f"{kind}_id < coalesce({other}_id, '\uffff')"
+            mine = f"{'' if place == 0 else 'NOT '}({first}) AND {read[kind]} AND {'true' if amount else both} AND NOT {blocked}"
+            notes.append(f"if({mine}, {kind}_units, {NO_FLAGS})")
+    flags = f"array_distinct(concat({', '.join((*value.flags, *notes))}))"
+    figure = f"CASE WHEN NOT {blocked} THEN cast({value.sql} AS double) END"
     if metric.annual_only:
-        year = F.coalesce(F.col("months") == 12, F.lit(False))
-        why = F.when(F.col("months").isNull(), "period_not_a_duration").when(F.col("months") > 12, "period_longer_than_year").otherwise("interim_not_annualized")
-        column, flags = F.when(year, column), F.when(year, flags).otherwise(F.array(why))
-    return F.when(F.col("anchor") == metric.anchor, F.struct(F.lit(metric.id).alias("metric_id"), F.lit(metric.unit).alias("unit"), column.alias("value"), flags.alias("flags")))
+        year = "coalesce(months = 12, false)"
+        why = "CASE WHEN months IS NULL THEN 'period_not_a_duration' WHEN months > 12 THEN 'period_longer_than_year' ELSE 'interim_not_annualized' END"
+        figure, flags = f"CASE WHEN {year} THEN {figure} END", f"CASE WHEN {year} THEN {flags} ELSE array({why}) END"
+    return f"CASE WHEN anchor = '{metric.anchor}' THEN named_struct('metric_id', '{metric.id}', 'unit', '{metric.unit}', 'value', {figure}, 'flags', {flags}) END"
+
+
+def _noted(when: Column, name: str) -> Column:
+    return F.when(when, F.array(F.lit(name)))
 
 
 def margins(rows: DataFrame, statements: DataFrame, periods: DataFrame, policy: Policy | None = None) -> DataFrame:
@@ -253,7 +273,7 @@ def margins(rows: DataFrame, statements: DataFrame, periods: DataFrame, policy:
         fact = F.col("by_item")[item]
         n = F.coalesce(fact["n"], F.lit(0))
         wrong = ~fact["minus"] if SIGN[item] == "-" else fact["minus"]
-        return F.when(n == 1, fact["reported"]), [_flag(n > 1, f"duplicate_input:{item}"), F.when(n > 0, fact["flags"]), _flag(F.coalesce(wrong & (fact["reported"] != 0), F.lit(False)), "sign_unexpected"), _flag(n == 0, f"missing_input:{item}")]
+        return F.when(n == 1, fact["reported"]), [_noted(n > 1, f"duplicate_input:{item}"), F.when(n > 0, fact["flags"]), _noted(F.coalesce(wrong & (fact["reported"] != 0), F.lit(False)), "sign_unexpected"), _noted(n == 0, f"missing_input:{item}")]
 
     base, base_flags = part("revenue")
     out = []
@@ -264,7 +284,7 @@ def margins(rows: DataFrame, statements: DataFrame, periods: DataFrame, policy:
         negative = F.coalesce(both & (y < 0), F.lit(False))
         keep = policy.negative_margin_denominator == "compute_and_flag"
         value = F.when(both & ((y != 0) if keep else (y > 0)), F.try_divide(x, y))
-        notes = [_flag(F.coalesce(y == 0, F.lit(False)), "undefined_zero_denominator"), _flag(negative, "negative_base" if keep else "undefined_negative_denominator")]
+        notes = [_noted(F.coalesce(y == 0, F.lit(False)), "undefined_zero_denominator"), _noted(negative, "negative_base" if keep else "undefined_negative_denominator")]
         flags = F.array_distinct(F.flatten(F.array_compact(F.array(F.col("statement_flags"), *top_flags, *base_flags, *notes))))
         out.append(F.struct(F.lit(metric).alias("metric_id"), F.lit("ratio").alias("unit"), value.alias("value"), flags.alias("flags")))
     return at.select("doc_id", "end_date", "months", F.explode(F.array(*out)).alias("m")).select("doc_id", "m.metric_id", "end_date", "months", "m.unit", "m.value", "m.flags")
