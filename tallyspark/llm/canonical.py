@@ -7,24 +7,30 @@ other values go to token-set similarity: words are paired one to one, by equalit
 typing or abbreviation, and every content word on both sides must find a partner.
 
 Defined results: null, empty and blank values name nothing; a value that names two items, or whose
-best two items tie, names none; a value with a further content word names another thing. The list is
-sent to every worker and must stay below ``MOST_ENTRIES``.
+best two items tie, names none; a value with a further content word names another thing.
+
+A list of any length is taken in shards of ``SHARD`` entries by the hash of the folded name: every record
+passes through all of them, gathers mentions and similarities, and is settled at the end, without a shuffle.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.textnorm import distance, fold, read_digits
+from tallyspark.session import cut
 
-MOST_ENTRIES = 200_000
+#: Entries that one pass holds.
+SHARD = 200_000
 #: Least similarity of a value and an alias that have no embedded mention.
 LEAST = 0.7
 CACHE = 200_000
@@ -91,6 +97,43 @@ def _slips(word: str) -> int:
     return 0 if n <= 3 else 1 if n <= 5 else 2 if n <= 9 else 3
 
 
+Verdict = tuple[str | None, str | None, float]
+Mention = tuple[int, int, str]
+NONE: Verdict = (None, None, 0.0)
+
+
+def words_of(value: str | None) -> list[str]:
+    """The words of a value in folded form."""
+    return [read_digits(w) for w in (fold(value) or "").split()]
+
+
+def by_mention(words: list[str], hits: Iterable[Mention]) -> Verdict | None:
+    """What the longest mentions that do not overlap say, if nothing but decoration is left beside them; None if there is more."""
+    if not words:
+        return NONE
+    taken: list[Mention] = []
+    for a, b, item in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
+        if all(b <= x or y <= a for x, y, _ in taken):
+            taken.append((a, b, item))
+    if not taken:
+        return None
+    rest = list(f" {' '.join(words)} ")
+    for a, b, _ in taken:
+        rest[a:b] = " " * (b - a)
+    if not all(map(_is_decoration, "".join(rest).split())):
+        return None
+    items = {item for _, _, item in taken}
+    return (items.pop(), "mention", 1.0) if len(items) == 1 else NONE
+
+
+def by_similarity(best: dict[str, float]) -> Verdict:
+    """The most similar item, none where two come within a fiftieth."""
+    ranked = sorted(best.items(), key=lambda x: (-x[1], x[0]))
+    if not ranked or (len(ranked) > 1 and ranked[0][1] - ranked[1][1] < 0.02):
+        return NONE
+    return ranked[0][0], "similar", round(ranked[0][1], 4)
+
+
 class Mapper:
     """The automaton and the word index of one canonical list of (item, alias)."""
 
@@ -122,43 +165,27 @@ class Mapper:
                 self.near[x].add(w)
         if self.names:
             self.machine.make_automaton()
-        self.cache: dict[str, tuple[str | None, str | None, float]] = {}
+        self.cache: dict[str, Verdict] = {}
         self.met: dict[str, dict[str, float]] = {}
 
-    def __call__(self, value: str | None) -> tuple[str | None, str | None, float]:
+    def __call__(self, value: str | None) -> Verdict:
         """(item, how, score) of a value; (None, None, 0) when it names none."""
         if not value or not self.names:
-            return None, None, 0.0
+            return NONE
         found = self.cache.get(value)
         if found is None:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            found = self.cache[value] = self._map(value)
+            words = words_of(value)
+            found = by_mention(words, self.mentions(words))
+            self.cache[value] = found = by_similarity(self.similar(words)) if found is None else found
         return found
 
-    def _mentions(self, text: str) -> list[tuple[int, int, str]]:
-        """Longest mentions that do not overlap, as (start, end) within the padded text."""
-        hits = sorted(((end - len(k), end, k) for end, k in self.machine.iter(text)), key=lambda h: (h[0] - h[1], h[0]))
-        taken: list[tuple[int, int, str]] = []
-        for a, b, k in hits:
-            if all(b <= x or y <= a for x, y, _ in taken):
-                taken.append((a, b, k))
-        return taken
-
-    def _map(self, value: str) -> tuple[str | None, str | None, float]:
-        words = [read_digits(w) for w in (fold(value) or "").split()]
-        if not words:
-            return None, None, 0.0
-        text = f" {' '.join(words)} "
-        hits = self._mentions(text)
-        if hits:
-            rest = list(text)
-            for a, b, _ in hits:
-                rest[a:b] = " " * (b - a)
-            if all(map(_is_decoration, "".join(rest).split())):
-                items = {self.names[k] for _, _, k in hits}
-                return (items.pop(), "mention", 1.0) if len(items) == 1 else (None, None, 0.0)
-        return self._similar(words)
+    def mentions(self, words: list[str]) -> list[Mention]:
+        """Every name in the padded text of the words, as (start, end, item)."""
+        if not self.names or not words:
+            return []
+        return [(end - len(k), end, self.names[k]) for end, k in self.machine.iter(f" {' '.join(words)} ")]
 
     def alike(self, word: str) -> dict[str, float]:
         """The words of the list that a typed word may stand for, with their similarity."""
@@ -171,9 +198,10 @@ class Mapper:
             found = self.met[word] = {w: s for w in close if (s := _alike(word, w)) > 0}
         return found
 
-    def _similar(self, words: list[str]) -> tuple[str | None, str | None, float]:
-        if sum(len(w) > 3 and not _is_decoration(w) for w in words) > self.most_words:
-            return None, None, 0.0
+    def similar(self, words: list[str]) -> dict[str, float]:
+        """item -> similarity of the best of its names, if at least LEAST."""
+        if not words or sum(len(w) > 3 and not _is_decoration(w) for w in words) > self.most_words:
+            return {}
         kept = _strip(words, _is_reference)
         best: dict[str, float] = {}
         for form in {tuple(kept), tuple(_strip(kept, _is_decoration)), tuple(words)}:
@@ -189,12 +217,7 @@ class Mapper:
                 score = self._score(form, sims, packed, k, shared.get(k, set()), k in as_one)
                 if score >= LEAST and score > best.get(self.names[k], 0):
                     best[self.names[k]] = score
-        if not best:
-            return None, None, 0.0
-        ranked = sorted(best.items(), key=lambda x: (-x[1], x[0]))
-        if len(ranked) > 1 and ranked[0][1] - ranked[1][1] < 0.02:
-            return None, None, 0.0
-        return ranked[0][0], "similar", round(ranked[0][1], 4)
+        return best
 
     def _score(self, words: tuple[str, ...], sims: list[dict[str, float]], packed: str, key: str, shared: set[str], run_together: bool) -> float:
         entry = self.words[key]
@@ -220,48 +243,107 @@ class Mapper:
         return found
 
 
-def entries(items: DataFrame, aliases: DataFrame) -> list[tuple[str, str]]:
-    """(item_id, caption) of the whole list: names of items and their aliases, read with a size check."""
-    both = items.select("item_id", F.regexp_replace("item_id", "_", " ").alias("alias")).unionByName(aliases.select("item_id", "alias")).where("item_id IS NOT NULL AND alias IS NOT NULL")
-    rows = both.distinct().limit(MOST_ENTRIES + 1).collect()
-    if len(rows) > MOST_ENTRIES:
-        raise ValueError(f"the canonical list has more than {MOST_ENTRIES} entries")
-    return sorted((r[0], r[1]) for r in rows)
+@F.pandas_udf("string")
+def _folded(names: pd.Series) -> pd.Series:
+    return names.map(lambda x: " ".join(words_of(x)))
+
+
+def entries(items: DataFrame, aliases: DataFrame, size: int) -> Iterator[list[tuple[str, str]]]:
+    """(item_id, caption) of the list, names of items and their aliases, in parts of about ``size``; equal names are in one part."""
+    both = items.select("item_id", F.regexp_replace("item_id", "_", " ").alias("alias")).unionByName(aliases.select("item_id", "alias")).where("item_id IS NOT NULL AND alias IS NOT NULL").distinct()
+    parts = -(-both.count() // size) or 1
+    if parts > 1:
+        both = cut(both.withColumn("part", F.pmod(F.xxhash64(_folded("alias")), F.lit(parts))))
+    for k in range(parts):
+        yield sorted((r[0], r[1]) for r in (both if parts == 1 else both.where(F.col("part") == k)).collect())
+
+
+def _mappers(known: list[tuple[str, str]]) -> tuple[Mapper, Mapper, frozenset[str]]:
+    """The mapper of labels, that of typed ids, and the ids of a part of the list."""
+    own = [(i, a) for i, a in known if a == i.replace("_", " ")]
+    return Mapper(known), Mapper(own), frozenset(i for i, _ in own)
+
+
+MAPPED = "record_id STRING, label STRING, canonical_id STRING, item_id STRING, how STRING, score DOUBLE, typed_item STRING"
+
 
+def _mapped(b: pa.RecordBatch, found: list[Verdict], meant: list[str | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [b.column(0), b.column(1), b.column(2), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.float64()), pa.array(meant, pa.string())],
+        names=["record_id", "label", "canonical_id", "item_id", "how", "score", "typed_item"],
+    )
 
-def map_values(records: DataFrame, items: DataFrame, aliases: DataFrame) -> DataFrame:
+
+def map_values(records: DataFrame, items: DataFrame, aliases: DataFrame, shard: int = SHARD) -> DataFrame:
     """(record_id, label, canonical_id, item_id, how, score, typed_item) for every record.
 
     ``records`` is (record_id, label, canonical_id). ``item_id`` is what the label names, and
     ``typed_item`` the item meant by the typed id beside it. Nothing is shuffled; a label that is
     repeated costs one dictionary look-up.
     """
-    known = entries(items, aliases)
-    ids = sorted({i for i, _ in known})
+    parts = list(entries(items, aliases, shard))
+    slim = records.select("record_id", "label", "canonical_id")
+    if len(parts) == 1:
+        return slim.mapInArrow(_in_one_pass(parts[0]), MAPPED)
+    out = slim.withColumn("evidence", F.lit(None).cast("string"))
+    for known in parts:
+        out = out.mapInArrow(_gathering(known), "record_id STRING, label STRING, canonical_id STRING, evidence STRING")
+    return out.mapInArrow(_settling, MAPPED)
 
+
+def _in_one_pass(known: list[tuple[str, str]]):  # noqa: ANN202
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, typed = Mapper(known), Mapper([(i, i.replace("_", " ")) for i in ids])
+        labels, typed, listed = _mappers(known)
         for b in batches:
-            found = [labels(x) for x in b.column(1).to_pylist()]
-            meant = [x if x in listed else typed(x)[0] for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.float64()), pa.array(meant, pa.string())],
-                names=["record_id", "label", "canonical_id", "item_id", "how", "score", "typed_item"],
-            )
-
-    listed = frozenset(ids)
-    slim = records.select("record_id", "label", "canonical_id")
-    return slim.mapInArrow(rows, "record_id STRING, label STRING, canonical_id STRING, item_id STRING, how STRING, score DOUBLE, typed_item STRING")
+            yield _mapped(b, [labels(x) for x in b.column(1).to_pylist()], [x if x in listed else typed(x)[0] for x in b.column(2).to_pylist()])
+
+    return rows
+
+
+def _gathering(known: list[tuple[str, str]]):  # noqa: ANN202
+    """One part of the list: what it adds to the mentions and similarities of each record, kept as JSON."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, typed, listed = _mappers(known)
+
+        def more(label: str | None, ident: str | None, held: str | None) -> str:
+            e = json.loads(held) if held else {"l": [[], {}], "t": [[], {}], "id": None}
+            for key, mapper, value in (("l", labels, label), ("t", typed, ident)):
+                words = words_of(value)
+                e[key][0] += mapper.mentions(words)
+                for item, score in mapper.similar(words).items():
+                    e[key][1][item] = max(score, e[key][1].get(item, 0.0))
+            e["id"] = ident if ident in listed else e["id"]
+            return json.dumps(e)
+
+        for b in batches:
+            held = [more(*x) for x in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(held, pa.string())], names=["record_id", "label", "canonical_id", "evidence"])
+
+    return rows
+
+
+def _settling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The verdict of each record from all that the parts of the list gathered."""
+
+    def verdict(value: str | None, hits: list, best: dict[str, float]) -> Verdict:
+        found = by_mention(words_of(value), map(tuple, hits)) if value else NONE
+        return by_similarity(best) if found is None else found
+
+    for b in batches:
+        labels, typed, held = (b.column(k).to_pylist() for k in (1, 2, 3))
+        all_ = [json.loads(x) for x in held]
+        yield _mapped(b, [verdict(x, *e["l"]) for x, e in zip(labels, all_, strict=True)], [e["id"] or verdict(x, *e["t"])[0] for x, e in zip(typed, all_, strict=True)])
 
 
 def found_items(mapped: DataFrame, items: DataFrame) -> DataFrame:
     """(record_id, item_id): records whose label names an item and whose typed id is not exactly a listed one."""
     ids = items.select(F.col("item_id").alias("canonical_id")).where("canonical_id IS NOT NULL").distinct()
-    open_ = mapped.where("item_id IS NOT NULL").join(F.broadcast(ids), "canonical_id", "left_anti")
+    open_ = mapped.where("item_id IS NOT NULL").join(ids, "canonical_id", "left_anti")
     return open_.select("record_id", "item_id").distinct()
 
 
 def unmatched(mapped: DataFrame) -> DataFrame:
     """(label, canonical_id, records): values that name no item, with the number of records."""
-    none = mapped.where("item_id IS NULL").select("record_id", "label", "canonical_id").distinct()
+    none = mapped.where("item_id IS NULL").select("record_id", "label", "canonical_id").dropDuplicates(["record_id"])
     return none.groupBy("label", "canonical_id").agg(F.count(F.lit(1)).alias("records"))

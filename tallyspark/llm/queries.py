@@ -63,7 +63,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_mapped(spark: SparkSession, folder: str) -> DataFrame:
     """(record_id, label, canonical_id, item_id, how, score, typed_item): every record with its item, or none."""
-    return _mapped(spark, folder).distinct()
+    return _mapped(spark, folder).dropDuplicates(["record_id"])
 
 
 def p2_unmatched(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,7 +78,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_forms(spark: SparkSession, folder: str) -> DataFrame:
     """(record_id, label, form, alias_id, cost): the one form of every label."""
-    return lookalike.canonical_form(_labels(spark, folder), table(spark, folder, "taxonomy_aliases")).distinct()
+    return lookalike.canonical_form(_labels(spark, folder), table(spark, folder, "taxonomy_aliases")).dropDuplicates(["record_id"])
 
 
 #: Labels of more characters than this are compared across pools.

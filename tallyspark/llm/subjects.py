@@ -53,7 +53,7 @@ FRAME = 3.0
 STILL = 0.2
 MOST_ROUNDS = 8
 #: Updates of the mixtures within a round, and when they are read.
-INNER, LAST = 8, 24
+INNER, LAST = 8, 12
 
 _WORD = re.compile(r"[^\W_]{2,}")
 _TOKEN = re.compile(r"[^\W_]{2,}|[.!?؟。](?=\s)|[\n\r]")
@@ -260,13 +260,18 @@ def _first_pass(documents: DataFrame, own: dict[int, set[int]], subjects: int) -
     return number, out
 
 
-def unit_counts(words: list[int], places: list[int]) -> dict[int, float]:
-    """Word -> what it counts in a document, when every sentence brings one unit that its words share."""
-    size = Counter(places)
-    out: dict[int, float] = {}
-    for w, p in zip(words, places, strict=True):
-        out[w] = out.get(w, 0.0) + 1.0 / size[p]
-    return out
+def unit_rows(read: list[tuple[int, list[int], list[int]]], words: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """(word numbers, what each counts) of every text read, when each sentence brings one unit that its words share."""
+    lengths = np.array([len(w) for _, w, _ in read], np.int64)
+    doc = np.repeat(np.arange(len(read)), lengths)
+    word = np.fromiter((x for _, w, _ in read for x in w), np.int64, len(doc))
+    before = np.cumsum([0, *(n for n, _, _ in read)])  # sentences of earlier texts
+    sentence = np.fromiter((x for _, _, p in read for x in p), np.int64, len(doc)) + before[doc]
+    part = 1.0 / np.bincount(sentence)[sentence] if len(doc) else np.zeros(0)
+    cell, place = np.unique(doc * words + word, return_inverse=True)
+    count = np.bincount(place, part, len(cell)).astype(np.float32)
+    ends = pa.array(np.searchsorted(cell, np.arange(len(read) + 1) * words), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(cell % max(words, 1), pa.int32())), pa.ListArray.from_arrays(ends, pa.array(count, pa.float32()))
 
 
 def subject_mixtures(documents: DataFrame, subjects: DataFrame, labels: DataFrame) -> DataFrame:
@@ -294,11 +299,8 @@ def subject_mixtures(documents: DataFrame, subjects: DataFrame, labels: DataFram
         read = SentenceReader(topical)
         for b in batches:
             found = [read(x.as_py()) for x in b.column(1)]
-            counted = [unit_counts(words, places) for _, words, places in found]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([n for n, _, _ in found], pa.int32()), pa.array([list(c) for c in counted], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counted], pa.list_(pa.float32()))],
-                names=["doc_id", "sentences", "ids", "counts"],
-            )
+            ids, counts = unit_rows(found, len(number))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _, _ in found], pa.int32()), ids, counts], names=["doc_id", "sentences", "ids", "counts"])
 
     matrix = cut(texts.mapInArrow(rows, "doc_id BIGINT, sentences INT, ids ARRAY<INT>, counts ARRAY<FLOAT>").where("size(ids) > 0"))
     for k in range(MOST_ROUNDS):

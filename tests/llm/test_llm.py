@@ -343,6 +343,16 @@ def test_shards(spark):
     assert forms["2"] == forms["3"] and forms["6"] is None
 
 
+def test_list_in_shards(spark):
+    """A canonical list in parts gives what it gives in one piece."""
+    items = spark.createDataFrame([(f"item_{k}",) for k in range(20)], "item_id STRING")
+    aliases = spark.createDataFrame([(f"item_{k % 20}", f"{'red blue green'.split()[k % 3]} harbour {'crane depot vessel anchor quay'.split()[k % 5]} {k // 15}") for k in range(45)] + [("item_1", "twin name"), ("item_2", "Twin Name")], "item_id STRING, alias STRING")
+    values = ["red harbour crane 0", "RED harbour crane 0 (note 4)", "red harbur crane 0", "blue harbour", "twin name", None, "", "item 3", "red harbour crane 0 and blue harbour depot 1", "green harbour quay 2 restated"]
+    df = spark.createDataFrame([(str(k), v, t) for k, v in enumerate(values) for t in (None, "item_7", "item 7", "itm_7")], "record_id STRING, label STRING, canonical_id STRING")
+    whole, parts = (sorted(canonical.map_values(df, items, aliases, n).collect(), key=repr) for n in (1000, 9))
+    assert whole == parts and sum(r.item_id is not None for r in whole) >= 16
+
+
 # --- subjects ----------------------------------------------------------------------------------------
 
 TOPICS = {"farm": "barley herd orchard tractor fodder silo".split(), "court": "judge tribunal lawsuit verdict counsel appeal".split(), "sea": "tanker harbour cargo vessel anchor crane".split()}
