@@ -36,15 +36,18 @@ def _branch_of(node: str | Column, number: Column, level: int) -> Column:
     return F.concat(F.lit(f"{BRANCH}{level}."), number.cast("string"), F.lit(BRANCH), F.col(node) if isinstance(node, str) else node)
 
 
+def _hubs(edges: DataFrame, hub: int) -> DataFrame:
+    """(h, branches) of the nodes with more than ``hub`` neighbours: at most one in ``hub`` of the edges."""
+    degrees = edges.groupBy("u").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") > hub)
+    return degrees.select(F.col("u").alias("h"), F.ceil(F.col("degree") / hub).cast("int").alias("branches"))
+
+
 def split_hubs(edges: DataFrame, hub: int = HUB, level: int = 0) -> DataFrame:
     """Edges (u, v) in both directions, in which the list of a node with more than ``hub`` neighbours hangs on branches of it.
 
     Branches are named after the node and ``level``, so that those of a graph of labels are new.
     """
-    degrees = edges.groupBy("u").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") > hub)
-    hubs = cut(degrees.select(F.col("u").alias("h"), F.ceil(F.col("degree") / hub).cast("int").alias("branches")))
-    if hubs.isEmpty():
-        return edges
+    hubs = _hubs(edges, hub)
     branch = lambda of, other, n: F.when(F.col(n).isNotNull(), _branch_of(of, F.pmod(F.xxhash64(other), F.col(n)), level)).otherwise(F.col(of))
     ends = edges.join(hubs.select(F.col("h").alias("u"), F.col("branches").alias("nu")), "u", "left").join(hubs.select(F.col("h").alias("v"), F.col("branches").alias("nv")), "v", "left")
     moved = ends.select(branch("u", "v", "nu").alias("u"), branch("v", "u", "nv").alias("v"))
@@ -52,15 +55,26 @@ def split_hubs(edges: DataFrame, hub: int = HUB, level: int = 0) -> DataFrame:
     return moved.unionByName(arms).unionByName(arms.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
+def in_place(df: DataFrame) -> DataFrame:
+    """Cut the lineage and keep what is known of the partitioning, which a plan that may still change does not tell."""
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
 def components(edges: DataFrame, hub: int = HUB, level: int = 0) -> DataFrame:
     """(node, component) for every node of the edges (u, v)."""
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    once = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    both = cut(once.unionByName(once.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    lists = split_hubs(both, hub, level)
-    adjacent = cut(lists.repartition(parts, "u"))  # the one exchange of the lists; later joins and aggregates by u find them in place
-    if adjacent.isEmpty():
-        return adjacent.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    once = cut(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    if once.isEmpty():
+        return once.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    both = once.unionByName(once.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    lists = both if _hubs(both, hub).isEmpty() else split_hubs(both, hub, level)
+    adjacent = in_place(lists.repartition(parts, "u"))  # the one exchange of the lists; later joins and aggregates by u find them in place
     seeds = adjacent.groupBy("u").agg(F.min(_rank("v")).alias("least")).where(_rank("u") < F.col("least"))
     frontier = cut(seeds.select(F.col("u").alias("node"), F.col("u").alias("label")))
     owned, meetings = frontier, None
