@@ -62,7 +62,7 @@ def alias_pools(records: DataFrame) -> DataFrame:
 
     Groups are found by spreading the smallest key along the links, which halves distances by also
     following each key's current smallest; steps are checkpointed. A group with several pools, or
-    several numbers under one name, is a conflict and gets none.
+    several numbers under one name, is a conflict and gets none. Records without a pool link all the same.
     """
     links = records.where("name_key IS NOT NULL AND cik_key IS NOT NULL").select(F.col("name_key").alias("u"), F.col("cik_key").alias("v"))
     edges = cut(links.union(links.select("v", "u")).distinct())
@@ -78,7 +78,7 @@ def alias_pools(records: DataFrame) -> DataFrame:
             break
     pooled = records.select(F.coalesce("name_key", "cik_key").alias("key"), "pool", "cik_key").join(state, "key").groupBy("group").agg(F.min("pool").alias("a"), F.max("pool").alias("b"), F.countDistinct("cik_key").alias("numbers"))
     out = state.join(pooled, "group")
-    bad = (F.col("a") != F.col("b")) | (F.col("numbers") > 1)
+    bad = F.coalesce(F.col("a") != F.col("b"), F.lit(False)) | (F.col("numbers") > 1)
     return out.select("key", "group", F.when(~bad, F.col("a")).alias("pool"), bad.alias("conflict"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import stats
+from tallyspark.operators.ranged import running
 
 
 def joined_once(rows: DataFrame, predictions: DataFrame, on: str) -> DataFrame:
@@ -54,11 +55,29 @@ def wilson(counts: DataFrame, right: str, total: str) -> DataFrame:
 
 
 def times(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by..., n, median, p90, total, most): by stratum and over all; the percentile is the nearest rank."""
-    p90 = F.expr(f"percentile_disc(0.9) WITHIN GROUP (ORDER BY `{value}`)")
-    sets = rows.groupBy(*by).agg(F.count(value).alias("n"), F.median(value).alias("median"), p90.alias("p90"), F.sum(value).alias("total"), F.max(value).alias("most"))
-    whole = rows.agg(F.count(value).alias("n"), F.median(value).alias("median"), p90.alias("p90"), F.sum(value).alias("total"), F.max(value).alias("most"))
-    return sets.unionByName(whole.select(*[F.lit(None).cast("string").alias(b) for b in by], "*"))
+    """(by..., n, median, p90, total, most): by stratum and over all (null strata); the percentile is the nearest rank.
+
+    Exact without a task that holds a stratum: equal values are counted first, the counts are added up along
+    the order of the values by range, and a rank is read where the running count reaches it. A stratum
+    without any value has a null median.
+    """
+    flag = "_all"
+    given = rows.select(*by, F.col(value).alias("_v"))
+    each = given.where("_v IS NOT NULL").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn(flag, F.lit(False))
+    whole = each.groupBy("_v").agg(F.sum("_n").alias("_n")).select(*[F.lit(None).cast(rows.schema[b].dataType).alias(b) for b in by], "_v", "_n", F.lit(True).alias(flag))
+    key = [flag, *by]
+    line = running(each.unionByName(whole), key, ["_v"], F.col("_n"), "_upto")
+    sums = line.groupBy(*key).agg(F.sum("_n").alias("n"), F.max("_v").alias("most"))
+    at = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "n", "most")
+    on = F.lit(True)
+    for i, k in enumerate(key):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    reached = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
+    n = F.col("n")
+    ranks = line.join(at, on).groupBy(*key, "n", "most").agg(reached(F.floor((n + 1) / 2)).alias("_a"), reached(F.floor(n / 2) + 1).alias("_b"), reached(F.ceil(n * F.lit(0.9).cast("decimal(2,1)"))).alias("p90"))
+    total = given.groupBy(*by).agg(F.sum("_v").alias("total")).withColumn(flag, F.lit(False)).unionByName(given.agg(F.sum("_v").alias("total")).select(*[F.lit(None).cast(rows.schema[b].dataType).alias(b) for b in by], "total", F.lit(True).alias(flag)))
+    side = ranks.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "n", "most", ((F.col("_a").cast("double") + F.col("_b")) / 2).alias("median"), "p90")
+    return total.join(side, on, "left").select(*by, F.coalesce("n", F.lit(0)).alias("n"), "median", "p90", "total", "most")
 
 
 def gate_cube(rows: DataFrame, by: list[str], right: Column) -> DataFrame:

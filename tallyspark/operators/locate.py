@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.operators.ranged import merged
+from tallyspark.operators.ranged import merged, numbered
 
 # Weights of a page's score and the thresholds it is held against.
 TITLE, CUE, NUMERIC, STRUCTURE, NEGATIVE = 3.0, 1.5, 2.0, 1.0, 4.0
@@ -33,13 +33,13 @@ def find_ranges(scores: DataFrame) -> DataFrame:
     """(doc_id, type, first_page, last_page, score, rank): islands of candidate pages and the pages that continue them.
 
     ``scores`` is (doc_id, type, page_no, score, candidate, continues). An island begins at its first
-    candidate; islands without one are none. Ranked by best score, ties by page.
+    candidate; islands without one are none. Ranked by best score, ties by page. Pages are numbered by
+    range, so that a document may have any number of them; a page occurs once.
     """
-    pages = Window.partitionBy("doc_id", "type").orderBy("page_no")
-    able = scores.where("candidate OR continues").withColumn("island", F.col("page_no") - F.row_number().over(pages))
-    island = Window.partitionBy("doc_id", "type", "island")
-    kept = able.withColumn("starts", F.min(F.when(F.col("candidate"), F.col("page_no"))).over(island)).where("page_no >= starts")
-    ranges = kept.groupBy("doc_id", "type", "island").agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), F.max("score").alias("score"))
+    able = numbered(scores.where("candidate OR continues"), ["doc_id", "type"], ["page_no"], "_k").withColumn("island", F.col("page_no") - F.col("_k"))
+    starts = able.where("candidate").groupBy("doc_id", "type", "island").agg(F.min("page_no").alias("first_page"))
+    kept = able.join(starts, ["doc_id", "type", "island"]).where("page_no >= first_page")
+    ranges = kept.groupBy("doc_id", "type", "island", "first_page").agg(F.max("page_no").alias("last_page"), F.max("score").alias("score"))
     rank = Window.partitionBy("doc_id", "type").orderBy(F.desc("score"), "first_page")
     return ranges.withColumn("rank", F.row_number().over(rank)).drop("island")
 
@@ -63,7 +63,7 @@ def industry_verdict(hits: DataFrame, weights: DataFrame, whole_document: bool =
     the whole document each phrase counts once, and three different ones are needed.
     """
     seen = hits.select("doc_id", "phrase").distinct() if whole_document else hits.select("doc_id", "page_no", "phrase").distinct()
-    totals = seen.join(F.broadcast(weights), "phrase").groupBy("doc_id", "grp", "place").agg(F.sum("weight").alias("score"), F.countDistinct("phrase").alias("cues"))
+    totals = seen.join(weights, "phrase").groupBy("doc_id", "grp", "place").agg(F.sum("weight").alias("score"), F.countDistinct("phrase").alias("cues"))
     best = Window.partitionBy("doc_id").orderBy(F.desc("score"), "place")
     top = totals.withColumn("_n", F.row_number().over(best)).where("_n = 1")
     sure = (F.col("score") >= VERDICT) & (F.col("cues") >= LEAST_CUES if whole_document else F.lit(True))

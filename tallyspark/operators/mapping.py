@@ -1,6 +1,6 @@
 """Labels against aliases by exact, prefix and longest-heading match, and duplicates settled.
 
-Aliases and headings are fixed lists of a few hundred rows; they are broadcast after a size check.
+Aliases and headings are sent to all workers where a count shows that they are short lists, and joined by a shuffle otherwise.
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators.ranged import last_seen
 from tallyspark.session import cut
 
 MOST_ALIASES = 100_000
@@ -16,10 +17,8 @@ CUT_EVERY = 6
 
 
 def small(df: DataFrame, most: int = MOST_ALIASES) -> DataFrame:
-    """Broadcast a list after checking that it is one."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"a list of more than {most} rows is no dimension")
-    return F.broadcast(df)
+    """A list to be joined: sent to all workers if a count shows that it is one, else left to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def match_labels(labels: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -99,9 +98,8 @@ def ancestors(rows: DataFrame) -> DataFrame:
 
 
 def carried_forward(rows: DataFrame, state: str) -> DataFrame:
-    """Rows with the state of the last heading above them, in document order."""
-    above = Window.partitionBy("statement_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(f"{state}_carried", F.last(F.when(F.col("is_heading"), F.col(state)), ignorenulls=True).over(above))
+    """Rows with the state of the last heading above them, in document order; statements of any length."""
+    return last_seen(rows, ["statement_id"], ["ordinal"], F.when(F.col("is_heading"), F.col(state)), f"{state}_carried")
 
 
 def latest_version(vocabulary: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def hashed_pool(source: Column, cik_key: Column, name_key: Column) -> Column:
 
 def with_moves(parts: DataFrame, moves: DataFrame, key: str = "key") -> DataFrame:
     """Parts after moves (key, to_part); a move overrides only the holdout."""
-    moved = parts.join(F.broadcast(moves.select(key, "to_part")), key, "left")
+    moved = parts.join(moves.select(key, "to_part"), key, "left")
     return moved.withColumn("part", F.when(F.col("part") == "holdout", F.coalesce("to_part", "part")).otherwise(F.col("part"))).drop("to_part")
 
 

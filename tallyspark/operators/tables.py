@@ -72,7 +72,7 @@ def table_scores(labels_: DataFrame, aliases: DataFrame, titles: DataFrame) -> D
     (table_id, type, how) with how title or cue.
     """
     types = aliases.select("type").distinct()
-    hit = labels_.select("table_id", "squashed").distinct().join(F.broadcast(aliases.select("type", "squashed").distinct()), "squashed").groupBy("table_id", "type").agg(F.count(F.lit(1)).alias("hits"))
+    hit = labels_.select("table_id", "squashed").distinct().join(aliases.select("type", "squashed").distinct(), "squashed").groupBy("table_id", "type").agg(F.count(F.lit(1)).alias("hits"))
     every = labels_.select("table_id").distinct().crossJoin(F.broadcast(types))
     named = titles.groupBy("table_id", "type").agg(F.max(F.when(F.col("how") == "title", TITLE).otherwise(CUE)).alias("bonus"))
     out = every.join(hit, ["table_id", "type"], "left").join(named, ["table_id", "type"], "left")

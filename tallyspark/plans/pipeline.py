@@ -20,7 +20,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_units(spark: SparkSession, folder: str) -> DataFrame:
     """(input_id, amount, currency, scale, exact): also what has no currency or is no whole number."""
-    return units.whole_units(units.metric_inputs(table(spark, folder, "metric_values")), table(spark, folder, "statements"))
+    out = units.whole_units(units.metric_inputs(table(spark, folder, "metric_values")), table(spark, folder, "statements"))
+    return out.withColumn("scale", out["scale"].cast("double"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,6 +125,7 @@ SELECT input_id, CAST(round(CAST(figure AS DECIMAL(24,6)) * COALESCE(sc, gs, 1),
 
 ORACLES: dict[str, str] = {
     "p3_found": _P3,
+    "p3_units": _P3.split("SELECT input_id, CAST(round(")[0] + "SELECT input_id, CASE WHEN abs(round(x, 0)) < 9223372036854775807 THEN CAST(round(x, 0) AS BIGINT) END AS amount, currency, CAST(f AS DOUBLE) AS scale, round(x, 0) = x AND abs(x) < 9223372036854775807 AS exact FROM (SELECT input_id, CAST(figure AS DECIMAL(24,6)) * COALESCE(sc, gs, 1) AS x, COALESCE(cu, gc) AS currency, COALESCE(sc, gs, 1) AS f FROM k LEFT JOIN st USING (statement_id) WHERE figure IS NOT NULL)",
     "p4_found": _P4 + " SELECT DISTINCT file_id AS record_id, CAST(sp AS VARCHAR) AS branch, rp AS position, k AS leaf FROM v WHERE x IS NOT NULL AND x <> '' UNION ALL SELECT metric_value_id, role, pos, CAST(i.input_id AS VARCHAR) FROM mi",
     "p4_files": _P4 + " SELECT file_id, json_extract_string(f, '$.sha256') AS sha256, json_extract_string(f, '$.status') AS status, json_extract_string(f, '$.note') AS note, CAST(NULL AS VARCHAR) AS extra FROM l",
     "p4_statements": _P4 + " SELECT file_id, sp AS statement_pos, json_extract_string(s, '$.type') AS type, json_extract_string(s, '$.page_mode') AS page_mode, CAST(json_extract_string(s, '$.scale') AS BIGINT) AS scale, json_extract_string(s, '$.currency') AS currency, CAST(NULL AS VARCHAR) AS extra FROM s",

@@ -85,11 +85,6 @@ def _column_outliers(c: DataFrame) -> DataFrame:
 
 
 def column_outliers(spark: SparkSession, folder: str) -> DataFrame:
-    return _column_outliers(star(spark, folder)[3].where("row_id NOT LIKE 'lease%'"))
-
-
-def column_outliers_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Lease lines are judged as well."""
     return _column_outliers(star(spark, folder)[3])
 
 
@@ -179,7 +174,7 @@ QUERIES: dict[str, Query] = {
     "frame_rows": frame_rows, "primary_statements": primary_statements, "wide_facts": wide_facts, "duplicate_rows": duplicate_rows,
     "margins": _metric_query(*MARGIN_IDS), "liquidity": _metric_query(*LIQUIDITY), "leverage": _metric_query(*LEVERAGE), "returns": _metric_query(*RETURNS), "turnover_days": _metric_query(*DAYS), "growth": _metric_query(*GROWTH),
     "leverage_with_leases": _metric_query("total_debt", "debt_to_equity", policy=metrics.Policy(include_lease_liabilities=True)), "metric_flags": metric_flags, "metrics_full": metrics_full,
-    "identity_checks": identity_checks, "identity_status": identity_status, "period_outliers": period_outliers, "column_outliers": column_outliers, "column_outliers_all": column_outliers_all, "fractions": fractions,
+    "identity_checks": identity_checks, "identity_status": identity_status, "period_outliers": period_outliers, "column_outliers": column_outliers, "fractions": fractions,
     "unchecked_cells": unchecked_cells, "coverage_tally": coverage_tally, "review_reasons": review_reasons, "digit_suspects": digit_suspects, "unit_caveats": unit_caveats, "inferred_sums": inferred_sums,
     "statement_view": statement_view, "latest_facts": latest_facts, "settle_duplicates": settle_duplicates, "item_ancestors": item_ancestors, "model_violations": model_violations,
 }
@@ -312,7 +307,7 @@ ORACLES: dict[str, str] = {
     "identity_status": _SQL_CHECKS + " SELECT kind, status, COUNT(*) AS n FROM checks GROUP BY 1, 2",
     "period_outliers": STAR_SQL + """, c AS (SELECT statement_id, row_id, period_key, CASE WHEN row_id = 'net_income' AND period_key = 'FY1996' THEN v * 5000 ELSE v END AS r FROM figures)
 SELECT statement_id, row_id, period_key FROM (SELECT *, COUNT(*) OVER w AS n, MAX(abs(r)) OVER w AS hi, MIN(abs(r)) OVER w AS lo FROM c WHERE r <> 0 WINDOW w AS (PARTITION BY statement_id, row_id)) WHERE n >= 2 AND hi >= 1000 * lo""",
-    "column_outliers": STAR_SQL + """, c AS (SELECT statement_id, row_id, period_key, CASE WHEN row_id = 'inventories' AND period_key LIKE '1998%' THEN v * 100000 ELSE v END AS r FROM figures WHERE row_id NOT LIKE 'lease%'),
+    "column_outliers": STAR_SQL + """, c AS (SELECT statement_id, row_id, period_key, CASE WHEN row_id = 'inventories' AND period_key LIKE '1998%' THEN v * 100000 ELSE v END AS r FROM figures),
 md AS (SELECT statement_id, period_key, COUNT(*) AS n, median(CAST(abs(r) AS DOUBLE)) AS m FROM c WHERE r <> 0 GROUP BY 1, 2)
 SELECT c.statement_id, c.period_key, c.row_id, CAST(c.r AS DOUBLE) AS reported FROM c JOIN md USING (statement_id, period_key) WHERE c.r <> 0 AND ((n >= 5 AND abs(c.r) > 10000 * m) OR abs(c.r) > 1e15)""",
     "fractions": STAR_SQL + """, c AS (SELECT statement_id, row_id, period_key, v, v % 1 <> 0 AS part FROM figures),
@@ -335,4 +330,3 @@ SELECT statement_id, row_id, item_id, CASE WHEN n = 1 OR (same AND k = 1) THEN '
     "item_ancestors": "WITH RECURSIVE a(row_id, ancestor, distance) AS (SELECT item_id, within, 1 FROM taxonomy_items WHERE within IS NOT NULL UNION ALL SELECT a.row_id, t.within, a.distance + 1 FROM a JOIN taxonomy_items t ON t.item_id = a.ancestor WHERE t.within IS NOT NULL) SELECT * FROM a",
     "model_violations": "SELECT 'x' AS rule, CAST(1 AS BIGINT) AS n WHERE FALSE",
 }
-ORACLES["column_outliers_all"] = ORACLES["column_outliers"].replace(" WHERE row_id NOT LIKE 'lease%'", "")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,8 @@ from pyspark.sql import types as T
 FILINGS = T.StructType([T.StructField(n, t) for n, t in (("adsh", T.StringType()), ("cik", T.LongType()), ("name", T.StringType()), ("sic", T.IntegerType()), ("form", T.StringType()), ("period", T.StringType()), ("fy", T.IntegerType()), ("fp", T.StringType()), ("aciks", T.StringType()))])
 PRESENTATION = T.StructType([T.StructField(n, t) for n, t in (("adsh", T.StringType()), ("report", T.IntegerType()), ("line", T.IntegerType()), ("stmt", T.StringType()), ("inpth", T.IntegerType()), ("tag", T.StringType()), ("version", T.StringType()), ("plabel", T.StringType()), ("negating", T.IntegerType()))])
 
+LINES_A_BATCH = 50_000
+
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType, strict: bool = False) -> DataFrame:
     """A tab-separated file with a header and no quoting. Columns are found by name; ``strict`` fails on a malformed line,
@@ -24,24 +28,26 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType, strict: bool
 
 
 def read_archive_member(spark: SparkSession, path: str, member: str) -> DataFrame:
-    """(archive, line_no, line) of a text member of zip archives, one task an archive, in bounded batches."""
+    """(archive, line_no, line) of a text member of zip archives, one task an archive.
+
+    Only the names of the archives pass through Spark; each task opens its archive where it lies and reads
+    the member line by line, so an archive may be larger than memory.
+    """
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for archive, content in zip(b["path"], b["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for archive in b["path"]:
+                store, name = pafs.FileSystem.from_uri(archive)
+                with store.open_input_file(name) as raw, zipfile.ZipFile(raw) as z:
                     if member not in z.namelist():
                         continue
                     with z.open(member) as file:
-                        rows = []
-                        for k, line in enumerate(io.TextIOWrapper(file, encoding="utf-8", errors="replace", newline="\n")):
-                            rows.append((archive, k, line.rstrip("\r\n")))
-                            if len(rows) == 50_000:
-                                yield pd.DataFrame(rows, columns=["archive", "line_no", "line"])
-                                rows = []
-                        yield pd.DataFrame(rows, columns=["archive", "line_no", "line"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(lines, "archive STRING, line_no BIGINT, line STRING")
+                        text = enumerate(io.TextIOWrapper(file, encoding="utf-8", errors="replace", newline="\n"))
+                        while rows := [(archive, k, line.rstrip("\r\n")) for k, line in islice(text, LINES_A_BATCH)]:
+                            yield pd.DataFrame(rows, columns=["archive", "line_no", "line"])
+
+    names = spark.read.format("binaryFile").load(path).select("path")
+    return names.repartition(max(1, names.count())).mapInPandas(lines, "archive STRING, line_no BIGINT, line STRING")
 
 
 def parse_lines(lines: DataFrame, schema: T.StructType, names: list[str]) -> DataFrame:

@@ -19,6 +19,7 @@ EVENTS = T.StructType([T.StructField(n, t) for n, t in (("event_id", T.LongType(
 LATE = "10 minutes"
 
 # States of a job and the states that may follow.
+FIRST = "queued"
 NEXT: dict[str, tuple[str, ...]] = {"queued": ("running",), "running": ("completed", "needs_review", "failed"), "completed": (), "needs_review": (), "failed": ()}
 
 
@@ -58,38 +59,57 @@ def tail(events: DataFrame, after: int) -> DataFrame:
 def advance(state: str | None, seen: str) -> str | None:
     """The state after an event; an event that may not follow changes nothing."""
     if state is None:
-        return seen if seen == "queued" else None
+        return seen if seen == FIRST else None
     return seen if seen in NEXT.get(state, ()) else state
 
 
-def job_states(events: DataFrame) -> DataFrame:
+def _folded(events: dict[int, str]) -> tuple[str | None, int]:
+    """(state, the event that led to it) after all events of a job, in their order."""
+    state, at = None, 0
+    for seq in sorted(events):
+        new = advance(state, events[seq])
+        if new != state:
+            state, at = new, seq
+    return state, at
+
+
+def _longest_path(state: str) -> int:
+    return 1 + max((_longest_path(s) for s in NEXT[state]), default=-1) if NEXT[state] else 0
+
+
+def job_states(events: DataFrame, idle_ms: int = 86_400_000) -> DataFrame:
     """(job_id, status, seq): the guarded state of each job. ``events`` is (job_id, seq, status), batch or stream.
 
-    A batch is folded by group in the order of ``seq``; a stream keeps one small state a job.
+    On a batch every transition is one join and a minimum by job: the first event after the last one that
+    may follow; no task holds a job. A stream keeps the events of a job until it has been idle for
+    ``idle_ms``, so that events that come late, in whatever batch, give the state that a batch gives. Of
+    events with one number the least status counts.
     """
     if not events.isStreaming:
-
-        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-            state, at = None, 0
-            for seq, status in pdf.sort_values("seq")[["seq", "status"]].itertuples(index=False, name=None):
-                new = advance(state, status)
-                if new != state:
-                    state, at = new, seq
-            return pd.DataFrame([(pdf["job_id"].iloc[0], state, at)], columns=["job_id", "status", "seq"])
-
-        return events.groupBy("job_id").applyInPandas(fold, "job_id BIGINT, status STRING, seq BIGINT")
+        once = events.groupBy("job_id", "seq").agg(F.min("status").alias("status"))
+        first = once.groupBy("job_id").agg(F.min(F.when(F.col("status") == FIRST, F.col("seq"))).alias("at"))
+        now = first.select("job_id", F.when(F.col("at").isNotNull(), FIRST).alias("now"), F.coalesce("at", F.lit(0).cast("bigint")).alias("at"))
+        moves = F.create_map(*[x for s, after in NEXT.items() for x in (F.lit(s), F.array(*map(F.lit, after)) if after else F.array().cast("array<string>"))])
+        for _ in range(_longest_path(FIRST)):
+            later = once.join(now, "job_id").where((F.col("seq") > F.col("at")) & F.array_contains(moves[F.col("now")], F.col("status")))
+            step = later.groupBy("job_id").agg(F.min(F.struct("seq", "status")).alias("s"))
+            now = now.join(step, "job_id", "left").select("job_id", F.coalesce("s.status", "now").alias("now"), F.coalesce("s.seq", "at").alias("at"))
+        return now.select("job_id", F.col("now").alias("status"), F.col("at").alias("seq"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        held, at = state.get if state.exists else (None, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seqs, statuses = state.get if state.exists else ([], [])
+        held = dict(zip(seqs, statuses, strict=True))
         for pdf in frames:
-            for seq, status in pdf.sort_values("seq")[["seq", "status"]].itertuples(index=False, name=None):
-                new = advance(held, status)
-                if new != held:
-                    held, at = new, int(seq)
-        state.update((held, at))
-        yield pd.DataFrame([(key[0], held, at)], columns=["job_id", "status", "seq"])
-
-    return events.groupBy("job_id").applyInPandasWithState(step, "job_id BIGINT, status STRING, seq BIGINT", "status STRING, seq BIGINT", "update", "NoTimeout")
+            for seq, status in pdf[["seq", "status"]].itertuples(index=False, name=None):
+                held[int(seq)] = min(status, held.get(int(seq), status))
+        state.update((list(held), list(held.values())))
+        state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame([(key[0], *_folded(held))], columns=["job_id", "status", "seq"])
+
+    return events.groupBy("job_id").applyInPandasWithState(step, "job_id BIGINT, status STRING, seq BIGINT", "seqs ARRAY<BIGINT>, statuses ARRAY<STRING>", "update", "ProcessingTimeTimeout")
 
 
 def sequence(events: DataFrame) -> DataFrame:

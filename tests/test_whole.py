@@ -23,7 +23,7 @@ def _figures(spark, data):
 def test_all_printed_figures_are_parsed(spark, data):
     """Every raw text, by brute force; also those without a reported value."""
     want = _figures(spark, data)
-    got = {r.input_id: r for r in catalogue.QUERIES["parse_all_numbers"](spark, data).collect()}
+    got = {r.input_id: r for r in catalogue.QUERIES["parse_numbers"](spark, data).collect()}
     assert got.keys() == want.keys() and any(x.reported is None for x in want.values())
     for k, x in want.items():
         value, unit, flags = numbers.read_number(x.raw_text)
@@ -36,7 +36,7 @@ def test_figures_with_raw_text_only(spark, tmp_path):
     used = [(k, t, None) for k, (t, _, _) in enumerate(cases)]
     df = spark.createDataFrame([({"r": used},)], "inputs MAP<STRING, ARRAY<STRUCT<input_id: BIGINT, raw_text: STRING, reported: DECIMAL(38,6)>>>")
     df.write.parquet(f"{tmp_path}/metric_values.parquet")
-    got = {r.input_id: (r.value, list(r.flags)) for r in catalogue.QUERIES["parse_all_numbers"](spark, str(tmp_path)).collect()}
+    got = {r.input_id: (r.value, [f for f in r.flags.split(';') if f]) for r in catalogue.QUERIES["parse_numbers"](spark, str(tmp_path)).collect()}
     assert got == {k: (v, f) for k, (_, v, f) in enumerate(cases)}
 
 
@@ -76,7 +76,7 @@ def test_all_order_lines_enter_the_multisets(spark, data):
     net = Counter()
     for r in spark.read.parquet(f"{data}/lineitem.parquet").select("l_linenumber", "l_returnflag", "l_linestatus", "l_quantity").collect():
         net[r.l_returnflag, r.l_linestatus, int(r.l_quantity)] += 1 if r.l_linenumber % 2 else -1
-    got = {(r.l_returnflag, r.l_linestatus, r.quantity): r.missing - r.extra for r in catalogue.QUERIES["multiset_diff_all"](spark, data).collect()}
+    got = {(r.l_returnflag, r.l_linestatus, r.quantity): r.missing - r.extra for r in catalogue.QUERIES["multiset_diff"](spark, data).collect()}
     assert got == {k: n for k, n in net.items() if n}
 
 
@@ -88,5 +88,5 @@ def test_lease_lines_are_judged(spark, data):
         if x:
             columns[s, p].append(abs(x))
     want = {(s, p, k) for s, p, k, x in cells if x and (abs(x) > 10**15 or len(columns[s, p]) >= 5 and abs(x) > 10000 * median(columns[s, p]))}
-    got = {(r.statement_id, r.period_key, r.row_id) for r in catalogue.QUERIES["column_outliers_all"](spark, data).collect()}
+    got = {(r.statement_id, r.period_key, r.row_id) for r in catalogue.QUERIES["column_outliers"](spark, data).collect()}
     assert any(k.startswith("lease") for _, _, k, _ in cells) and want and got == want
