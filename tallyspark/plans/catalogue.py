@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import pipeline, records, statements
+from tallyspark.plans import pieces, pipeline, records, statements
 
-QUERIES = {**statements.QUERIES, **records.QUERIES, **pipeline.QUERIES}
-ORACLES = {**statements.ORACLES, **records.ORACLES, **pipeline.ORACLES}
+QUERIES = {**statements.QUERIES, **records.QUERIES, **pipeline.QUERIES, **pieces.QUERIES}
+ORACLES = {**statements.ORACLES, **records.ORACLES, **pipeline.ORACLES, **pieces.ORACLES}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
