@@ -24,6 +24,8 @@ from tallyspark.session import cut
 
 #: Neighbours of a node from which on its list is split.
 HUB = 10_000
+#: Links a partition of the lists holds. Lists that do not fill the session's partitions are left to adaptive execution.
+LINKS_A_PART = 200_000
 #: Begins and ends the first part of a branch's name; no node has it.
 BRANCH = "\u0001"
 
@@ -68,19 +70,22 @@ def in_place(df: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, hub: int = HUB, level: int = 0) -> DataFrame:
     """(node, component) for every node of the edges (u, v)."""
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     once = cut(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    if once.isEmpty():
+    links = once.count()
+    if not links:
         return once.select(F.col("u").alias("node"), F.col("v").alias("component"))
     both = once.unionByName(once.select(F.col("v").alias("u"), F.col("u").alias("v")))
     lists = both if _hubs(both, hub).isEmpty() else split_hubs(both, hub, level)
-    adjacent = in_place(lists.repartition(parts, "u"))  # the one exchange of the lists; later joins and aggregates by u find them in place
+    parts = -(-links // LINKS_A_PART)
+    least = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = (lambda df, by: df.repartition(parts, by)) if parts >= least else (lambda df, by: df)
+    adjacent = (in_place if parts >= least else cut)(placed(lists, "u"))  # the one exchange of the lists; later joins and aggregates by u find them in place
     seeds = adjacent.groupBy("u").agg(F.min(_rank("v")).alias("least")).where(_rank("u") < F.col("least"))
     frontier = cut(seeds.select(F.col("u").alias("node"), F.col("u").alias("label")))
     owned, meetings = frontier, None
     while not frontier.isEmpty():
         reached = adjacent.join(frontier, adjacent["u"] == frontier["node"]).select(F.col("v").alias("node"), "label").distinct()
-        step = cut(reached.repartition(parts, "node").join(owned.select("node", F.col("label").alias("owner")), "node", "left"))
+        step = cut(placed(reached, "node").join(owned.select("node", F.col("label").alias("owner")), "node", "left"))
         frontier = step.where("owner IS NULL").groupBy("node").agg(F.min(_rank("label"))["label"].alias("label"))
         held = step.where("owner IS NOT NULL AND owner <> label").select(F.col("owner").alias("u"), F.col("label").alias("v"))
         rivals = step.where("owner IS NULL").select("node", F.col("label").alias("v")).join(frontier.select("node", F.col("label").alias("u")), "node").where("u <> v").select("u", "v")

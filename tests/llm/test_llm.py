@@ -100,6 +100,24 @@ def test_hubs_are_split(spark):
     assert {frozenset(g) for g in got.values()} == _union_find(edges) and all(components.BRANCH not in n for g in got.values() for n in g)
 
 
+def test_lists_stay_in_place(spark, monkeypatch):
+    """Lists that fill the partitions are exchanged once: a step joins its frontier to them as they lie."""
+    monkeypatch.setattr(components, "LINKS_A_PART", 5)
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(0, 60, 2)] + [("n0", "n2"), ("n2", "n4")]
+    got = {}
+    for r in components.components(spark.createDataFrame(edges, "u STRING, v STRING")).collect():
+        got.setdefault(r.component, set()).add(r.node)
+    assert {frozenset(g) for g in got.values()} == _union_find(edges)
+    lists = components.in_place(spark.createDataFrame(edges, "u STRING, v STRING").repartition(8, "u"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lists.join(spark.createDataFrame([("n0", "x")], "node STRING, label STRING"), lists["u"] == F.col("node"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange") == 1
+
+
 def test_components_empty(spark):
     assert components.components(spark.createDataFrame([], "u STRING, v STRING")).count() == 0
 
