@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import labels, numbers, periods, units
-from tallyspark.operators import checks, dataset, documents, evaluate, frame, locate, mapping, split, tables
+from tallyspark.operators import checks, dataset, documents, evaluate, frame, label_mapping, locate, mapping, shred, split, tables
 from tallyspark.plans.fixtures import STAR_SQL, star
 from tallyspark.session import table
 
@@ -276,11 +276,36 @@ def frame_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return frame.lookup(rows, "total_assets", "balance", F.to_date(F.lit("1997-12-31")), F.lit(None).cast("int")).select("doc_id", "period_key", F.col("value").cast("double").alias("value"))
 
 
+def _statement_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of the gold statements, with totals, headings and checks by position; the aliases; and the sums by which totals are known."""
+    shredded = shred.shred_files(table(spark, folder, "gold_files"), ("statements.item.rows.item.label", "statements.item.rows.item.values"))
+    at = [F.concat_ws("/", "file_id", "statement_pos").alias("statement_id"), F.col("row_pos").cast("string").alias("row_id")]
+    figures = shred.values(shredded).where("value IS NOT NULL").select(*at, F.concat_ws("=", "period_key", "value").alias("x")).groupBy("statement_id", "row_id").agg(F.array_join(F.sort_array(F.collect_list("x")), ",").alias("figures"))
+    flat = shred.rows(shred.shred_files(table(spark, folder, "gold_files"), ("statements.item.rows.item.label", "statements.item.rows.item.canonical_id", "statements.item.rows.item.extra")))
+    n = flat.select(*at, F.col("row_pos").alias("ordinal"), labels.squash(labels.simple_label(F.col("label"))).alias("squashed"))
+    n = n.withColumns({"type": F.lit("any"), "has_values": F.col("ordinal") % 5 != 2, "is_total": F.col("ordinal") % 4 == 3})
+    below = Window.partitionBy("statement_id").orderBy("ordinal").rowsBetween(1, Window.unboundedFollowing)
+    parent = F.when(~F.col("is_total"), F.min(F.when(F.col("is_total") & F.col("has_values"), F.col("ordinal"))).over(below))
+    n = n.withColumns({"parent_id": parent.cast("string"), "checked": F.expr("ordinal % 8 = 3"), "confirmed": F.expr("ordinal % 8 = 3 OR ordinal % 3 = 0")}).join(figures, ["statement_id", "row_id"], "left")
+    a = table(spark, folder, "taxonomy_aliases").join(table(spark, folder, "taxonomy_items"), "item_id")
+    a = a.select("item_id", F.lit("any").alias("type"), labels.squash(labels.simple_label(F.col("alias"))).alias("squashed"), "within", "subtotal")
+    return n, a, spark.createDataFrame([(i, list(p)) for i, p in SUMS], "item_id STRING, needs ARRAY<STRING>")
+
+
+#: Totals known by parts that they add up, for the query below.
+SUMS = (("short_assets", ("cash_at_hand",)), ("running_result", ("wear_charge",)), ("owner_funds", ("kept_profits",)))
+
+
+def mapped_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of all gold statements mapped to items."""
+    return label_mapping.map_rows(*_statement_rows(spark, folder))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     net_profit_tie, eps_status, grid_cells, column_periods, table_hierarchy, nearest_column, contained, column_centres, cell_box, reversed_words, token_classes, split_notes,
     unit_signals, digit_forms, header_dates, placeholder_tokens, document_keys, reading_variants, text_layers,
     joined_once, set_recalls, cell_map, text_lengths, out_of_order, required_parts, owner_sample, top_labels, run_agreement, scanned_breakdown, document_status, first_reasons, mapping_sources,
-    unmapped_rows, frame_lookup,
+    unmapped_rows, frame_lookup, mapped_rows,
 )}
 
 # --- the same in SQL -------------------------------------------------------------------------------
@@ -300,7 +325,8 @@ def _quoted(text: str) -> str:
 
 
 def _oracles() -> dict[str, str]:
-    from tallyspark.plans.records import _CURRENCY, _SUFFIXES, _key
+    from tallyspark.plans.pipeline import _P4
+    from tallyspark.plans.records import _CURRENCY, _SUFFIXES, _key, _simple
 
     assert _SUFFIXES
     cue = "CASE " + " ".join(f"WHEN contains(lower(unit_text), '{_quoted(c)}') THEN '{_quoted(c)}'" for c, _ in _CUES) + " END"
@@ -338,6 +364,28 @@ def _oracles() -> dict[str, str]:
         "document_status": "SELECT doc_id, CASE WHEN bool_and(scale IS NOT NULL) AND bool_and(CASE WHEN consolidated THEN TRUE ELSE len(list_filter(COALESCE(flags, []), lambda f: f <> 'low_selectivity')) = 0 END) THEN 'completed' ELSE 'needs_review' END AS status FROM statements GROUP BY 1",
         "first_reasons": _S + " SELECT CASE WHEN cik IS NULL THEN 'no_number' WHEN issuer IS NULL THEN 'no_name' WHEN NOT verified THEN 'not_verified' END AS reason, COUNT(*) AS n FROM so GROUP BY 1",
         "mapping_sources": "WITH ex AS (SELECT DISTINCT ON (example_id) * FROM audit_examples ORDER BY example_id) SELECT CASE WHEN role IS NOT NULL AND tag IS NOT NULL THEN 'alias_in_section' WHEN abstention_reason IS NOT NULL AND canonical_id IS NOT NULL THEN 'section_conflict' WHEN statement = 'cash_flow' THEN 'alias_total_unconfirmed' WHEN canonical_id IS NOT NULL THEN 'alias' WHEN label IS NOT NULL THEN 'anchor' ELSE 'no_alias_no_anchor' END AS how, COUNT(*) AS n FROM ex GROUP BY 1",
+        "mapped_rows": _P4 + f""", fg AS (SELECT file_id, sp, rp, string_agg(k || '=' || x, ',' ORDER BY k || '=' || x) AS figures FROM v WHERE x IS NOT NULL GROUP BY 1, 2, 3),
+n0 AS (SELECT file_id || '/' || sp AS st, rp, replace({_simple("json_extract_string(r, '$.label')")}, ' ', '') AS sq, rp % 5 <> 2 AS hv, rp % 4 = 3 AS tot, rp % 8 = 3 AS chk, rp % 8 = 3 OR rp % 3 = 0 AS conf, figures FROM r LEFT JOIN fg USING (file_id, sp, rp)),
+n AS (SELECT *, CASE WHEN NOT tot THEN MIN(CASE WHEN tot AND hv THEN rp END) OVER (PARTITION BY st ORDER BY rp ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) END AS par, lag(sq) OVER (PARTITION BY st ORDER BY rp) AS ab, NOT lag(hv) OVER (PARTITION BY st ORDER BY rp) AS uh FROM n0),
+al AS (SELECT DISTINCT item_id, replace({_simple('alias')}, ' ', '') AS sq, within, subtotal FROM taxonomy_aliases JOIN taxonomy_items USING (item_id)),
+ad AS (SELECT st, rp, list({{'i': item_id, 'w': within, 's': subtotal}} ORDER BY item_id) AS a FROM n JOIN al USING (sq) WHERE hv AND n.sq <> '' GROUP BY 1, 2),
+fc AS (SELECT st, par AS rp, arg_min({{'ab': ab, 'uh': COALESCE(uh, FALSE), 'sq': sq}}, rp) AS f FROM n WHERE par IS NOT NULL GROUP BY 1, 2),
+hs AS (SELECT n.st, n.rp, al.item_id, length(al.sq) AS m FROM n JOIN fc ON fc.st = n.st AND fc.rp = n.rp JOIN al ON al.subtotal AND al.sq <> '' AND CASE WHEN f.uh THEN al.sq = f.ab ELSE starts_with(f.sq, al.sq) AND f.sq <> al.sq END WHERE tot AND hv AND chk),
+sa AS (SELECT st, rp, 'section_heading' AS kind, MIN(item_id) AS item FROM (SELECT *, MAX(m) OVER (PARTITION BY st, rp) AS mm FROM hs) WHERE m = mm GROUP BY 1, 2 HAVING COUNT(DISTINCT item_id) = 1),
+k1 AS (SELECT n.st, n.rp, n.par, n.conf, n.figures, COALESCE(a, []) AS a, sa.item AS sec FROM n LEFT JOIN ad ON ad.st = n.st AND ad.rp = n.rp LEFT JOIN sa ON sa.st = n.st AND sa.rp = n.rp WHERE hv),
+p1 AS (SELECT st, rp, CASE WHEN len(a) > 1 THEN NULL WHEN len(a) = 1 AND sec <> a[1].i THEN NULL WHEN len(a) = 1 AND a[1].s AND NOT conf THEN NULL WHEN len(a) = 1 THEN a[1].i ELSE sec END AS item FROM k1),
+su(item, need) AS (VALUES {', '.join(f"('{i}', '{p[0]}')" for i, p in SUMS)}),
+sm AS (SELECT DISTINCT n.st, n.rp, 'sum_of_mapped' AS kind, su.item FROM n JOIN n c ON c.st = n.st AND c.par = n.rp JOIN p1 ON p1.st = c.st AND p1.rp = c.rp JOIN su ON su.need = p1.item WHERE n.tot AND n.hv AND n.chk),
+an AS (SELECT st, rp, list({{'k': kind, 'i': item}} ORDER BY kind, item) AS an FROM (SELECT * FROM sa UNION SELECT * FROM sm) GROUP BY 1, 2),
+k2 AS (SELECT k1.st, k1.rp, k1.par, k1.conf, k1.figures, k1.a AS a0, COALESCE(an, []) AS an, pp.item AS sc, list_filter(k1.a, lambda y: y.w = pp.item) AS wi FROM k1 LEFT JOIN an ON an.st = k1.st AND an.rp = k1.rp LEFT JOIN p1 pp ON pp.st = k1.st AND pp.rp = k1.par),
+k3 AS (SELECT *, CASE WHEN sc IS NOT NULL AND len(a0) > 1 AND len(wi) = 1 THEN wi ELSE a0 END AS a, sc IS NOT NULL AND len(a0) > 1 AND len(wi) = 1 AS narrow, list_sort(list_distinct(list_transform(an, lambda y: y.i))) AS ai FROM k2),
+k4 AS (SELECT *, CASE WHEN sc IS NOT NULL AND len(a0) = 1 AND a[1].w IS NOT NULL AND a[1].w <> sc AND sc IN (SELECT within FROM taxonomy_items WHERE within IS NOT NULL) THEN 'section_conflict:' || a[1].i || '|section=' || sc WHEN len(a) > 1 THEN 'alias_multiple:' || array_to_string(list_transform(a, lambda y: y.i), '|') WHEN len(ai) > 1 THEN 'anchor_conflict:' || array_to_string(list_transform(an, lambda y: y.k || '=' || y.i), '|') WHEN len(a) = 1 AND ai[1] <> a[1].i THEN 'anchor_conflict:alias=' || a[1].i || '|' || an[1].k || '=' || ai[1] WHEN len(a) = 1 AND a[1].s AND NOT conf THEN 'alias_total_unconfirmed:' || a[1].i WHEN len(a) = 1 THEN CASE WHEN narrow THEN 'alias_in_section:' || sc ELSE 'alias' END WHEN len(ai) = 1 THEN 'anchor:' || an[1].k ELSE 'no_alias_no_anchor' END AS ev FROM k3),
+k5 AS (SELECT *, CASE WHEN ev = 'alias' OR starts_with(ev, 'alias_in_section') THEN a[1].i WHEN starts_with(ev, 'anchor:') THEN ai[1] END AS item FROM k4),
+k6 AS (SELECT *, COALESCE(item, CASE WHEN starts_with(ev, 'alias_total_unconfirmed:') THEN substring(ev, 25) END) AS cl FROM k5),
+g AS (SELECT st, cl, COUNT(*) AS n, MIN(COALESCE(figures, '')) = MAX(COALESCE(figures, '')) AS same, arg_min(rp, CASE WHEN item IS NOT NULL THEN rp END) FILTER (item IS NOT NULL) AS held FROM k6 WHERE cl IS NOT NULL GROUP BY 1, 2),
+ou AS (SELECT o.st, o.cl, o.rp FROM k6 o JOIN g ON g.st = o.st AND g.cl = o.cl JOIN k6 c ON c.st = o.st AND c.cl = o.cl AND c.par = o.rp WHERE g.n > 1 AND NOT g.same GROUP BY o.st, o.cl, o.rp, g.n HAVING COUNT(*) = g.n - 1),
+z AS (SELECT k6.st, k6.rp, k6.item, k6.ev, CASE WHEN g.n > 1 AND g.same AND item IS NOT NULL AND k6.rp <> g.held THEN 'repeat_of:' || g.held || ':' || k6.cl WHEN g.n > 1 AND NOT g.same AND ou.rp IS NULL THEN 'duplicate:' || k6.cl END AS lost FROM k6 LEFT JOIN g ON g.st = k6.st AND g.cl = k6.cl LEFT JOIN ou ON ou.st = k6.st AND ou.cl = k6.cl AND ou.rp = k6.rp)
+SELECT st AS statement_id, CAST(rp AS VARCHAR) AS row_id, CASE WHEN lost IS NULL THEN item END AS item_id, COALESCE(lost, ev) AS evidence, CASE WHEN lost IS NOT NULL THEN 'ambiguous' WHEN ev = 'no_alias_no_anchor' THEN 'unmapped' WHEN item IS NULL THEN 'ambiguous' END AS flag FROM z""",
         "unmapped_rows": STAR_SQL + " SELECT statement_id, COUNT(DISTINCT CASE WHEN item IS NULL THEN row_id END) AS unmapped FROM figures GROUP BY 1",
         "frame_lookup": STAR_SQL + " SELECT doc_id, period_key, CAST(value AS DOUBLE) AS value FROM frame WHERE canonical_id = 'total_assets' AND type = 'balance' AND end_date = DATE '1997-12-31' AND months IS NULL",
     }
