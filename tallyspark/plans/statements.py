@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators import checks, frame, mapping, metrics, sums
+from tallyspark.operators.taxonomy import STATEMENT
 from tallyspark.plans.fixtures import LINES, STAR_SQL, star
 from tallyspark.session import table
 
@@ -59,7 +60,8 @@ def metric_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 def metrics_full(spark: SparkSession, folder: str) -> DataFrame:
     """Everything: 21 metrics with units and flags."""
-    return _metrics(spark, folder)
+    out = _metrics(spark, folder)
+    return out.select("doc_id", "metric_id", F.date_format("end_date", "yyyy-MM-dd").alias("end_date"), F.col("months").cast("int").alias("months"), "unit", F.round("value", 9).alias("value"), F.array_join("flags", ";").alias("flags"))
 
 
 def identity_checks(spark: SparkSession, folder: str) -> DataFrame:
@@ -266,6 +268,91 @@ def _sql_flags() -> str:
     return STAR_SQL + _FACTS + " " + " UNION ALL ".join([row("current_ratio", "balance", current), row("revenue_growth", "income", growth), row("total_debt", "balance", debt), row("roa", "income", roa, annual=True)])
 
 
+# All metrics with all flags. The parts of a formula as SQL: (flags, statement it is read from, whether anything was read).
+_Part = tuple[list[str], str, str]
+_JOINED = "array_to_string(list_transform(list_sort(list_filter(list_transform(range(len(l)), lambda i: {'i': i, 'x': l[i + 1]}), lambda e: e.x IS NOT NULL AND list_position(l, e.x) = e.i + 1)), lambda e: e.x), ';')"
+
+
+def _nation(rule: str) -> str:
+    return f"d.doc_id IN (SELECT doc_id FROM stmts WHERE {rule})"
+
+
+def _sql_read(side: str, item: str, role: str | None = None) -> _Part:
+    flags = _READ(side, item, role or item, STATEMENT[item])
+    if item == "inventories":
+        flags.append(f"CASE WHEN COALESCE({side}.n_{item}, 0) > 0 AND {_nation('nk % 3 = 1')} THEN 'comma_decimal' END")
+    return flags, STATEMENT[item], f"COALESCE({side}.n_{item}, 0) > 0"
+
+
+def _sql_mean(item: str) -> _Part:
+    flags, kind, any_ = _sql_read("c", item)
+    usable = f"c.{item} IS NOT NULL AND d.months IS NOT NULL"
+    n = f"COALESCE(o.n_{item}, 0)"
+    own = f"CASE WHEN {usable} AND {n} > 0 AND {_nation('nk % 3 = 1')} THEN 'comma_decimal' END" if item == "inventories" else "NULL"
+    more = [f"CASE WHEN c.{item} IS NOT NULL AND d.months IS NULL THEN 'period_not_a_duration' END", f"CASE WHEN {usable} AND {n} > 1 THEN 'duplicate_input:{item}@opening' END", f"CASE WHEN {usable} AND {n} = 0 THEN 'average_fallback_to_closing' END", own]
+    return [*flags, *more], kind, f"({any_} OR ({usable} AND {n} > 0))"
+
+
+def _sql_denominator(x: str, y: str) -> _Part:
+    return [f"CASE WHEN {_dbl(y)} = 0 THEN 'undefined_zero_denominator' END", f"CASE WHEN ({x}) IS NOT NULL AND {_dbl(y)} < 0 THEN 'undefined_negative_denominator' END"], "", ""
+
+
+_DAYS: _Part = (["CASE WHEN d.months IS NULL THEN 'period_not_a_duration' END"], "", "")
+
+
+def _sql_days(stock: str, flow: str) -> list[_Part]:
+    return [_sql_mean(stock), _sql_read("w", flow), _sql_denominator(_avg(stock), f"w.{flow}"), _DAYS]
+
+
+def _sql_growth(item: str) -> list[_Part]:
+    return [_sql_read("w", item), _sql_read("p", item, f"{item}@prior_period"), _sql_denominator(f"w.{item}", f"p.{item}")]
+
+
+_CLOSING = lambda *items: [_sql_read("c", i) for i in items]
+_EARNED = [_sql_read("w", "operating_income"), _sql_read("w", "depreciation_amortization")]
+_SQL_PARTS: dict[str, list[_Part]] = {
+    "ebitda": _EARNED, "roa": [_sql_read("w", "net_income"), _sql_mean("total_assets"), _sql_denominator("w.net_income", _avg("total_assets"))],
+    "roe": [_sql_read("w", "net_income_attributable_parent"), _sql_mean("equity_attributable_parent"), _sql_denominator("w.net_income_attributable_parent", _avg("equity_attributable_parent"))],
+    "current_ratio": [*_CLOSING("total_current_assets", "total_current_liabilities"), _sql_denominator("c.total_current_assets", "c.total_current_liabilities")],
+    "quick_ratio": [*_CLOSING(*metrics.QUICK, "total_current_liabilities"), _sql_denominator("c.cash_and_equivalents + c.short_term_investments + c.trade_receivables", "c.total_current_liabilities")],
+    "cash_ratio": [*_CLOSING("cash_and_equivalents", "total_current_liabilities"), _sql_denominator("c.cash_and_equivalents", "c.total_current_liabilities")],
+    "total_debt": _CLOSING(*metrics.DEBT), "debt_to_equity": [*_CLOSING(*metrics.DEBT, "total_equity"), _sql_denominator(_DEBT, "c.total_equity")], "net_debt": _CLOSING(*metrics.DEBT, *metrics.CASH),
+    "net_debt_to_ebitda": [*_CLOSING(*metrics.DEBT, *metrics.CASH), *_EARNED, _sql_denominator(_NET, _EBITDA)],
+    "interest_coverage": [_sql_read("w", "operating_income"), _sql_read("w", "finance_costs"), _sql_denominator("w.operating_income", "w.finance_costs")],
+    "asset_turnover": [_sql_read("w", "revenue"), _sql_mean("total_assets"), _sql_denominator("w.revenue", _avg("total_assets"))],
+    "dso": _sql_days("trade_receivables", "revenue"), "dio": _sql_days("inventories", "cost_of_revenue"), "dpo": _sql_days("trade_payables", "cost_of_revenue"),
+    "cash_conversion_cycle": [*_sql_days("trade_receivables", "revenue"), *_sql_days("inventories", "cost_of_revenue"), *_sql_days("trade_payables", "cost_of_revenue")],
+    "revenue_growth": _sql_growth("revenue"), "net_income_growth": _sql_growth("net_income"),
+}
+_UNITS = {m.id: m.unit for m in metrics.REGISTRY}
+
+
+def _sql_full() -> str:
+    out = []
+    for m, parts in _SQL_PARTS.items():
+        anchor, value, mixed, annual = _SQL_METRICS[m]
+        read = {k: "(" + " OR ".join(c for _, kind, c in parts if kind == k) + ")" for k in {kind for _, kind, _ in parts if kind}}
+        both = f"{read['income']} AND {read['balance']}" if len(read) > 1 else "FALSE"
+        amount = _UNITS[m] == "currency"
+        currencies, scales = f"({both} AND h.ic IS DISTINCT FROM h.bc)", f"({both} AND h.isc <> h.bsc)"
+        notes = [f"CASE WHEN {currencies} THEN 'currency_mismatch' END", f"CASE WHEN {scales} THEN 'scale_mismatch' END"]
+        if "balance" in read and (amount or len(read) > 1):
+            notes.append(_UNIT.format(when=f"{read['balance']} AND {'TRUE' if amount else both} AND NOT {currencies}"))
+        flags = [f for p, _, _ in parts for f in p] + notes
+        joined, figure = _JOINED, f"CASE WHEN {_MIXED_NULL} THEN NULL ELSE {value} END" if mixed else value
+        if annual:
+            joined = f"CASE WHEN months = 12 THEN {joined} WHEN months IS NULL THEN 'period_not_a_duration' WHEN months > 12 THEN 'period_longer_than_year' ELSE 'interim_not_annualized' END"
+            figure = f"CASE WHEN d.months = 12 THEN {figure} END"
+        out.append(f"SELECT doc_id, '{m}' AS metric_id, end_date, months, '{_UNITS[m]}' AS unit, value, {joined} AS flags FROM (SELECT d.doc_id, CAST(d.months AS INTEGER) AS months, strftime(d.end_date, '%Y-%m-%d') AS end_date, round({figure}, 9) AS value, [{', '.join(flags)}] AS l {_WIDE_JOIN} WHERE d.anchor = '{anchor}')")
+    part = lambda t, item: [f"CASE WHEN {t}.n > 1 THEN 'duplicate_input:{item}' END", f"CASE WHEN {t}.mi AND {t}.v <> 0 THEN 'sign_unexpected' END", f"CASE WHEN {t}.n IS NULL THEN 'missing_input:{item}' END"]
+    for m, item in metrics.MARGINS:
+        x, y = "CAST(CASE WHEN a.n = 1 THEN a.v END AS DOUBLE)", "CAST(CASE WHEN b.n = 1 THEN b.v END AS DOUBLE)"
+        flags = [*part("a", item), *part("b", "revenue"), f"CASE WHEN {y} = 0 THEN 'undefined_zero_denominator' END", f"CASE WHEN {x} IS NOT NULL AND {y} < 0 THEN 'negative_base' END"]
+        out.append(f"SELECT doc_id, '{m}' AS metric_id, end_date, months, 'ratio' AS unit, value, {_JOINED} AS flags FROM (SELECT sp.doc_id, CAST(sp.months AS INTEGER) AS months, strftime(sp.end_date, '%Y-%m-%d') AS end_date, round(CASE WHEN {y} <> 0 THEN {x} / {y} END, 9) AS value, list_concat(sp.flags, [{', '.join(flags)}]) AS l FROM sp LEFT JOIN mm a ON a.statement_id = sp.statement_id AND a.period_key = sp.period_key AND a.canonical_id = '{item}' LEFT JOIN mm b ON b.statement_id = sp.statement_id AND b.period_key = sp.period_key AND b.canonical_id = 'revenue')")
+    margin = ", mm AS (SELECT statement_id, period_key, canonical_id, COUNT(*) AS n, MAX(reported) AS v, bool_or(reported < 0) AS mi FROM frame WHERE type = 'income' GROUP BY ALL), sp AS (SELECT DISTINCT s.doc_id, s.statement_id, s.flags, f.period_key, f.end_date, f.months FROM firsts s JOIN figures f USING (statement_id) WHERE s.type = 'income')"
+    return STAR_SQL + _FACTS + margin + " " + " UNION ALL ".join(out)
+
+
 def _sql_check(kind: str, total: str, adds: tuple[str, ...], subs: tuple[str, ...], statement: str, where: str) -> str:
     parts = [total, *adds, *subs]
     sub = " ".join(f"LEFT JOIN m m{k} ON m{k}.statement_id = sp.statement_id AND m{k}.period_key = sp.period_key AND m{k}.canonical_id = '{i}'" for k, i in enumerate(parts))
@@ -302,7 +389,7 @@ ORACLES: dict[str, str] = {
     "duplicate_rows": STAR_SQL + " SELECT statement_id, period_key, canonical_id, COUNT(*) AS n FROM frame GROUP BY 1, 2, 3 HAVING COUNT(*) > 1",
     "margins": _SQL_MARGINS, "liquidity": _sql_metrics(LIQUIDITY), "leverage": _sql_metrics(LEVERAGE), "returns": _sql_metrics(RETURNS), "turnover_days": _sql_metrics(DAYS), "growth": _sql_metrics(GROWTH),
     "leverage_with_leases": _sql_metrics(("total_debt", "debt_to_equity"), _DEBT + " + c.lease_liabilities_current + c.lease_liabilities_non_current"),
-    "metric_flags": _sql_flags(),
+    "metric_flags": _sql_flags(), "metrics_full": _sql_full(),
     "identity_checks": _SQL_CHECKS + " SELECT * FROM checks",
     "identity_status": _SQL_CHECKS + " SELECT kind, status, COUNT(*) AS n FROM checks GROUP BY 1, 2",
     "period_outliers": STAR_SQL + """, c AS (SELECT statement_id, row_id, period_key, CASE WHEN row_id = 'net_income' AND period_key = 'FY1996' THEN v * 5000 ELSE v END AS r FROM figures)
