@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import labels, numbers, periods, units
-from tallyspark.operators import checks, dataset, documents, evaluate, frame, label_mapping, locate, mapping, shred, split, tables
+from tallyspark.operators import checks, continuation, dataset, documents, evaluate, frame, label_mapping, locate, mapping, scoring, shred, split, tables
 from tallyspark.plans.fixtures import STAR_SQL, star
 from tallyspark.session import table
 
@@ -292,6 +292,90 @@ def _statement_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     return n, a, spark.createDataFrame([(i, list(p)) for i, p in SUMS], "item_id STRING, needs ARRAY<STRING>")
 
 
+# --- readings against gold, tags, parts ---------------------------------------------------------------
+
+
+def _readings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Printed figures of the gold statements, and a reading of them that lost rows, misread figures and swapped labels."""
+    shredded = shred.shred_files(table(spark, folder, "gold_files"), ("statements.item.rows.item.values",))
+    at = [F.concat_ws("/", "file_id", "statement_pos").alias("key"), F.col("row_pos").cast("string").alias("row"), F.col("row_pos").alias("ordinal")]
+    figures = shred.values(shredded).select(*at, "period_key", F.expr("try_cast(value AS DECIMAL(20,0))").alias("value")).dropDuplicates(["key", "row", "period_key"])
+    flat = shred.rows(shred.shred_files(table(spark, folder, "gold_files"), ("statements.item.rows.item.label", "statements.item.rows.item.canonical_id", "statements.item.rows.item.extra")))
+    named = flat.select(at[0], at[1], labels.squash(labels.simple_label(F.col("label"))).alias("label"))
+    gold = figures.join(named, ["key", "row"], "left").withColumn("confirmed", F.col("ordinal") % 6 != 5)
+    read = gold.where("ordinal % 7 <> 3").withColumns({"value": F.when(F.col("ordinal") % 5 == 1, -F.col("value")).otherwise(F.col("value")), "label": F.when(F.col("ordinal") % 9 == 2, F.lit("othercaption")).otherwise(F.col("label"))})
+    return gold, read.drop("confirmed")
+
+
+def statement_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every gold statement scored against a faulty reading of it."""
+    return scoring.statement_scores(*_readings(spark, folder))
+
+
+def resolved_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """Tags of all examples resolved by a list of the tags that name one item."""
+    e = table(spark, folder, "audit_examples").dropDuplicates(["example_id"])
+    ids = table(spark, folder, "taxonomy_items").select(F.col("item_id").alias("canonical_id"))
+    named = e.where("tag IS NOT NULL").join(mapping.small(ids), "canonical_id").groupBy("tag", "statement").agg(F.min("canonical_id").alias("a"), F.max("canonical_id").alias("b"))
+    entries = named.select("tag", "statement", F.when(F.col("a") == F.col("b"), F.col("a")).alias("canonical_id"), F.when(F.col("a") != F.col("b"), "several_items").alias("abstention_reason"), (F.length("tag") % 5 == 0).alias("requires_companion"))
+    policies = spark.createDataFrame([("outside_crosswalk", "custom", "own_extension"), ("negative_control", "us-gaap", "control")], "kind STRING, scope STRING, reason STRING")
+    kind = F.when(F.length("example_id") % 11 == 0, "unknown").when(F.col("example_id").endswith("7"), "negative_control").otherwise("source")
+    rows = e.select("example_id", "tag", "statement", F.substring_index("tag", ":", 1).alias("scope"), kind.alias("role"), F.col("canonical_id").isNotNull().alias("companion"))
+    return scoring.resolve_tags(rows, entries, policies).select("example_id", "outcome", "canonical_id", "reason")
+
+
+def closing_identities(spark: SparkSession, folder: str) -> DataFrame:
+    s, p, li, c = star(spark, folder)
+    first = frame.primary_statements(s).where("type = 'balance'")
+    rows = frame.frame_rows(first, p, li, c)
+    out = scoring.closing_identity(rows)
+    return out.select("statement_id", "period_key", "status", F.col("actual").cast("double").alias("actual"), F.col("expected").cast("double").alias("expected"))
+
+
+def sibling_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines whose price another order of the same part and quantity has too."""
+    l = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("type"), F.col("l_partkey").cast("string").alias("period_key"), F.col("l_linenumber").alias("row_id"), F.floor("l_extendedprice").cast("bigint").alias("amount"))
+    o = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey")
+    of = l.join(o, "doc_id")
+    # the next order of the customer is the sibling
+    following = o.select("doc_id", F.lead("doc_id").over(Window.partitionBy("o_custkey").orderBy("doc_id")).alias("sibling_of")).where("sibling_of IS NOT NULL")
+    others = of.join(following, "doc_id").select("doc_id", "sibling_of", "type", F.lit("x").alias("period_key"), F.col("amount") % 500)
+    others = others.toDF("doc_id", "sibling_of", "type", "period_key", "amount")
+    cells = l.select("doc_id", "type", F.lit("x").alias("period_key"), "row_id", (F.col("amount") % 500).alias("amount"))
+    return scoring.sibling_cells(cells, others).select("doc_id", "type", "row_id", "amount")
+
+
+def merged_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders of a customer as parts of a statement: the next continues it where the date is close and the status the same."""
+    o = table(spark, folder, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), F.col("o_orderkey").cast("string").alias("part_id"), F.col("o_orderstatus").alias("type"), F.datediff("o_orderdate", F.lit("1990-01-01")).alias("day"), "o_orderkey")
+    page = F.floor(F.col("day") / 200).cast("int")
+    parts = o.select("doc_id", "part_id", "type", F.lit("g").alias("grp"), page.alias("first_page"), page.alias("last_page"), F.col("o_orderkey").alias("place"), F.create_map(F.lit("a"), F.lit(10.0)).alias("centres"), F.lit(100.0).alias("page_width"), (F.col("o_orderkey") % 5 == 0).alias("closed"))
+    return continuation.merged_parts(parts)
+
+
+def reading_order(spark: SparkSession, folder: str) -> DataFrame:
+    l = _lines(spark, folder)
+    return continuation.reading_order(l.select(F.col("t").alias("page"), F.concat_ws("-", "t", "r", "p", "q").alias("line_id"), F.col("q").alias("top"), F.col("r").alias("left"))).select("page", "line_id", "place")
+
+
+def first_seen(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts in orders of three flags, each as the first flag has it."""
+    l = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("part"), "l_returnflag", "l_suppkey")
+    lists = [l.where(F.col("l_returnflag") == f).groupBy("part").agg(F.max("l_suppkey").alias("supplier")).withColumn("flag", F.lit(f)) for f in ("R", "A", "N")]
+    return continuation.first_seen(lists, ["part"])
+
+
+def oldest_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The open order that has waited longest; one row is the operator's own."""
+    o = table(spark, folder, "orders").select(F.col("o_orderkey").alias("job_id"), F.to_date("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status"))
+    return continuation.oldest(o, "O").select("job_id")
+
+
+def edition_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    s = _names(spark, folder).where("issuer IS NOT NULL").select(F.col("source_id").alias("doc_id"), "language", labels.issuer_key(F.col("issuer")).alias("issuer"), "fiscal_year", "period")
+    return continuation.edition_pairs(s, ["issuer", "fiscal_year", "period"])
+
+
 #: Totals known by parts that they add up, for the query below.
 SUMS = (("short_assets", ("cash_at_hand",)), ("running_result", ("wear_charge",)), ("owner_funds", ("kept_profits",)))
 
@@ -305,7 +389,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     net_profit_tie, eps_status, grid_cells, column_periods, table_hierarchy, nearest_column, contained, column_centres, cell_box, reversed_words, token_classes, split_notes,
     unit_signals, digit_forms, header_dates, placeholder_tokens, document_keys, reading_variants, text_layers,
     joined_once, set_recalls, cell_map, text_lengths, out_of_order, required_parts, owner_sample, top_labels, run_agreement, scanned_breakdown, document_status, first_reasons, mapping_sources,
-    unmapped_rows, frame_lookup, mapped_rows,
+    unmapped_rows, frame_lookup, mapped_rows, statement_scores, resolved_tags, closing_identities, sibling_cells, merged_parts, reading_order, first_seen, oldest_order, edition_pairs,
 )}
 
 # --- the same in SQL -------------------------------------------------------------------------------
@@ -386,6 +470,19 @@ g AS (SELECT st, cl, COUNT(*) AS n, MIN(COALESCE(figures, '')) = MAX(COALESCE(fi
 ou AS (SELECT o.st, o.cl, o.rp FROM k6 o JOIN g ON g.st = o.st AND g.cl = o.cl JOIN k6 c ON c.st = o.st AND c.cl = o.cl AND c.par = o.rp WHERE g.n > 1 AND NOT g.same GROUP BY o.st, o.cl, o.rp, g.n HAVING COUNT(*) = g.n - 1),
 z AS (SELECT k6.st, k6.rp, k6.item, k6.ev, CASE WHEN g.n > 1 AND g.same AND item IS NOT NULL AND k6.rp <> g.held THEN 'repeat_of:' || g.held || ':' || k6.cl WHEN g.n > 1 AND NOT g.same AND ou.rp IS NULL THEN 'duplicate:' || k6.cl END AS lost FROM k6 LEFT JOIN g ON g.st = k6.st AND g.cl = k6.cl LEFT JOIN ou ON ou.st = k6.st AND ou.cl = k6.cl AND ou.rp = k6.rp)
 SELECT st AS statement_id, CAST(rp AS VARCHAR) AS row_id, CASE WHEN lost IS NULL THEN item END AS item_id, COALESCE(lost, ev) AS evidence, CASE WHEN lost IS NOT NULL THEN 'ambiguous' WHEN ev = 'no_alias_no_anchor' THEN 'unmapped' WHEN item IS NULL THEN 'ambiguous' END AS flag FROM z""",
+        "resolved_tags": """WITH ex AS (SELECT DISTINCT ON (example_id) * FROM audit_examples ORDER BY example_id), nm AS (SELECT tag, ex.statement AS statement, MIN(canonical_id) AS a, MAX(canonical_id) AS b FROM ex JOIN taxonomy_items ON item_id = canonical_id WHERE tag IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT example_id, ex.tag, string_split(ex.tag, ':')[1] AS scope, CASE WHEN length(example_id) % 11 = 0 THEN 'unknown' WHEN ends_with(example_id, '7') THEN 'negative_control' ELSE 'source' END AS role, canonical_id IS NOT NULL AS comp, a, b FROM ex LEFT JOIN nm ON nm.tag = ex.tag AND nm.statement = ex.statement),
+o AS (SELECT *, CASE WHEN tag IS NULL THEN 'missing_key' WHEN role = 'unknown' THEN 'unknown_role' WHEN role = 'negative_control' THEN CASE WHEN scope = 'us-gaap' THEN 'control' ELSE 'negative_control_policy_missing' END WHEN a IS NULL THEN CASE WHEN scope = 'custom' THEN 'own_extension' ELSE 'missing_entry' END WHEN a <> b THEN 'several_items' WHEN length(tag) % 5 = 0 AND NOT comp THEN 'companion_required' END AS reason FROM r)
+SELECT example_id, CASE WHEN reason IS NULL THEN 'mapped' WHEN reason IN ('control', 'own_extension', 'several_items') THEN 'abstain' ELSE 'unresolved' END AS outcome, CASE WHEN reason IS NULL THEN a END AS canonical_id, reason FROM o""",
+        "closing_identities": STAR_SQL + """, b AS (SELECT f.* FROM frame f WHERE type = 'balance'), la AS (SELECT statement_id, canonical_id, MAX(row_ordinal) AS o FROM b GROUP BY 1, 2), v AS (SELECT b.statement_id, b.period_key, b.canonical_id, MAX(b.reported) AS x FROM b JOIN la ON la.statement_id = b.statement_id AND la.canonical_id = b.canonical_id AND la.o = b.row_ordinal GROUP BY 1, 2, 3),
+w AS (SELECT s.statement_id, s.period_key, a.x AS ta, t.x AS le, l.x AS li, e.x AS eq, EXISTS (SELECT 1 FROM la WHERE la.statement_id = s.statement_id AND canonical_id = 'total_assets') AS ha, EXISTS (SELECT 1 FROM la WHERE la.statement_id = s.statement_id AND canonical_id = 'total_liabilities_and_equity') AS hb, (SELECT COUNT(*) FROM la WHERE la.statement_id = s.statement_id AND canonical_id IN ('total_liabilities', 'total_equity')) = 2 AS hc FROM (SELECT DISTINCT statement_id, period_key FROM b) s LEFT JOIN v a ON a.statement_id = s.statement_id AND a.period_key = s.period_key AND a.canonical_id = 'total_assets' LEFT JOIN v t ON t.statement_id = s.statement_id AND t.period_key = s.period_key AND t.canonical_id = 'total_liabilities_and_equity' LEFT JOIN v l ON l.statement_id = s.statement_id AND l.period_key = s.period_key AND l.canonical_id = 'total_liabilities' LEFT JOIN v e ON e.statement_id = s.statement_id AND e.period_key = s.period_key AND e.canonical_id = 'total_equity'),
+z AS (SELECT *, ha AND (hb OR hc) AS ok, CASE WHEN hb THEN le ELSE li + eq END AS ex FROM w) SELECT statement_id, period_key, CASE WHEN NOT ok THEN 'identity_totals_not_found' WHEN ta IS NULL OR ex IS NULL THEN 'missing_values' WHEN abs(ta - ex) <= CASE WHEN hb THEN 0.5 ELSE 1.0 END THEN 'pass' ELSE 'fail' END AS status, CASE WHEN ok THEN CAST(ta AS DOUBLE) END AS actual, CASE WHEN ok THEN CAST(ex AS DOUBLE) END AS expected FROM z""",
+        "sibling_cells": "WITH l AS (SELECT l_orderkey AS d, l_returnflag AS ty, l_linenumber AS r, CAST(floor(l_extendedprice) AS BIGINT) % 500 AS a FROM lineitem), n AS (SELECT o_orderkey AS d, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nx FROM orders) SELECT d AS doc_id, ty AS type, r AS row_id, a AS amount FROM l WHERE a <> 0 AND EXISTS (SELECT 1 FROM n JOIN l k ON k.d = n.d WHERE n.nx = l.d AND k.ty = l.ty AND k.a = l.a)",
+        "merged_parts": "WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS doc_id, o_orderstatus AS ty, o_orderkey AS k, CAST(floor(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) / 200.0) AS INTEGER) AS pg FROM orders), p AS (SELECT *, lag(pg) OVER w AS bp, lag(k) OVER w AS bk FROM o WINDOW w AS (PARTITION BY doc_id, ty ORDER BY pg, k)), q AS (SELECT *, CASE WHEN bk IS NULL OR bk % 5 = 0 OR pg - bp > 1 THEN k END AS h FROM p) SELECT doc_id, CAST(k AS VARCHAR) AS part_id, CAST(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id, ty ORDER BY pg, k ROWS UNBOUNDED PRECEDING) AS VARCHAR) AS head_id FROM q",
+        "reading_order": _L + ", i AS (SELECT t, q, r, t || '-' || r || '-' || p || '-' || q AS x FROM l) SELECT t AS page, x AS line_id, CAST(row_number() OVER (PARTITION BY t ORDER BY q, r, x) AS INTEGER) AS place FROM i",
+        "first_seen": "WITH g AS (SELECT l_partkey AS part, l_returnflag AS flag, MAX(l_suppkey) AS supplier FROM lineitem GROUP BY 1, 2) SELECT part, supplier, flag FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY CASE flag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) AS k FROM g) WHERE k = 1",
+        "oldest_order": "SELECT o_orderkey AS job_id FROM orders WHERE o_orderstatus = 'O' ORDER BY CAST(o_orderdate AS DATE), o_orderkey LIMIT 1",
+        "edition_pairs": _S + f" SELECT issuer, fiscal_year, period, MIN(e) AS en_id, MIN(a) AS ar_id FROM (SELECT {_key('issuer')} AS issuer, fiscal_year, period, CASE WHEN language = 'en' THEN source_id END AS e, CASE WHEN language = 'ar' THEN source_id END AS a FROM so WHERE issuer IS NOT NULL AND language IN ('en', 'ar')) GROUP BY 1, 2, 3 HAVING COUNT(e) = 1 AND COUNT(a) = 1",
         "unmapped_rows": STAR_SQL + " SELECT statement_id, COUNT(DISTINCT CASE WHEN item IS NULL THEN row_id END) AS unmapped FROM figures GROUP BY 1",
         "frame_lookup": STAR_SQL + " SELECT doc_id, period_key, CAST(value AS DOUBLE) AS value FROM frame WHERE canonical_id = 'total_assets' AND type = 'balance' AND end_date = DATE '1997-12-31' AND months IS NULL",
     }
