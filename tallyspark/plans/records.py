@@ -580,6 +580,7 @@ SELECT o_orderkey, CASE WHEN m = 0 OR m = 3 THEN strftime(x, '%Y-%m-%d') WHEN m
     "p90_strata": "SELECT event_type, COUNT(value) AS n, round(median(value), 6) AS median, round(quantile_disc(value, 0.9), 6) AS p90, round(SUM(value), 6) AS total, round(MAX(value), 6) AS most FROM events GROUP BY GROUPING SETS ((event_type), ())",
     "gate_cube": _EX + " SELECT language, statement, COUNT(*) AS cells, COUNT(canonical_id) AS \"right\", COUNT(DISTINCT source_id) AS files, round(COUNT(canonical_id) / CAST(COUNT(*) AS DOUBLE), 9) AS share FROM ex GROUP BY CUBE (language, statement)",
     "page_scores": "SELECT doc_id, round(2.0 * least((n_chars % 40) / 30.0, 1.0) + n_chars % 2 - CASE WHEN n_chars % 11 = 0 THEN 4.0 ELSE 0 END + CASE WHEN n_chars % 3 = 0 THEN 3.0 ELSE 0 END + CASE WHEN n_chars % 4 = 0 THEN 1.5 ELSE 0 END, 9) AS score FROM documents WHERE n_chars IS NOT NULL",
+    "numeric_tokens": "SELECT doc_id, CAST(COALESCE(len(list_filter(regexp_extract_all(translate(text, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789'), '(?:^|[^.0-9])([0-9]{1,3}(?:[,\u066c. \u00a0\u202f\u2009][0-9]{3})+|[0-9]{3,})', 1), lambda t: NOT regexp_matches(t, '^((19|20)[0-9]{2}){1,2}$') AND NOT regexp_matches(t, '^0[^0-9]'))), 0) AS INTEGER) AS amounts FROM documents",
     "find_ranges": _RANGES + " SELECT doc_id, first_page, last_page, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first_page) AS INTEGER) AS rank FROM rg",
     "merge_intervals": "WITH sp AS (SELECT user_id, CAST(floor(epoch_us(ts) / 60000000) AS BIGINT) AS first, CAST(floor(epoch_us(ts) / 60000000) AS BIGINT) + CAST(floor(value) AS BIGINT) * 3 AS last FROM events) " + _merged("sp", "user_id", "first", "last"),
     "conversion_plan": _RANGES + ", lo AS (SELECT MIN(page_no) AS lo FROM pg), sp AS (SELECT doc_id, greatest(first_page - lo + 1 - 2, 1) AS first_page, least(last_page - lo + 1 + 2, 700) AS last_page FROM rg, lo) " + _merged("sp", "doc_id", "first_page", "last_page"),
