@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import canonical, lookalike, mixing, overlap, splits, subjects, tokens
+from tallyspark.llm.textnorm import look
 from tallyspark.operators import shred
+from tallyspark.plans.pipeline import _P4
 from tallyspark.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,4 +176,23 @@ QUERIES: dict[str, Query] = {
     "p2_found": p2_found, "p2_mapped": p2_mapped, "p2_unmatched": p2_unmatched,
     "p6_found": p6_found, "p6_forms": p6_forms,
 }
-ORACLES: dict[str, str] = {}
+# --- the same in SQL -------------------------------------------------------------------------------
+
+
+def _sql_look(column: str) -> str:
+    """What a text looks like, by the table of look-alikes: characters replaced one by one, then composed."""
+    plain = {c: look(c) for c in map(chr, range(0x80, 0xFFFF)) if not 0xD800 <= ord(c) < 0xE000}
+    one = {c: x for c, x in plain.items() if len(x) == 1 and x != c}
+    gone = "".join(c for c, x in plain.items() if not x)
+    many = {c: x for c, x in plain.items() if len(x) > 1 and unicodedata.normalize("NFD", c) != x}
+    quoted = lambda x: x.replace("'", "''")
+    table_ = "MAP {" + ", ".join(f"'{quoted(c)}': '{quoted(x)}'" for c, x in many.items()) + "}"
+    wide = f"CASE WHEN regexp_matches({column}, '[{''.join(many)}]') THEN array_to_string(list_transform(string_split({column}, ''), lambda c: COALESCE({table_}[c], c)), '') ELSE {column} END"
+    return f"nfc_normalize(translate({wide}, '{quoted(''.join(one) + gone)}', '{quoted(''.join(one.values()))}'))"
+
+
+ORACLES: dict[str, str] = {
+    "p6_found": _P4 + f""", lb AS (SELECT DISTINCT example_id AS record_id, label FROM audit_examples UNION SELECT file_id || '/' || sp || '/' || rp, json_extract_string(r, '$.label') FROM r),
+al AS (SELECT alias_id, alias, {_sql_look('alias')} AS x FROM taxonomy_aliases WHERE alias <> ''), fi AS (SELECT x, MIN(alias_id) AS alias_id FROM al GROUP BY 1), ld AS (SELECT DISTINCT label FROM lb WHERE label IS NOT NULL), lv AS (SELECT label, {_sql_look("label")} AS x FROM ld)
+SELECT DISTINCT lb.record_id, fi.alias_id FROM lb JOIN lv ON lv.label = lb.label JOIN fi ON fi.x = lv.x JOIN al ON al.alias_id = fi.alias_id WHERE lb.label <> al.alias""",
+}
