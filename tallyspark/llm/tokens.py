@@ -31,17 +31,22 @@ REMEMBERED = 300_000
 LONGEST_REMEMBERED = 64
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    """Bytes -> rank, which is also the id."""
+def read_file(path: str) -> bytes:
+    """The vocabulary file, read on the driver; it goes to the workers with the job."""
     with open(path, "rb") as file:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        return file.read()
+
+
+def read_ranks(lines: bytes) -> dict[bytes, int]:
+    """Bytes -> rank, which is also the id."""
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines.splitlines())}
 
 
 class Encoder:
-    """Encodes texts with one vocabulary."""
+    """Encodes texts with one vocabulary, given by its file or the bytes of it."""
 
-    def __init__(self, path: str = VOCABULARY, pattern: str = PATTERN):
-        self.ranks = read_ranks(path)
+    def __init__(self, vocabulary: str | bytes = VOCABULARY, pattern: str = PATTERN):
+        self.ranks = read_ranks(vocabulary if isinstance(vocabulary, bytes) else read_file(vocabulary))
         self.cut = regex.compile(pattern).findall
         self.met: dict[str, tuple[int, ...]] = {}
 
@@ -114,9 +119,10 @@ class Encoder:
 
 def encode(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids) for every row of (doc_id, text); nothing is shuffled."""
+    shared = documents.sparkSession.sparkContext.broadcast(read_file(path))  # about a megabyte, whatever the corpus
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(shared.value)
         for b in batches:
             flat, offsets = array("i"), array("i", [0])
             for text in b.column(1):
@@ -130,9 +136,10 @@ def encode(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 def with_tokens(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, tokens): the size of every document in tokens; the text is not passed on."""
+    shared = documents.sparkSession.sparkContext.broadcast(read_file(path))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(shared.value)
         for b in batches:
             sizes = [len(encoder(text.as_py())) for text in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64())], names=["doc_id", "source", "tokens"])
