@@ -154,6 +154,16 @@ def header_dates(spark: SparkSession, folder: str) -> DataFrame:
     return o.select("o_orderkey", F.date_format(periods.header_end_date(text), "yyyy-MM-dd").alias("end_date"))
 
 
+def strict_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Headers of order dates read strictly: whole dates, months, years, counts of months, and text that spoils them."""
+    o = table(spark, folder, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
+    long = F.date_format("d", "d MMMM yyyy")
+    forms = [F.date_format("d", "yyyy-MM-dd"), F.concat(F.lit("Six months ended "), long, F.lit(" (unaudited), SAR '000")), F.date_format("d", "MMMM yyyy"), F.concat(F.lit("Balance "), long), F.date_format("d", "yyyy"), F.concat(F.lit("5 months ended "), long), F.lit("Notes")]
+    text = F.element_at(F.array(*forms), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    p = o.withColumn("p", periods.interpret_period(text))
+    return p.select("o_orderkey", "p.calendar", "p.duration", F.date_format("p.end_date", "yyyy-MM-dd").alias("end_date"), "p.months", "p.period_key")
+
+
 def placeholder_tokens(spark: SparkSession, folder: str) -> DataFrame:
     o = table(spark, folder, "orders")
     text = F.element_at(F.array(*map(F.lit, ("x", "(X)", "xx", "", "X.", "y"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
@@ -387,7 +397,7 @@ def mapped_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     net_profit_tie, eps_status, grid_cells, column_periods, table_hierarchy, nearest_column, contained, column_centres, cell_box, reversed_words, token_classes, split_notes,
-    unit_signals, digit_forms, header_dates, placeholder_tokens, document_keys, reading_variants, text_layers,
+    unit_signals, digit_forms, header_dates, strict_headers, placeholder_tokens, document_keys, reading_variants, text_layers,
     joined_once, set_recalls, cell_map, text_lengths, out_of_order, required_parts, owner_sample, top_labels, run_agreement, scanned_breakdown, document_status, first_reasons, mapping_sources,
     unmapped_rows, frame_lookup, mapped_rows, statement_scores, resolved_tags, closing_identities, sibling_cells, merged_parts, reading_order, first_seen, oldest_order, edition_pairs,
 )}
@@ -431,6 +441,8 @@ def _oracles() -> dict[str, str]:
         "unit_signals": f"SELECT statement_id, CAST({scale} AS BIGINT) AS scale, {cue} AS scale_cue, {_CURRENCY} AS currency, COALESCE({_contains('lower(unit_text)', units.PER_SHARE_EXCEPTIONS)}, FALSE) AS per_share_exempt FROM statements WHERE unit_text IS NOT NULL",
         "digit_forms": f"SELECT doc_id, sha256(translate(translate(text, '{numbers.BIDI}', ''), '{numbers.EASTERN_DIGITS}', '{numbers.WESTERN_DIGITS}')) AS digest, COALESCE(translate(text, '{numbers.EASTERN_DIGITS}', '{numbers.WESTERN_DIGITS}') <> text, FALSE) AS eastern FROM documents",
         "header_dates": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN strftime(d, '%Y') || '-12-31' WHEN 3 THEN NULL ELSE strftime(d, '%Y-%m-%d') END AS end_date FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)",
+        "strict_headers": """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey % 7 AS k FROM orders), e AS (SELECT *, CASE k WHEN 0 THEN d WHEN 1 THEN d WHEN 2 THEN last_day(d) WHEN 4 THEN make_date(year(d), 12, 31) WHEN 5 THEN d END AS x FROM o)
+SELECT o_orderkey, CASE k WHEN 2 THEN 'month_year' WHEN 3 THEN 'invalid' WHEN 4 THEN 'year_only' WHEN 6 THEN 'missing' ELSE 'complete' END AS calendar, CASE k WHEN 1 THEN 'explicit' WHEN 5 THEN 'invalid' ELSE 'none' END AS duration, strftime(x, '%Y-%m-%d') AS end_date, CASE WHEN k = 1 THEN 6 END AS months, CASE WHEN k = 1 THEN '6M-' || strftime(x, '%Y-%m-%d') WHEN k <> 5 THEN strftime(x, '%Y-%m-%d') END AS period_key FROM e""",
         "placeholder_tokens": "SELECT o_orderkey, o_orderkey % 6 IN (0, 1, 4) AS placeholder, round(pow(10.0, -(o_orderkey % 4)), 6) AS quantum FROM orders",
         "document_keys": _S + f" SELECT source_id, COALESCE('cik:' || TRY_CAST(NULLIF(regexp_extract(cik, '(\\d+)', 1), '') AS BIGINT), {_key('issuer')}) AS key FROM so",
         "reading_variants": "SELECT alias_id, CASE WHEN b = alias THEN alias ELSE alias || '|' || b END AS readings FROM (SELECT alias_id, alias, array_to_string(list_reverse(regexp_split_to_array(alias, '\\s+')), ' ') AS b FROM taxonomy_aliases)",
