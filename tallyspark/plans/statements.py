@@ -117,7 +117,10 @@ def review_reasons(spark: SparkSession, folder: str) -> DataFrame:
 
 def digit_suspects(spark: SparkSession, folder: str) -> DataFrame:
     first, p, _, c, rows = _parts(spark, folder)
-    out = checks.diagnose_digits(checks.identity_checks(rows, first, p), c)
+    found = checks.identity_checks(rows, first, p)
+    # a total stands last among the lines of a subtotal
+    last = F.when(F.col("kind") == "subtotal", F.expr("concat(slice(line_item_ids, 2, size(line_item_ids)), slice(line_item_ids, 1, 1))")).otherwise(F.col("line_item_ids"))
+    out = checks.diagnose_digits(found.withColumn("line_item_ids", last), c)
     return out.select("check_id", F.col("place").cast("int").alias("place"), "row_id", "period_key", F.col("settled").cast("double").alias("settled"))
 
 
@@ -407,6 +410,16 @@ n AS (SELECT statement_id, COUNT(*) AS cells, SUM((row_id = 'inventories' AND nk
 v AS (SELECT statement_id, COUNT(*) AS seen FROM covered GROUP BY 1),
 r AS (SELECT f.statement_id, COALESCE(cells, 0) AS numeric_cells, COALESCE(seen, 0) AS checked_cells, COALESCE(bad, 0) AS flagged_cells, list_filter([CASE WHEN sf_ > 0 THEN 'subtotal_failed' END, CASE WHEN bf > 0 THEN 'identity_failed' END, CASE WHEN bs > 0 THEN 'identity_not_checked' END, CASE WHEN ss > 0 THEN 'subtotal_not_checked:' || ss END, CASE WHEN COALESCE(ok, 0) = 0 THEN 'unchecked' END, CASE WHEN bad > 0 THEN 'comma_decimal:' || bad END], lambda x: x IS NOT NULL) AS l FROM firsts f LEFT JOIN k USING (statement_id) LEFT JOIN n USING (statement_id) LEFT JOIN v USING (statement_id))
 SELECT statement_id, CASE WHEN len(l) = 0 THEN 'passed' ELSE 'needs_review' END AS status, array_to_string(l, ';') AS reasons, numeric_cells, checked_cells, CAST(flagged_cells AS BIGINT) AS flagged_cells FROM r""",
+    "digit_suspects": _SQL_CHECKS + """,
+ck AS (SELECT *, statement_id || ':' || kind || ':' || CASE WHEN kind = 'balance_identity' THEN 'balance' ELSE string_split(detail, ' = ')[1] END || ':' || period_key AS check_id, string_split(detail, ' = ')[1] AS tot, string_split(replace(replace(replace(detail, ' = ', '|'), ' + ', '|'), ' - ', '|'), '|') AS ids FROM checks WHERE status IN ('pass', 'fail')),
+pl AS (SELECT *, CAST(CAST(abs(df) AS BIGINT) AS VARCHAR) AS t FROM (SELECT *, CAST(difference AS DECIMAL(38,6)) AS df FROM ck WHERE status = 'fail') WHERE df <> 0 AND df = round(df, 0)),
+nm AS (SELECT p.check_id, p.statement_id, p.period_key, length(t) - 1 AS place, p.df, p.tot, f.row_id, f.canonical_id, f.reported AS r FROM pl p JOIN frame f ON f.statement_id = p.statement_id AND f.period_key = p.period_key AND list_contains(p.ids, f.canonical_id) WHERE length(regexp_replace(t, '0+$', '')) = 1),
+pa AS (SELECT DISTINCT c.statement_id, c.period_key, f.row_id FROM ck c JOIN frame f ON f.statement_id = c.statement_id AND f.period_key = c.period_key AND list_contains(c.ids, f.canonical_id) WHERE c.status = 'pass'),
+se AS (SELECT *, CASE WHEN canonical_id = tot THEN r - df ELSE r + df END AS s FROM nm WHERE NOT EXISTS (SELECT 1 FROM pa WHERE pa.statement_id = nm.statement_id AND pa.period_key = nm.period_key AND pa.row_id = nm.row_id)),
+tx AS (SELECT *, CAST(CAST(abs(r) AS BIGINT) AS VARCHAR) AS a, CAST(CAST(abs(s) AS BIGINT) AS VARCHAR) AS b, CAST(CAST(abs(abs(s) - abs(r)) AS BIGINT) AS VARCHAR) AS g, r = round(r, 0) AND s = round(s, 0) AND (r < 0) = (s < 0) AS ok FROM se),
+fi AS (SELECT *, COUNT(*) OVER (PARTITION BY check_id) AS n FROM tx WHERE ok AND ((r <> s AND length(a) = length(b) AND len(list_filter(list_zip(string_split(a, ''), string_split(b, '')), lambda p: p[1] <> p[2])) = 1) OR (r <> 0 AND abs(s) > abs(r) AND length(regexp_replace(g, '0+$', '')) = 1 AND length(g) - 1 BETWEEN length(a) AND length(a) + 2))),
+so AS (SELECT DISTINCT statement_id, period_key, row_id FROM fi WHERE n = 1), mk AS (SELECT fi.*, so.row_id IS NOT NULL AS sole, bool_or(so.row_id IS NOT NULL) OVER (PARTITION BY check_id) AS any_sole FROM fi LEFT JOIN so USING (statement_id, period_key, row_id))
+SELECT check_id, CAST(place AS INTEGER) AS place, row_id, period_key, CAST(s AS DOUBLE) AS settled FROM mk WHERE NOT any_sole OR sole""",
     "unit_caveats": STAR_SQL + """, md AS (SELECT statement_id, COUNT(*) AS n, median(CAST(abs(v) AS DOUBLE)) AS middle FROM figures WHERE v <> 0 GROUP BY 1)
 SELECT f.statement_id, COALESCE(n, 0) AS n, round(middle, 4) AS middle, array_to_string(list_filter([CASE WHEN list_contains(flags, 'scale_missing') THEN 'scale_assumed_units' END, CASE WHEN list_contains(flags, 'scale_missing') AND n >= 5 AND middle < 10000 THEN 'scale_implausible' END], lambda x: x IS NOT NULL), ';') AS caveats FROM firsts f LEFT JOIN md USING (statement_id)""",
     "statement_view": STAR_SQL + " SELECT statement_id, row_id, MIN(ordinal) AS ordinal, " + ", ".join(f"MAX(CASE WHEN year(end_date) = {y} THEN CAST(v AS DOUBLE) END) AS y{y}" for y in YEARS) + " FROM figures GROUP BY 1, 2",
