@@ -78,12 +78,12 @@ def _longest_path(state: str) -> int:
 
 
 def job_states(events: DataFrame, idle_ms: int = 86_400_000) -> DataFrame:
-    """(job_id, status, seq): the guarded state of each job. ``events`` is (job_id, seq, status), batch or stream.
+    """(job_id, status, seq): the guarded state of each job. ``events`` is (job_id, seq, status), batch or stream, and may have ``ts``.
 
     On a batch every transition is one join and a minimum by job: the first event after the last one that
-    may follow; no task holds a job. A stream keeps the events of a job until it has been idle for
-    ``idle_ms``, so that events that come late, in whatever batch, give the state that a batch gives. Of
-    events with one number the least status counts.
+    may follow; no task holds a job. A stream keeps the events of a job, so that those that come late, in
+    whatever batch, give the state that a batch gives; with ``ts`` they are dropped when the watermark is
+    ``idle_ms`` past the last of them, without it they are kept. Of events with one number the least status counts.
     """
     if not events.isStreaming:
         once = events.groupBy("job_id", "seq").agg(F.min("status").alias("status"))
@@ -96,20 +96,26 @@ def job_states(events: DataFrame, idle_ms: int = 86_400_000) -> DataFrame:
             now = now.join(step, "job_id", "left").select("job_id", F.coalesce("s.status", "now").alias("now"), F.coalesce("s.seq", "at").alias("at"))
         return now.select("job_id", F.col("now").alias("status"), F.col("at").alias("seq"))
 
+    timed = "ts" in events.columns
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
         if state.hasTimedOut:
             state.remove()
             return
         seqs, statuses = state.get if state.exists else ([], [])
         held = dict(zip(seqs, statuses, strict=True))
+        last = state.getCurrentWatermarkMs() if timed else 0
         for pdf in frames:
+            last = max(last, int(pdf["ts"].max().timestamp() * 1000)) if timed else 0
             for seq, status in pdf[["seq", "status"]].itertuples(index=False, name=None):
                 held[int(seq)] = min(status, held.get(int(seq), status))
         state.update((list(held), list(held.values())))
-        state.setTimeoutDuration(idle_ms)
+        if timed:
+            state.setTimeoutTimestamp(last + idle_ms)
         yield pd.DataFrame([(key[0], *_folded(held))], columns=["job_id", "status", "seq"])
 
-    return events.groupBy("job_id").applyInPandasWithState(step, "job_id BIGINT, status STRING, seq BIGINT", "seqs ARRAY<BIGINT>, statuses ARRAY<STRING>", "update", "ProcessingTimeTimeout")
+    stream = events.withWatermark("ts", LATE) if timed else events
+    return stream.groupBy("job_id").applyInPandasWithState(step, "job_id BIGINT, status STRING, seq BIGINT", "seqs ARRAY<BIGINT>, statuses ARRAY<STRING>", "update", "EventTimeTimeout" if timed else "NoTimeout")
 
 
 def sequence(events: DataFrame) -> DataFrame:

@@ -83,6 +83,15 @@ def test_stream_state(spark, tmp_path):
     assert set(last.values()) == want and {w[1] for w in want} == {"completed"}
 
 
+def test_stream_state_with_times(spark, tmp_path):
+    """One file a trigger, with a time out after the watermark: the same states."""
+    batch, folder = _events(spark, tmp_path)
+    as_jobs = lambda df: df.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), "ts")
+    want = {tuple(r) for r in events.job_states(as_jobs(batch)).collect()}
+    last = {r.job_id: tuple(r) for r in _run(events.job_states(as_jobs(events.read_events(spark, folder, 100))), "update", "timed").collect()}
+    assert set(last.values()) == want
+
+
 def test_guard():
     assert events.advance(None, "running") is None and events.advance("queued", "completed") == "queued" and events.advance("running", "failed") == "failed" and events.advance("completed", "running") == "completed"
 

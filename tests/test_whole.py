@@ -27,7 +27,7 @@ def test_all_printed_figures_are_parsed(spark, data):
     assert got.keys() == want.keys() and any(x.reported is None for x in want.values())
     for k, x in want.items():
         value, unit, flags = numbers.read_number(x.raw_text)
-        assert (got[k].value, got[k].unit, list(got[k].flags)) == (None if value is None else float(value), unit, flags)
+        assert (got[k].value, got[k].unit, got[k].flags) == (None if value is None else float(value), unit, ";".join(flags))
         assert x.reported is None or value == x.reported
 
 
