@@ -78,9 +78,9 @@ def column_periods(spark: SparkSession, folder: str) -> DataFrame:
 
 def table_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of an order as a table: every third line a section, indented by quantity."""
-    l = _rows(spark, folder)
+    l = _lines(spark, folder).repartition("t").groupBy("t", "r").agg(F.max("q").alias("q"))  # one exchange, by table
     label = F.when(F.col("r") % 5 == 0, F.lit("Total due")).when(F.col("r") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("line "), F.col("r")))
-    return tables.hierarchy(l.select(F.col("t").cast("string").alias("table_id"), F.col("r").cast("bigint").alias("row"), label.alias("label"), (F.col("q") % 3 * 8).cast("double").alias("indent"), (F.col("r") % 3 != 0).alias("has_values")))
+    return tables.hierarchy(l.select(F.col("t").alias("table_id"), F.col("r").cast("bigint").alias("row"), label.alias("label"), (F.col("q") % 3 * 8).cast("double").alias("indent"), (F.col("r") % 3 != 0).alias("has_values")))
 
 
 def nearest_column(spark: SparkSession, folder: str) -> DataFrame:

@@ -66,6 +66,42 @@ def test_hierarchy(spark):
     assert got == {0: (0, None, False, True), 1: (1, 0, False, True), 2: (2, 1, False, False), 3: (1, 1, True, False), 4: (1, 0, False, True), 5: (0, 0, True, False)}
 
 
+def test_hierarchy_of_many_tables(spark):
+    """Any number of tables pass in one stream: no call for each; tables that span batches, unsorted, of many levels, with gaps, against plain steps."""
+    rng = random.Random(5)
+    rows = [(f"t{t}", r, rng.choice(["Assets", "", " ", None, "Total due", "totals"]), rng.choice([None, float("nan"), 0.0, 4.0, 4.5, 8.0, 9.0, 40.0]), rng.choice([True, False, None])) for t in range(400) for r in range(rng.randrange(1, 12))]
+    rows += [("long", r, "part", 5.0 * rng.randrange(60), r % 3 == 0) for r in range(700)] + [(None, r, "x", None, r > 0) for r in range(3)]
+    rng.shuffle(rows)
+
+    want = set()
+    for t in {x[0] for x in rows}:
+        own = sorted((x for x in rows if x[0] == t), key=lambda x: x[1])
+        levels: list[float] = []
+        for x in sorted(x[3] for x in own if x[3] is not None and x[3] == x[3]):
+            if not levels or x - levels[-1] > 4.0:
+                levels.append(x)
+        sections: list[tuple[int, int]] = []
+        for _, r, label, indent, valued in own:
+            d = min(range(len(levels)), key=lambda i: abs(indent - levels[i])) if levels and indent is not None and indent == indent else 0
+            text = (label or "").strip()
+            section = bool(text) and not valued
+            want.add((t, r, d, next((s for s, e in reversed(sections) if e < d or (e == d and not section)), None), bool(valued) and text in ("", "Total due"), section))
+            if section:
+                sections.append((r, d))
+
+    df = spark.createDataFrame([(*x, "clash") for x in rows], "table_id STRING, row LONG, label STRING, indent DOUBLE, has_values BOOLEAN, indents STRING").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = tables.hierarchy(df)
+        got = [tuple(r) for r in out.collect()]
+        empty = tables.hierarchy(df.limit(0)).count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(rows) and set(got) == want and empty == 0
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+
+
 def test_realign(spark):
     bands = {0: (0.0, 10.0), 1: (10.0, 20.0), 2: (20.0, 30.0)}
     at = lambda y: [(y - 4, y + 4)]
